@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_rules
+from . import language_id, line_dedup, mixing, quality_rules
 from .common import table
 
 GAP_SQL = r"'[\x20\x09-\x0D]+'"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(language_id.fold_of(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language_id.fit(docs.filter(~held).select("text", "lang"))
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "spans")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = line_dedup.dedup_lines(docs, n_lines="n_lines", n_removed="n_removed")
@@ -58,6 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op10_mixing": op10_mixing,
