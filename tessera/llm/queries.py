@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixing, quality_rules
+from . import language_id, line_dedup, mixing, quality_pu, quality_rules, url_filter
 from .common import table
 
 GAP_SQL = r"'[\x20\x09-\x0D]+'"
@@ -52,6 +52,32 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+#: The rules given for pages.
+PAGE_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is bad if the document of its id is of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), PAGE_RULES, bad)
+    return out.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.confidence")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = quality_pu.stored_features(table(spark, sf_dir, "documents"))
+    held = F.coalesce(language_id.fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(~held).select("doc_id", "quality")
+    model = quality_pu.train(feats.filter(~held), labels)
+    return feats.select("doc_id", held.alias("held_out"), quality_pu.score(model).alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.mask(quality_rules.POLICIES["base"]))) != 0
@@ -67,6 +93,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op10_mixing": op10_mixing,
 }
