@@ -1,0 +1,243 @@
+"""BPE encoding and decoding through a table of distinct words.
+
+Documents are dealt to blocks once, as compressed Arrow batches. Each block names its distinct words; the words of all
+blocks meet in a table in which every distinct word is encoded once; its ids go back to the blocks that have the word,
+where they are joined to the positions of the texts. Only words travel, not their occurrences, and texts travel once.
+Decoding joins ids to the pieces of the vocabulary, whose size is fixed.
+
+Words are those of byte-level BPE with the usual pattern; special tokens of the tokenizer file that stand in a text are
+words of their own, as the tokenizers library takes them.
+
+Defined cases: a null text is encoded as an empty one; rows that repeat give repeated results; ids that no piece has
+raise an error on decoding; an empty table gives an empty result; the columns to keep are named and may have any names.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Fixed value: the split pattern of byte-level BPE.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of texts that a task gathers before it deals them to blocks.
+GATHER = 48_000_000
+
+
+def special_tokens(tokenizer: str) -> dict[str, int]:
+    return {x["content"]: x["id"] for x in json.loads(tokenizer).get("added_tokens", []) if x["special"]}
+
+
+class Splitter:
+    """Words of a text, special tokens among them."""
+
+    def __init__(self, special: dict[str, int]):
+        import regex
+
+        self.find = regex.compile(PATTERN).findall
+        self.special = special
+        self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")").split if special else None
+
+    def __call__(self, text: str) -> list[str]:
+        if self.cut is None or not any(x in text for x in self.special):
+            return self.find(text)
+        return reduce(lambda a, x: a + ([x] if x in self.special else self.find(x)), self.cut(text), [])
+
+
+def byte_of_char() -> dict[str, int]:
+    """The character by which byte-level BPE writes each byte: itself if printable, else one from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class Pieces:
+    """The vocabulary as a table from id to bytes."""
+
+    def __init__(self, tokenizer: str):
+        spec, of = json.loads(tokenizer), byte_of_char()
+        piece = {i: bytes(of[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+        piece |= {x["id"]: x["content"].encode() for x in spec.get("added_tokens", [])}
+        size = np.zeros(max(piece) + 1, np.int64)
+        for i, x in piece.items():
+            size[i] = len(x)
+        self.size, self.start = size, np.cumsum(size) - size
+        self.data = np.frombuffer(b"".join(piece.get(i, b"") for i in range(len(size))), np.uint8)
+        self.known = np.isin(np.arange(len(size)), list(piece))
+
+    def decode(self, ids: np.ndarray, ptr: np.ndarray) -> list[str]:
+        """Texts of ids[ptr[i]:ptr[i + 1]]."""
+        if len(ids) and (int(ids.max()) >= len(self.size) or not self.known[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        out = []
+        for i in range(len(ptr) - 1):
+            x = ids[ptr[i] : ptr[i + 1]]
+            n = self.size[x]
+            at = np.repeat(self.start[x] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out.append(self.data[at].tobytes().decode("utf-8", "replace"))
+        return out
+
+
+def _keys(spark: SparkSession, n: int) -> list[int]:
+    """Per partition of a hash partitioning of n, a number that goes to it, so that blocks are dealt evenly."""
+    found = spark.range(24 * n + 200).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).collect()
+    keys = {r["at"]: r["id"] for r in found}
+    return [keys.get(i, i) for i in range(n)]
+
+
+def _pack(keys: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= GATHER:
+                yield from dealt(held)
+                held, size = [], 0
+        if held:
+            yield from dealt(held)
+
+    def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        block = rows.column(0).to_numpy()
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            sink = pa.BufferOutputStream()
+            part = rows.drop_columns([rows.column_names[0]]).take(pa.array(order[a:b])).combine_chunks()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+                w.write_table(part)
+            yield pa.RecordBatch.from_arrays([pa.array([keys[block[order[a]]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["k", "blob"])
+
+    return run
+
+
+def _unpack(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def _texts(blob: bytes) -> list[str]:
+    return [x or "" for x in _unpack(blob).column("text").to_pylist()]
+
+
+def _name_words(special: dict[str, int]):
+    """Blocks to (k, at, word): their distinct words in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, seen = Splitter(special), {}
+        for batch in batches:
+            for k, blob in zip(batch.column("k").to_pylist(), batch.column("blob"), strict=True):
+                mine = seen.setdefault(k, set())
+                for text in _texts(blob.as_py()):
+                    mine.update(split(text))
+        for k, mine in seen.items():
+            words = sorted(mine)
+            for i in range(0, len(words), 20_000):
+                part = words[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part, pa.string())], ["k", "at", "word"])
+
+    return run
+
+
+def _encode_words(held, special: dict[str, int]):
+    """Rows (k, at, word) with equal words together to (k, at, ids): each distinct word is encoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_str(held.value)
+        tok.no_truncation()
+        tok.no_padding()
+        last, last_ids = None, b""
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            new = [w for w, before in zip(words, [last, *words[:-1]], strict=True) if w != before]
+            ids = iter([np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch(new, add_special_tokens=False)])
+            out = []
+            for w in words:
+                if w != last:
+                    last, last_ids = w, next(ids)
+                out.append(last_ids)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("at"), pa.array(out, pa.binary())], ["k", "at", "ids"])
+
+    return run
+
+
+def _join_positions(held, special: dict[str, int], fields: pa.Schema):
+    def run(blobs: pa.Table, words: pa.Table) -> pa.Table:
+        pieces, split = Pieces(held.value), Splitter(special)
+        names: dict[str, int] = {}
+        name = names.setdefault
+        parts = []
+        for blob in blobs.column("blob"):
+            rows = _unpack(blob.as_py())
+            parts.append((rows, [np.fromiter((name(w, len(names)) for w in split(t or "")), np.int32) for t in rows.column("text").to_pylist()]))
+        # the block's words in order are at 0, 1, ...; here they are numbered by first occurrence
+        ordered = np.array(sorted(range(len(names)), key=list(names).__getitem__), np.int64)
+        at = np.empty(len(names), np.int64)
+        at[ordered] = np.arange(len(names))
+        by = np.empty(len(words), np.int64)
+        by[words.column("at").to_numpy()] = np.arange(len(words))
+        if len(words) != len(names):
+            raise RuntimeError("a block and its words do not fit")
+        ids = words.column("ids").combine_chunks().cast(pa.large_binary())
+        off = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4 if len(ids) else np.zeros(1, np.int64)
+        flat = np.frombuffer(ids.buffers()[2], np.uint32) if len(ids) else np.zeros(0, np.uint32)
+        out = []
+        for rows, tokens in parts:
+            n = np.array([len(t) for t in tokens])
+            w = by[at[np.concatenate(tokens)]] if n.sum() else np.zeros(0, np.int64)
+            size = off[w + 1] - off[w]
+            got = flat[np.repeat(off[w] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            word_ptr = np.concatenate([[0], np.cumsum(n)])
+            ptr = np.concatenate([[0], np.cumsum(size)])[word_ptr]
+            packed = [got[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+            kept = [rows.column(c) for c in rows.column_names if c != "text"]
+            out.append(pa.Table.from_arrays([*kept, pa.array(np.diff(ptr), pa.int64()), pa.array(packed, pa.binary()), pa.array(pieces.decode(got, ptr), pa.string())], schema=fields))
+        return pa.concat_tables(out).combine_chunks() if out else fields.empty_table()
+
+    return run
+
+
+def encode(docs: DataFrame, tokenizer: str, keep: list[str], n_tokens: str = "n_tokens", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """The columns named in `keep`, and of each text: the number of its ids, the ids as little-endian unsigned 32-bit
+    integers, and what they decode to. tokenizer: the JSON text of a byte-level BPE of the tokenizers library."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = docs.sparkSession
+    special, held = special_tokens(tokenizer), spark.sparkContext.broadcast(tokenizer)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = [f"c{i}" for i in range(len(keep))]
+    salt = F.xxhash64(*(F.col(f"`{c}`") for c in keep if not isinstance(docs.schema[c].dataType, T.MapType)), "text")
+    rows = docs.select(F.pmod(salt, F.lit(n)).cast("int").alias("b"), *(F.col(f"`{c}`").alias(o) for c, o in zip(keep, own, strict=True)), F.col("text").alias("text"))
+    blocks = rows.mapInArrow(_pack(_keys(spark, n)), "k int, blob binary").repartition(n, "k")
+    words = blocks.mapInArrow(_name_words(special), "k int, at int, word string")
+    encoded = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode_words(held, special), "k int, at int, ids binary").repartition(n, "k")
+    made = [T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    schema = T.StructType([*(T.StructField(o, docs.schema[c].dataType) for c, o in zip(keep, own, strict=True)), *made])
+    fields = to_arrow_schema(schema)
+    out = blocks.groupBy("k").cogroup(encoded.groupBy("k")).applyInArrow(_join_positions(held, special, fields), schema)
+    return out.toDF(*keep, n_tokens, ids, decoded)
+
+
+def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """Adds the text that packed ids stand for; null stays null."""
+    held = df.sparkSession.sparkContext.broadcast(tokenizer)
+    names = list(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(held.value)
+        for batch in batches:
+            packed = batch.column(names.index(ids)).to_pylist()
+            each = [np.frombuffer(x or b"", np.uint32) for x in packed]
+            ptr = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+            got = pieces.decode(np.concatenate(each) if each else np.zeros(0, np.uint32), ptr)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if p is None else g for p, g in zip(packed, got, strict=True)], pa.string())], [*names, text])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixing, quality_pu, quality_rules, url_filter
+from . import bpe, language_id, line_dedup, mixing, quality_pu, quality_rules, url_filter
 from .common import table
 
 GAP_SQL = r"'[\x20\x09-\x0D]+'"
@@ -70,6 +71,18 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.confidence")
 
 
+def byte_bpe() -> str:
+    """The tokenizer file, read on the driver."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode(table(spark, sf_dir, "documents"), byte_bpe(), ["doc_id"])
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = quality_pu.stored_features(table(spark, sf_dir, "documents"))
     held = F.coalesce(language_id.fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -94,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_bpe": op4_bpe,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op10_mixing": op10_mixing,
