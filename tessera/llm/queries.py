@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, mixing, quality_pu, quality_rules, url_filter
+from . import ann, bpe, language_id, line_dedup, mixing, quality_pu, quality_rules, url_filter
 from .common import table
 
 GAP_SQL = r"'[\x20\x09-\x0D]+'"
@@ -91,6 +91,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feats.select("doc_id", held.alias("held_out"), quality_pu.score(model).alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.mask(quality_rules.POLICIES["base"]))) != 0
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_bpe": op4_bpe,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_nearest": op6_nearest,
     "op7_quality_rules": op7_quality_rules,
     "op10_mixing": op10_mixing,
 }
