@@ -10,8 +10,8 @@ single elements. The size from which sets are heavy is chosen by cost from the h
 both.
 
 Short lists give all their pairs. Of long ones, as groups of near copies make them, a few hubs are paired with all others
-first, and components formed; then only pairs between different components are left to be tried, so no link between
-different components is lost and pairs inside one are not enumerated. Candidates are first tested by parity sketches,
+first, and components formed; then only members of different components are left to be tried against each other, so no
+link between different components is lost, and lists that are one component are done. Candidates are first tested by parity sketches,
 whose differing bits never exceed the number of elements that differ, and then by their whole sets.
 
 Equal sets are one: they are known by a 64-bit fingerprint, and sets meet again with documents at the end.
@@ -34,10 +34,13 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import small, stored
 from .components import components
+from .lean import lean, small_batches
 
 #: Lists of at most so many sets give all pairs.
 SHORT = 12
 HUBS = 2
+#: Members of a long list that meet in a task, twice.
+TILE = 1024
 #: Costs of the inverted way besides its signatures, in signatures: sketch and verification of a set's candidates.
 VERIFY = 16
 MAX_LIGHT = 60
@@ -217,7 +220,7 @@ def _describe(n: int, t: Threshold):
                 s = sets(batch.column("text").slice(i, j - i), n)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(s.size), _signed(s.f), pa.array(sketches(s, t), pa.binary())], ["doc_id", "n", "f", "sketch"])
 
-    return run
+    return lean(run)
 
 
 def _sign(n: int, t: Threshold, heavy: int):
@@ -237,7 +240,7 @@ def _sign(n: int, t: Threshold, heavy: int):
                 sig, who, c = signatures(s, t, heavy)
                 yield pa.RecordBatch.from_arrays([_signed(sig), _signed(s.f[who]), pa.array(s.size[who].astype(np.int32)), pa.array(c)], ["sig", "f", "n", "c"])
 
-    return run
+    return lean(run)
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +312,7 @@ def _scan(t: Threshold):
         if held:
             yield lists(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return run
+    return lean(run)
 
 
 def _near(t: Threshold):
@@ -321,7 +324,7 @@ def _near(t: Threshold):
             out = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _whole(n: int):
@@ -332,7 +335,7 @@ def _whole(n: int):
                 end = np.cumsum(s.size)
                 yield pa.RecordBatch.from_arrays([_signed(s.f), pa.array([s.items[b - k : b].tobytes() for b, k in zip(end, s.size, strict=True)], pa.binary())], ["f", "items"])
 
-    return run
+    return lean(run)
 
 
 def _verify(t: Threshold):
@@ -345,7 +348,7 @@ def _verify(t: Threshold):
             out = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 class Join(NamedTuple):
@@ -356,6 +359,7 @@ class Join(NamedTuple):
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Join:
     """Links the documents (doc_id, text) by their sets of n consecutive words."""
+    small_batches(docs.sparkSession)
     t = Threshold(num, den)
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", "text")
@@ -371,26 +375,88 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Join:
     roots = components(links)
     long = scanned.filter("kind = 2").select("sig", F.col("a").alias("f"), F.col("na").alias("n"))
     if not long.isEmpty():
-        links = stored(links.unionByName(_links(base, known, stored(_cross(long, roots, t), "jaccard-cross"), n, t)), "jaccard-links")
+        links = stored(links.unionByName(_links(base, known, stored(_cross(long, roots, known, t), "jaccard-cross"), n, t)), "jaccard-links")
         roots = components(links)
     return Join(described.select("doc_id", "n", "f"), links, roots)
 
 
-def _cross(long: DataFrame, roots: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs (a, b, na, nb) of members of a long list that are in different components and can link by size.
+def _tiles(t: Threshold):
+    """Rows (sig, i, j, f, n, root, sketch) with equal tiles together to the pairs of different components that can link
+    by their sizes and sketches."""
+
+    def tile(n: np.ndarray, f: np.ndarray, root: np.ndarray, sketch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        short = min(map(len, sketch))
+        bits = []
+        for x in sketch:
+            y = np.frombuffer(x, np.uint8)
+            while len(y) > short:
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            bits.append(y)
+        bits = np.stack(bits).view(np.uint64)
+        step = max(1, 2_000_000 // bits.size)
+        a_, b_ = [], []
+        for at in range(0, len(f), step):
+            own = slice(at, at + step)
+            most, least = np.maximum(n[own, None], n[None, :]), np.minimum(n[own, None], n[None, :])
+            may = (root[own, None] != root[None, :]) & (t.den * least >= t.num * most) & (f[own, None] < f[None, :])
+            a, b = np.nonzero(may)
+            for k in range(0, len(a), 100_000):
+                x, y = a[k : k + 100_000] + at, b[k : k + 100_000]
+                differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+                ok = differ <= (n[x] + n[y]) * (t.den - t.num) // (t.den + t.num)
+                a_.append(x[ok])
+                b_.append(y[ok])
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return cat(a_), cat(b_)
+
+    def tiles(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        sig, i, j, f, n, root = (rows.column(c).to_numpy() for c in ("sig", "i", "j", "f", "n", "root"))
+        n, sketch = n.astype(np.int64), rows.column("sketch").to_pylist()
+        a_, b_ = [], []
+        for st, m in zip(*_runs(sig, i, j), strict=True):
+            a, b = tile(n[st : st + m], f[st : st + m], root[st : st + m], sketch[st : st + m])
+            a_.append(a + st)
+            b_.append(b + st)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_, b_))
+        return pa.RecordBatch.from_arrays([pa.array(f[a]), pa.array(f[b]), pa.array(n[a].astype(np.int32)), pa.array(n[b].astype(np.int32))], ["a", "b", "na", "nb"])
 
-    Members outside of the list's largest component are paired with all others; those are few once components have
-    formed. Pairs inside a component are never made."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = [batch.column(c).to_numpy() for c in ("sig", "i", "j")]
+            whole = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            if cut:
+                yield tiles(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+            if held and len(held) > 1 and any(held[0].column(c)[0] != batch.column(c)[0] for c in ("sig", "i", "j")):
+                yield tiles(pa.Table.from_batches(held[:-1]))
+                held = held[-1:]
+        if held:
+            yield tiles(pa.Table.from_batches(held))
+
+    return lean(run)
+
+
+def _cross(long: DataFrame, roots: DataFrame, known: DataFrame, t: Threshold) -> DataFrame:
+    """Candidates (a, b, na, nb) among the members of each long list that are in different components.
+
+    Lists that are one component by now are done. The others are cut in tiles, so that a task holds two tiles of a list
+    at a time, and pairs are tested by sketches where they meet; only those that pass are made."""
     member = long.join(roots, long["f"] == roots["node"], "left").select("sig", "f", "n", F.coalesce("root", "f").alias("root"))
     member = stored(member, "jaccard-members")
-    sizes = member.groupBy("sig", "root").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("sig").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-    open_ = member.join(main, "sig")
-    few = open_.filter("root <> main").select("sig", F.col("f").alias("f1"), F.col("n").alias("n1"), F.col("root").alias("r1"))
-    pairs = few.join(open_.select("sig", "f", "n", "root"), "sig").filter((F.col("r1") != F.col("root")) & (t.den * F.least("n", "n1") >= t.num * F.greatest("n", "n1")))
-    less = F.col("f1") < F.col("f")
-    pick = lambda x, y: F.when(less, F.col(x)).otherwise(F.col(y))
-    return pairs.select(pick("f1", "f").alias("a"), pick("f", "f1").alias("b"), pick("n1", "n").alias("na"), pick("n", "n1").alias("nb")).distinct()
+    several = member.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 <> r1")
+    open_ = member.join(several.select("sig", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "sig").join(known.select("f", "sketch"), "f")
+    own = F.pmod(F.xxhash64("f"), F.col("tiles")).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
+    dealt = open_.select("sig", F.explode(each).alias("x"), "f", "n", "root", "sketch").select("sig", "x.i", "x.j", "f", "n", "root", "sketch")
+    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ("sig", "i", "j")
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "f").mapInArrow(_tiles(t), "a long, b long, na int, nb int").distinct()
 
 
 def _links(docs: DataFrame, known: DataFrame, pairs: DataFrame, n: int, t: Threshold) -> DataFrame:

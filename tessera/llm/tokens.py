@@ -35,7 +35,7 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes; a longer text is a range of its own."""
     _, off = buffer(column)
     n, i = len(off) - 1, 0
