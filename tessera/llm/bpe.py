@@ -1,8 +1,8 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Documents are dealt to blocks once, as compressed Arrow batches. Each block names its distinct words; the words of all
-blocks meet in a table in which every distinct word is encoded once; its ids go back to the blocks that have the word,
-where they are joined to the positions of the texts. Only words travel, not their occurrences, and texts travel once.
+Documents are dealt to blocks once, as compressed Arrow batches. Each block names its distinct words to the parts of a
+word table, in which every distinct word is encoded once; the ids go back to the blocks that have the word, where they
+are joined to the positions of the texts. Only words travel, not their occurrences, and texts travel once.
 Decoding joins ids to the pieces of the vocabulary, whose size is fixed.
 
 Words are those of byte-level BPE with the usual pattern; special tokens of the tokenizer file that stand in a text are
@@ -15,19 +15,23 @@ raise an error on decoding; an empty table gives an empty result; the columns to
 from __future__ import annotations
 
 import json
+import os
+import re
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import block_keys, deal, shrunk, unpack
+from .lean import lean, small_batches
+
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of texts that a task gathers before it deals them to blocks.
-GATHER = 48_000_000
 
 
 def special_tokens(tokenizer: str) -> dict[str, int]:
@@ -35,7 +39,10 @@ def special_tokens(tokenizer: str) -> dict[str, int]:
 
 
 class Splitter:
-    """Words of a text, special tokens among them."""
+    """Words of texts, special tokens among them.
+
+    A space between two characters that are no white space begins a word, and what follows up to the next such space is
+    split the same wherever it stands. Texts are therefore cut at spaces, and each distinct piece is split once."""
 
     def __init__(self, special: dict[str, int]):
         import regex
@@ -43,12 +50,50 @@ class Splitter:
         self.find = regex.compile(PATTERN).findall
         self.special = special
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")").split if special else None
+        self.uneven = re.compile(r"\A | \Z|\s | \s").search
 
     def __call__(self, text: str) -> list[str]:
         if self.cut is None or not any(x in text for x in self.special):
             return self.find(text)
         return reduce(lambda a, x: a + ([x] if x in self.special else self.find(x)), self.cut(text), [])
 
+    def pieces(self, text: str) -> list[str] | None:
+        """What is between the spaces, all but the first to be preceded by one; none if it cannot be cut so."""
+        if self.uneven(text) or any(x in text for x in self.special):
+            return None
+        return text.split(" ")
+
+    def distinct(self, texts: Iterator[str]) -> set[str]:
+        """The distinct words of texts."""
+        first, later, words = set(), set(), set()
+        for text in texts:
+            cut = self.pieces(text)
+            if cut is None:
+                words.update(self(text))
+            else:
+                first.add(cut[0])
+                later.update(cut[1:])
+        for x in first:
+            words.update(self.find(x))
+        for x in later:
+            words.update(self.find(" " + x))
+        return words
+
+
+class Numbered(dict):
+    """Pieces to numbers in order of appearance; the words of piece i are flat[ptr[i]:ptr[i + 1]], numbered by names."""
+
+    def __init__(self, split, names: dict[str, int], flat: list[int], ptr: list[int]):
+        super().__init__()
+        self.split, self.names, self.flat, self.ptr = split, names, flat, ptr
+
+    def __missing__(self, piece: str) -> int:
+        names = self.names
+        self.flat.extend([names.setdefault(w, len(names)) for w in self.split(piece)])
+        self.ptr.append(len(self.flat))
+        self[piece] = n = len(self.ptr) - 2
+        return n
+
 
 def byte_of_char() -> dict[str, int]:
     """The character by which byte-level BPE writes each byte: itself if printable, else one from 256 on, in order."""
@@ -84,125 +129,117 @@ class Pieces:
         return out
 
 
-def _keys(spark: SparkSession, n: int) -> list[int]:
-    """Per partition of a hash partitioning of n, a number that goes to it, so that blocks are dealt evenly."""
-    found = spark.range(24 * n + 200).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).collect()
-    keys = {r["at"]: r["id"] for r in found}
-    return [keys.get(i, i) for i in range(n)]
-
-
-def _pack(keys: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= GATHER:
-                yield from dealt(held)
-                held, size = [], 0
-        if held:
-            yield from dealt(held)
-
-    def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        block = rows.column(0).to_numpy()
-        order = np.argsort(block, kind="stable")
-        cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            sink = pa.BufferOutputStream()
-            part = rows.drop_columns([rows.column_names[0]]).take(pa.array(order[a:b])).combine_chunks()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
-                w.write_table(part)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[block[order[a]]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["k", "blob"])
-
-    return run
+def _texts(blob: bytes) -> list[str]:
+    return [x or "" for x in unpack(blob).column("text").to_pylist()]
 
 
-def _unpack(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
+def _part(word: str, n: int) -> int:
+    """The part of the word table that has a word."""
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % n
 
 
-def _texts(blob: bytes) -> list[str]:
-    return [x or "" for x in _unpack(blob).column("text").to_pylist()]
+def _by_part(words: list[str], n: int) -> list[list[str]]:
+    """Words, in order, by part of the word table."""
+    out: list[list[str]] = [[] for _ in range(n)]
+    for w in words:
+        out[_part(w, n)].append(w)
+    return out
 
 
-def _name_words(special: dict[str, int]):
-    """Blocks to (k, at, word): their distinct words in order."""
+def _name_words(special: dict[str, int], keys: list[int]):
+    """Blocks to (p, k, words): the distinct words of a block, in order, a row for each part of the word table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = Splitter(special), {}
+        split, blocks = Splitter(special), {}
         for batch in batches:
-            for k, blob in zip(batch.column("k").to_pylist(), batch.column("blob"), strict=True):
-                mine = seen.setdefault(k, set())
-                for text in _texts(blob.as_py()):
-                    mine.update(split(text))
-        for k, mine in seen.items():
-            words = sorted(mine)
-            for i in range(0, len(words), 20_000):
-                part = words[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part, pa.string())], ["k", "at", "word"])
+            for k, blob in zip(batch.column("k").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                blocks.setdefault(k, []).append(blob)
+        while blocks:
+            k, blobs = blocks.popitem()
+            mine = split.distinct(text for blob in blobs for text in _texts(blob))
+            for p, words in enumerate(_by_part(sorted(mine), len(keys))):
+                if words:
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[p]], pa.int32()), pa.array([k], pa.int32()), pa.array([shrunk(word=pa.array(words, pa.string()))], pa.binary())], ["p", "k", "words"])
 
-    return run
+    return lean(run)
 
 
-def _encode_words(held, special: dict[str, int]):
-    """Rows (k, at, word) with equal words together to (k, at, ids): each distinct word is encoded once."""
+def _encode_words(held):
+    """A part of the word table: rows (p, k, words) to (k, p, ids). Each distinct word is encoded once, when the first
+    block asks for it; a part has its share of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(held.value)
         tok.no_truncation()
         tok.no_padding()
-        last, last_ids = None, b""
+        encode_batch = getattr(tok, "encode_batch_fast", tok.encode_batch)  # without offsets, where there is that
+        known: dict[str, bytes] = {}
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            new = [w for w, before in zip(words, [last, *words[:-1]], strict=True) if w != before]
-            ids = iter([np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch(new, add_special_tokens=False)])
-            out = []
-            for w in words:
-                if w != last:
-                    last, last_ids = w, next(ids)
-                out.append(last_ids)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("at"), pa.array(out, pa.binary())], ["k", "at", "ids"])
+            for p, k, blob in zip(batch.column("p").to_pylist(), batch.column("k").to_pylist(), batch.column("words"), strict=True):
+                words = unpack(blob.as_py()).column("word").to_pylist()
+                new = [w for w in words if w not in known]
+                for w, e in zip(new, encode_batch(new, add_special_tokens=False), strict=True):
+                    known[w] = np.array(e.ids, np.uint32).tobytes()
+                got = [known[w] for w in words]
+                ids = shrunk(ids=pa.array(np.frombuffer(b"".join(got), np.uint32)))
+                sizes = shrunk(n=pa.array(np.array([len(x) // 4 for x in got], np.uint32)))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([p], pa.int32()), pa.array([ids], pa.binary()), pa.array([sizes], pa.binary())], ["k", "p", "ids", "sizes"])
 
-    return run
+    return lean(run)
 
 
-def _join_positions(held, special: dict[str, int], fields: pa.Schema):
+def _join_positions(held, special: dict[str, int], keys: list[int], fields: pa.Schema):
     def run(blobs: pa.Table, words: pa.Table) -> pa.Table:
         pieces, split = Pieces(held.value), Splitter(special)
         names: dict[str, int] = {}
-        name = names.setdefault
+        flat: list[int] = []
+        ptr: list[int] = [0]
+        first, later, whole = (Numbered(f, names, flat, ptr) for f in (split.find, lambda x: split.find(" " + x), split))
         parts = []
         for blob in blobs.column("blob"):
-            rows = _unpack(blob.as_py())
-            parts.append((rows, [np.fromiter((name(w, len(names)) for w in split(t or "")), np.int32) for t in rows.column("text").to_pylist()]))
-        # the block's words in order are at 0, 1, ...; here they are numbered by first occurrence
-        ordered = np.array(sorted(range(len(names)), key=list(names).__getitem__), np.int64)
-        at = np.empty(len(names), np.int64)
-        at[ordered] = np.arange(len(names))
-        by = np.empty(len(words), np.int64)
-        by[words.column("at").to_numpy()] = np.arange(len(words))
-        if len(words) != len(names):
-            raise RuntimeError("a block and its words do not fit")
-        ids = words.column("ids").combine_chunks().cast(pa.large_binary())
-        off = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4 if len(ids) else np.zeros(1, np.int64)
-        flat = np.frombuffer(ids.buffers()[2], np.uint32) if len(ids) else np.zeros(0, np.uint32)
+            rows = unpack(blob.as_py())
+            numbers = []
+            for text in rows.column("text").to_pylist():
+                cut = split.pieces(text or "")
+                numbers.append(np.array([whole[text]] if cut is None else [first[cut[0]], *map(later.__getitem__, cut[1:])], np.int32))
+            parts.append((rows.drop_columns(["text"]), np.array([len(x) for x in numbers], np.int64), np.concatenate(numbers) if numbers else np.zeros(0, np.int32)))
+        tokens, token_ptr = np.array(flat, np.int64), np.array(ptr, np.int64)
+        del flat, ptr, first, later, whole
+        # ids of the block's words, as they came: by part of the word table, in order
+        reply = {p: (i.as_py(), n.as_py()) for p, i, n in zip(words.column("p").to_pylist(), words.column("ids"), words.column("sizes"), strict=True)}
+        flat_, size_, at = [], [], np.full(len(names), -1, np.int64)
+        n = 0
+        for p, mine in enumerate(_by_part(sorted(names), len(keys))):
+            if not mine:
+                continue
+            ids, sizes = (next(iter(unpack(x).columns)).to_numpy() for x in reply.pop(keys[p]))
+            if len(sizes) != len(mine):
+                raise RuntimeError("a block and its words do not fit")
+            at[[names[w] for w in mine]] = np.arange(n, n + len(mine))
+            flat_.append(ids)
+            size_.append(sizes)
+            n += len(mine)
+        names.clear()
+        flat = np.concatenate(flat_) if flat_ else np.zeros(0, np.uint32)
+        size = np.concatenate(size_).astype(np.int64) if size_ else np.zeros(0, np.int64)
+        off = np.cumsum(size) - size
         out = []
-        for rows, tokens in parts:
-            n = np.array([len(t) for t in tokens])
-            w = by[at[np.concatenate(tokens)]] if n.sum() else np.zeros(0, np.int64)
-            size = off[w + 1] - off[w]
-            got = flat[np.repeat(off[w] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            word_ptr = np.concatenate([[0], np.cumsum(n)])
-            ptr = np.concatenate([[0], np.cumsum(size)])[word_ptr]
-            packed = [got[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
-            kept = [rows.column(c) for c in rows.column_names if c != "text"]
-            out.append(pa.Table.from_arrays([*kept, pa.array(np.diff(ptr), pa.int64()), pa.array(packed, pa.binary()), pa.array(pieces.decode(got, ptr), pa.string())], schema=fields))
-        return pa.concat_tables(out).combine_chunks() if out else fields.empty_table()
+        while parts:
+            rows, count, numbers = parts.pop()
+            many = token_ptr[numbers + 1] - token_ptr[numbers]
+            w = at[tokens[np.repeat(token_ptr[numbers] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]]
+            count = np.diff(np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(count)])])
+            k = size[w]
+            got = flat[np.repeat(off[w] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+            ptr = np.concatenate([[0], np.cumsum(k)])[np.concatenate([[0], np.cumsum(count)])]
+            packed = pa.Array.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer((ptr * 4).astype(np.int64)), pa.py_buffer(got.astype("<u4"))]).cast(pa.binary())
+            out.append(pa.Table.from_arrays([*rows.columns, pa.array(np.diff(ptr), pa.int64()), packed, pa.array(pieces.decode(got, ptr), pa.string())], schema=fields))
+        return pa.concat_tables(out) if out else fields.empty_table()
 
-    return run
+    return lean(run)
 
 
 def encode(docs: DataFrame, tokenizer: str, keep: list[str], n_tokens: str = "n_tokens", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -212,17 +249,17 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], n_tokens: str = "n_
 
     spark = docs.sparkSession
     special, held = special_tokens(tokenizer), spark.sparkContext.broadcast(tokenizer)
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = [f"c{i}" for i in range(len(keep))]
-    salt = F.xxhash64(*(F.col(f"`{c}`") for c in keep if not isinstance(docs.schema[c].dataType, T.MapType)), "text")
-    rows = docs.select(F.pmod(salt, F.lit(n)).cast("int").alias("b"), *(F.col(f"`{c}`").alias(o) for c, o in zip(keep, own, strict=True)), F.col("text").alias("text"))
-    blocks = rows.mapInArrow(_pack(_keys(spark, n)), "k int, blob binary").repartition(n, "k")
-    words = blocks.mapInArrow(_name_words(special), "k int, at int, word string")
-    encoded = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode_words(held, special), "k int, at int, ids binary").repartition(n, "k")
+    keys = block_keys(spark, n)
+    blocks = deal(docs, keep, own, keys)
+    words = blocks.mapInArrow(_name_words(special, keys), "p int, k int, words binary")
+    encoded = words.repartition(n, "p").mapInArrow(_encode_words(held), "k int, p int, ids binary, sizes binary").repartition(n, "k")
     made = [T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
     schema = T.StructType([*(T.StructField(o, docs.schema[c].dataType) for c, o in zip(keep, own, strict=True)), *made])
     fields = to_arrow_schema(schema)
-    out = blocks.groupBy("k").cogroup(encoded.groupBy("k")).applyInArrow(_join_positions(held, special, fields), schema)
+    out = blocks.groupBy("k").cogroup(encoded.groupBy("k")).applyInArrow(_join_positions(held, special, keys, fields), schema)
     return out.toDF(*keep, n_tokens, ids, decoded)
 
 

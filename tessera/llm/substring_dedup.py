@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from . import tokens
 from .blocks import block_keys, deal, shrunk, unpack
+from .lean import lean, small_batches
 
 WIDTH = 20
 ROUNDS = 3
@@ -184,7 +185,7 @@ def _ask_symbols(keys: list[int], width: int, rounds: int):
                 if b > a:
                     yield pa.RecordBatch.from_arrays([pa.array([keys[p]], pa.int32()), pa.array([k], pa.int32()), pa.array([shrunk(**_steps(names[a:b]), twice=pa.array(twice[a:b]))], pa.binary())], ["p", "k", "entries"])
 
-    return run
+    return lean(run)
 
 
 def _count_symbols(group: pa.Table) -> pa.Table:
@@ -249,7 +250,7 @@ def _ask_windows(keys: list[int], width: int, rounds: int):
                 e_.append(shrunk(**_steps(f.a[x]), b=pa.array(f.b[x]), doc=pa.array(f.doc[x]), at=pa.array(f.at[x].astype(np.int32))))
         return pa.table({"p": pa.array(p_, pa.int32()), "k": pa.array([key[0].as_py()] * len(p_), pa.int32()), "entries": pa.array(e_, pa.binary())})
 
-    return run
+    return lean(run)
 
 
 def _first_windows(group: pa.Table) -> pa.Table:
@@ -287,7 +288,7 @@ def _cut(keys: list[int], width: int, rounds: int, fields: pa.Schema):
             out.append(_rest(rows, buf, w, removed, fields))
         return pa.concat_tables(out) if out else fields.empty_table()
 
-    return run
+    return lean(run)
 
 
 def _rest(rows: pa.Table, buf: np.ndarray, w: tokens.Words, removed: np.ndarray, fields: pa.Schema) -> pa.Table:
@@ -323,16 +324,17 @@ def dedup_substrings(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", w
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = block_keys(spark, n)
     own = [f"c{i}" for i in range(len(keep))]
     ordered = docs.select(*(docs[f"`{c}`"].alias(o) for c, o in zip(keep, own, strict=True)), docs[f"`{doc_id}`"].cast("long").alias("order"), docs["text"].alias("text"))
     blocks = deal(ordered, [*own, "order"], [*own, "order"], keys)
     reply = "k int, p int, bits binary"
-    symbols = blocks.mapInArrow(_ask_symbols(keys, width, rounds), "p int, k int, entries binary").repartition(n, "p").groupBy("p").applyInArrow(_count_symbols, reply)
+    symbols = blocks.mapInArrow(_ask_symbols(keys, width, rounds), "p int, k int, entries binary").repartition(n, "p").groupBy("p").applyInArrow(lean(_count_symbols), reply)
     symbols = symbols.repartition(n, "k")
     windows = blocks.groupBy("k").cogroup(symbols.groupBy("k")).applyInArrow(_ask_windows(keys, width, rounds), "p int, k int, entries binary")
-    firsts = windows.repartition(n, "p").groupBy("p").applyInArrow(_first_windows, reply)
+    firsts = windows.repartition(n, "p").groupBy("p").applyInArrow(lean(_first_windows), reply)
     both = symbols.selectExpr("k", "p", "bits", "0 AS kind").unionByName(firsts.selectExpr("k", "p", "bits", "1 AS kind")).repartition(n, "k")
     span = T.ArrayType(T.StructType([T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())]))
     made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("removed", span)]
