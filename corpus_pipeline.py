@@ -39,8 +39,9 @@ def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one of the smallest doc_id."""
     found = jaccard.near_duplicates(docs, n=5, num=80, den=100)
-    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "pipeline-duplicates")
-    return docs.join(small(gone), docs["doc_id"] == gone["__gone"], "left_anti")
+    name = own_names(docs, "gone")["gone"]
+    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "pipeline-duplicates")
+    return docs.join(small(gone), docs["doc_id"] == gone[name], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import n_words, own_names, stored
 
 BLOCK = 4096
 MAX_SOURCES = 100_000
@@ -132,7 +132,9 @@ def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[f
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, all columns as they are, each row as often as its copies say."""
-    decided = plan(docs, **options).select(F.col("key").alias("__mix_key"), F.col("copies").alias("__mix_copies")).filter("__mix_copies > 0")
+    name = own_names(docs, "key", "copies", "i")
+    decided = plan(docs, **options).filter("copies > 0").select(F.col("key").alias(name["key"]), F.col("copies").alias(name["copies"]))
     key = F.xxhash64("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = docs.withColumn("__mix_key", key).join(decided, "__mix_key")
-    return keyed.withColumn("__mix_i", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*(docs[c] for c in docs.columns))
+    keyed = docs.withColumn(name["key"], key).join(decided, name["key"])
+    each = keyed.withColumn(name["i"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(name["copies"]))))
+    return each.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -102,17 +102,17 @@ def match(patterns: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """The pages with struct column `judged`: host, path, rule, verdict, confidence and the mined tokens that decided.
     labels: page_id and bad (boolean)."""
-    name = own_names(pages, "pattern", "host", "path", "given", "tokens")
+    name = own_names(pages, "pattern", "host", "path", "given", "confidence", "antecedent")
     toks = tokens(F.col("url"))
     bad = labels.groupBy("page_id").agg(F.bool_or("bad").alias("bad")).filter("bad IS NOT NULL")
     mined = mine(pages.select("page_id", toks.alias("tokens")).join(bad, "page_id").select("tokens", "bad"), min_support, min_confidence)
     patterns = stored(pages.select(toks.alias("tokens")).groupBy("tokens").agg(F.lit(1).alias("one")).select(F.xxhash64("tokens").alias("pattern"), "tokens"), "url-patterns")
-    found = stored(match(patterns, mined), "url-matched").withColumnsRenamed({"pattern": name["pattern"], "confidence": "__confidence", "antecedent": "__antecedent"})
+    found = stored(match(patterns, mined), "url-matched").withColumnsRenamed({k: name[k] for k in ("pattern", "confidence", "antecedent")})
     host, path = host_path(F.col("url"))
     out = pages.withColumn(name["pattern"], F.xxhash64(toks)).join(small(found), name["pattern"], "left")
     out = out.withColumn(name["host"], host).withColumn(name["path"], path)
     out = out.withColumn(name["given"], fitting_rule(F.col(name["host"]), F.col(name["path"]), rules) if rules else F.lit(None).cast("struct<rule:string,verdict:string>"))
     given = F.col(name["given"])
-    verdict = F.when(given.isNotNull(), given["verdict"]).when(F.col("__confidence").isNotNull(), BLOCK).otherwise(ALLOW)
-    judged = F.struct(F.col(name["host"]).alias("host"), F.col(name["path"]).alias("path"), given["rule"].alias("rule"), verdict.alias("verdict"), F.col("__confidence").alias("confidence"), F.col("__antecedent").alias("tokens"))
+    verdict = F.when(given.isNotNull(), given["verdict"]).when(F.col(name["confidence"]).isNotNull(), BLOCK).otherwise(ALLOW)
+    judged = F.struct(F.col(name["host"]).alias("host"), F.col(name["path"]).alias("path"), given["rule"].alias("rule"), verdict.alias("verdict"), F.col(name["confidence"]).alias("confidence"), F.col(name["antecedent"]).alias("tokens"))
     return out.select(*(F.col(f"`{c}`") for c in pages.columns), judged.alias("judged"))
