@@ -48,6 +48,8 @@ class Dataset:
             if not callable(kind) and kind not in ENGINES:
                 raise ValueError(f"no such engine: {kind}")
             read = kind if callable(kind) else ENGINES[kind]
+            if kind == "avro" and size:
+                options["part_size"] = size
             self._df = read(self.spark, self.paths, **options)
             schema = schema or sinks.find_schema(self.spark, self.paths[0])
         else:
@@ -148,8 +150,7 @@ class Dataset:
     def repartition(self, npartitions: int | None = None, partition_size: Any = None) -> Dataset:
         """By number, or by the bytes that a partition may have, of which Spark estimates the total."""
         if partition_size is not None:
-            total = int(str(self._df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-            npartitions = max(1, math.ceil(total / _bytes(partition_size)))
+            npartitions = max(1, math.ceil(estimated_bytes(self._df) / _bytes(partition_size)))
         return self._like(self._df.repartition(npartitions or self.npartitions), self.schema)
 
     def shuffle_by_keys(self, keys: str | list[str], hive_data: bool | None = None, npartitions: int | None = None) -> Dataset:
@@ -247,8 +248,7 @@ class Dataset:
         """Rewrites rows, in their order, to files of about a size and row groups of about 128 MB. The order is that of
         the files as read, or by columns."""
         df = self.to_df(columns)
-        total = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        n = max(1, math.ceil(total / _bytes(file_size)))
+        n = max(1, math.ceil(estimated_bytes(df) / _bytes(file_size)))
         if order:
             placed = df.repartitionByRange(n, *map(quoted, order)).sortWithinPartitions(*map(quoted, order))
         else:
@@ -323,6 +323,12 @@ class Dataset:
         return self._like(f(self._df), None)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What Spark's statistics say; where they say nothing, rows times the usual size of their types."""
+    total = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return total if total < 1 << 60 else df.count() * int(df._jdf.schema().defaultSize())
+
+
 class DataFrameIter:
     """Partitions one after another as pandas frames; each is computed when it is asked for."""
 
