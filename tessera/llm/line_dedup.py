@@ -33,7 +33,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def _hashes(text: Column) -> Column:
     """Per line its hash; null for lines without a word."""
-    return F.transform(F.split(text, "\n"), lambda x: F.when(F.length(F.translate(x, SPACES, "")) > 0, F.xxhash64(x)))
+    return F.transform(F.split(text, "\n"), lambda x: F.when(F.btrim(x, F.lit(SPACES)) != "", F.xxhash64(x)))
 
 
 def lines(docs: DataFrame, site: str) -> DataFrame:
