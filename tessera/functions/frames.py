@@ -182,3 +182,21 @@ def apply(df: DataFrame, f: Callable, schema: Any) -> DataFrame:
 
 def pipe(df: DataFrame, f: Callable, *args: Any, **kwargs: Any) -> DataFrame:
     return f(df, *args, **kwargs)
+
+
+def from_dict(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
+    """A frame of columns in memory."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table(columns))
+
+
+def arange(spark: SparkSession, start: int, stop: int, step: int = 1, name: str = "id") -> DataFrame:
+    """Whole numbers, made where they are needed."""
+    return spark.range(start, stop, step).toDF(name)
+
+
+def filled(df: DataFrame, name: str, value: Any, kind: str | None = None) -> DataFrame:
+    """Adds a column of one value."""
+    c = F.lit(value)
+    return df.withColumn(name, c.cast(kind) if kind else c)
