@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +40,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
+@atexit.register
+def _remove_stored() -> None:
+    """Tables are of use as long as some result may still be computed, so they go when the driver ends, if its session
+    lives until then; otherwise the folder is the cluster's to clean."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    for path in _made:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage, survives the loss of executors, is computed once."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

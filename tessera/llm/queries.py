@@ -8,11 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, language_id, line_dedup, mixing, quality_pu, quality_rules, substring_dedup, url_filter
+from . import ann, bpe, jaccard, language_id, line_dedup, mixing, oracles, quality_pu, quality_rules, substring_dedup, url_filter
 from .common import table
 
-GAP_SQL = r"'[\x20\x09-\x0D]+'"
-
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -27,32 +25,6 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-OP2_SQL = rf"""
-WITH each AS (
-  SELECT doc_id, coalesce(source, chr(0)) AS site, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS i
-  FROM documents WHERE text IS NOT NULL),
-marked AS (
-  SELECT *, CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN line ELSE '' END AS word_line FROM each),
-framed AS (
-  SELECT *, coalesce(lag(word_line) OVER w, '') AS before, coalesce(lead(word_line) OVER w, '') AS after
-  FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-boiler AS (
-  SELECT word_line AS line FROM framed WHERE word_line <> '' GROUP BY word_line
-  HAVING count(DISTINCT site) >= {line_dedup.MIN_SITES}
-     AND count(DISTINCT (before, after)) >= {line_dedup.MIN_CONTEXTS} * count(*)),
-judged AS (
-  SELECT f.doc_id, f.i, f.line, f.word_line, b.line IS NOT NULL AS gone
-  FROM framed f LEFT JOIN boiler b ON f.word_line = b.line),
-kept AS (
-  SELECT doc_id, count(*) FILTER (WHERE word_line <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text
-  FROM judged GROUP BY doc_id)
-SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, sha256(k.text) AS kept_sha256
-FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
-"""
-
-
 #: The rules given for pages.
 PAGE_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -129,4 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": oracles.LINE_DEDUP,
+    "op7_quality_rules": oracles.QUALITY_RULES,
+    "op8_jaccard_join": oracles.JACCARD,
+    "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+}

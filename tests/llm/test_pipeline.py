@@ -2,7 +2,9 @@
 
 import random
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -77,14 +79,13 @@ def test_recall_of_the_registered_search(spark):
     assert len(got & true) / len(true) >= 0.9
 
 
-def test_line_dedup_query_in_duckdb(spark):
-    import duckdb
-
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op7_quality_rules", "op8_jaccard_join", "op9_substring_dedup"])
+def test_query_in_duckdb(spark, name):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = sorted(c.execute(__spark_entry__.oracle_sql()["op2_line_dedup"]).fetchall())
-    got = sorted(map(tuple, __spark_entry__.queries()["op2_line_dedup"](spark, SF).collect()))
-    assert got == want
+    rows = c.execute(__spark_entry__.oracle_sql()[name])
+    columns = [d[0] for d in rows.description]
+    assert sorted(rows.fetchall()) == sorted(map(tuple, __spark_entry__.queries()[name](spark, SF).select(*columns).collect()))
 
 
 def test_mixing_query_sums(spark):
