@@ -253,7 +253,7 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(change)))
 
 
-def _scan(t: Threshold):
+def _scan(t: Threshold, every_link: bool):
     """Rows (sig, c, n, f) in order, equal sigs together, to rows (kind, sig, a, b, na, nb): kind 0 is a linked pair, 1 a
     candidate, 2 a member a of a long list."""
 
@@ -274,9 +274,10 @@ def _scan(t: Threshold):
                 for k in range(m - 1):
                     a_.append(np.full(m - 1 - k, st + k))
                     b_.append(np.arange(st + k + 1, st + m))
-                    if t.linked(c[st], n[st], n[st + m - 1]):
+                    if not every_link and t.linked(c[st], n[st], n[st + m - 1]):
                         break
             else:
+                # some hubs against all; the rest is left to tiles
                 for k in np.linspace(0, m - 1, HUBS).astype(int):
                     a_.append(np.full(m, st + k))
                     b_.append(np.arange(st, st + m))
@@ -353,12 +354,13 @@ def _verify(t: Threshold):
 
 class Join(NamedTuple):
     described: DataFrame  # doc_id, n, f of every document
-    links: DataFrame  # a, b: fingerprints of linked sets, which connect all that are connected
+    links: DataFrame  # a, b: fingerprints of linked sets; enough to connect all that are connected, or every link
     roots: DataFrame  # node, root: component of each linked set
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Join:
-    """Links the documents (doc_id, text) by their sets of n consecutive words."""
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, every_link: bool = False) -> Join:
+    """Links the documents (doc_id, text) by their sets of n consecutive words. every_link: also the links inside of
+    components that are connected without them, of which a large group of near copies has very many."""
     small_batches(docs.sparkSession)
     t = Threshold(num, den)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -369,13 +371,14 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Join:
     heavy = boundary(histogram, t)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = base.mapInArrow(_sign(n, t, heavy), "sig long, f long, n int, c int").repartition(parts, "sig").sortWithinPartitions("sig", "c", "n", "f")
-    scanned = stored(signed.mapInArrow(_scan(t), "kind int, sig long, a long, b long, na int, nb int"), "jaccard-lists")
+    scanned = stored(signed.mapInArrow(_scan(t, every_link), "kind int, sig long, a long, b long, na int, nb int"), "jaccard-lists")
     links = stored(scanned.filter("kind = 0").select("a", "b").distinct(), "jaccard-light")
     links = stored(links.unionByName(_links(base, known, scanned.filter("kind = 1").select("a", "b", "na", "nb").distinct(), n, t)), "jaccard-links")
     roots = components(links)
     long = scanned.filter("kind = 2").select("sig", F.col("a").alias("f"), F.col("na").alias("n"))
     if not long.isEmpty():
-        links = stored(links.unionByName(_links(base, known, stored(_cross(long, roots, known, t), "jaccard-cross"), n, t)), "jaccard-links")
+        apart_ = roots.filter(F.lit(False)) if every_link else roots  # each set on its own
+        links = stored(links.unionByName(_links(base, known, stored(_cross(long, apart_, known, t), "jaccard-cross"), n, t)).distinct(), "jaccard-links")
         roots = components(links)
     return Join(described.select("doc_id", "n", "f"), links, roots)
 
@@ -482,3 +485,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     of = stored(comp.join(smallest, "root").select("f", "component_id"), "jaccard-components")
     out = j.described.join(small(of), "f")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def link_counts(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of those with an equal set; null for an empty set) and n_links (other sets that
+    link with it) of every document; with `linked_classes`, the whole join without copies written out."""
+    j = join(docs, n, num, den, every_link=True)
+    ends = j.links.select(F.col("a").alias("f")).unionByName(j.links.select(F.col("b").alias("f")))
+    counted = ends.groupBy("f").agg(F.count("*").alias("n_links"))
+    ids = j.described.filter("n > 0").groupBy("f").agg(F.min("doc_id").alias("class_id")).join(counted, "f", "left")
+    of = stored(ids, "jaccard-classes")
+    out = j.described.join(small(of), "f", "left")
+    return out.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def linked_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """a, b: every pair of classes of equal sets that link, by their smallest doc_ids."""
+    j = join(docs, n, num, den, every_link=True)
+    ids = stored(j.described.filter("n > 0").groupBy("f").agg(F.min("doc_id").alias("id")), "jaccard-classes")
+    pairs = j.links.join(ids.toDF("a", "ia"), "a").join(ids.toDF("b", "ib"), "b")
+    return pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))

@@ -86,6 +86,25 @@ def test_long_lists_lose_no_link(spark, monkeypatch, short, tile):
     assert got == brute_components(dict(enumerate(texts)), 3, 90, 100)
 
 
+@pytest.mark.parametrize("short", [2, 12])
+def test_every_link(spark, monkeypatch, short):
+    r = random.Random(21)
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    texts = corpus(r)[:60]
+    t = prose(r, 70)
+    texts += [edited(r, t, 1) for _ in range(20)] + ["", None]
+    s = {i: shingles(x, 3) for i, x in enumerate(texts)}
+    first = {}
+    for i, x in s.items():
+        first.setdefault(x, i)
+    want = {(first[a], first[b]) for a, b in itertools.combinations(first, 2) if a and b and 100 * len(a & b) >= 90 * len(a | b)}
+    want = {tuple(sorted(p)) for p in want}
+    docs = frame(spark, texts)
+    assert sorted(map(tuple, jaccard.linked_classes(docs, 3, 90, 100).collect())) == sorted(want)
+    counts = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard.link_counts(docs, 3, 90, 100).collect()}
+    assert counts == {i: (first[x] if x else None, sum(first[x] in p for p in want) if x else 0) for i, x in s.items()}
+
+
 def test_sketches_never_exceed_the_difference():
     r = random.Random(10)
     t = jaccard.Threshold(80, 100)
