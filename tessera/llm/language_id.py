@@ -2,7 +2,7 @@
 
 Script ranges narrow the languages that a word can be of; byte trigrams give each word a score per candidate; Viterbi
 decoding over the words, with a penalty for each switch of language, labels spans. A text's language is the one of most
-of its words.
+of its words, or, for a text of a few words, the one with the highest total score.
 
 The model is learned by counting in Spark over at most about `train_rows` labelled texts, chosen by a hash of the text.
 
@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
+from .lean import lean, small_batches
 
 TRAIN_ROWS = 20_000
 BUCKETS = 1 << 16
 SWITCH = 12.0
 PIECE = 256
+#: Up to so many words, a text is of the language with the highest total score, and the score is its odds.
+SHORT = 20
 UNDETERMINED = "und"
 
 #: First code points of blocks and the script that holds from there to the next one.
@@ -126,7 +129,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     share = train_rows / max(1, labelled.count())
     if share < 1:
         rows = rows.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    counts = rows.mapInArrow(_count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(lean(_count), "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counts["lang"].unique(), key=lambda s: [ord(c) for c in s])
     n = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(names)))
     n[counts["at"].to_numpy(np.int64), counts["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64)] = counts["n"]
@@ -229,9 +232,12 @@ def predict_batch(column: pa.Array, model: Model, switch: float) -> tuple[list,
         s_lang.append(label[change])
         s_first.append(change - w.ptr[:-1][row[change]])
         s_size.append(ends - change)
-        best = np.where(votes.sum(1) > 0, votes.argmax(1), model.commonest)
-        order = np.exp(total - total.max(1, keepdims=True))
-        sure = votes[np.arange(j - i), best] / np.maximum(1, votes.sum(1)) * np.maximum(order[np.arange(j - i), best] / order.sum(1), votes.max(1) > 20)
+        told = votes.sum(1)
+        best = np.where(told > SHORT, votes.argmax(1), total.argmax(1))
+        best = np.where(told > 0, best, model.commonest)
+        chance = np.exp(total - total.max(1, keepdims=True))
+        of, at = np.arange(j - i), best
+        sure = np.where(told > SHORT, votes[of, at] / np.maximum(1, told), chance[of, at] / chance.sum(1)) * (told > 0)
         for r in np.flatnonzero(lettered > 0):
             langs[i + r], scores[i + r] = names[best[r]], float(sure[r])
         for r in np.flatnonzero((lettered == 0) & (size > 0)):  # letters outside of the table of scripts
@@ -244,8 +250,9 @@ def predict_batch(column: pa.Array, model: Model, switch: float) -> tuple[list,
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, lang_pred: str = "lang_pred", score: str = "score", spans: str = "spans") -> DataFrame:
-    """Adds to the documents their language, how sure it is (0 to 1: the share of words in it, times the odds against
-    other languages for short texts), and the labelled spans in words."""
+    """Adds to the documents their language, how sure it is (0 to 1: the share of words in it, or the odds of a text of a
+    few words), and the labelled spans in words."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = list(docs.columns)
 
@@ -257,7 +264,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, lang_pred: s
 
     span = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(spans, span)])
-    return docs.mapInArrow(label, schema)
+    return docs.mapInArrow(lean(label), schema)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
