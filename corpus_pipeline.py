@@ -17,16 +17,14 @@ from tessera.llm import bpe, jaccard, language_id, line_dedup, mixing
 from tessera.llm.common import own_names, small, stored, table
 from tessera.llm.queries import byte_bpe
 
-#: Texts of which less than this share is surely in the language found are rejected.
-MIN_SCORE = 0.3
-
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language; learns from the labelled languages of all."""
+    """Rejects documents whose language cannot be told, having no letters or only such of scripts that no language was
+    learned with; learns from the labelled languages of all."""
     name = own_names(docs, "lang_pred", "score", "spans")
     model = language_id.fit(docs.select("text", "lang"))
     told = language_id.identify(docs, model, lang_pred=name["lang_pred"], score=name["score"], spans=name["spans"])
-    kept = (F.col(name["lang_pred"]) != language_id.UNDETERMINED) & (F.col(name["score"]) >= MIN_SCORE)
+    kept = (F.col(name["lang_pred"]) != language_id.UNDETERMINED) & (F.col(name["score"]) > 0)
     return told.filter(kept).select(*(f"`{c}`" for c in docs.columns))
 
 
