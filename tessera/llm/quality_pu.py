@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import stored
+from .lean import lean, small_batches
 
 TRAIN_ROWS = 20_000
 FEATURES = ["symbols", "bars", "bangs", "capitals", "digits", "commas_stops", "stutter", "distinct", "repeated", "long_words", "short_words", "lines", "log_words", "non_ascii"]
@@ -82,8 +83,9 @@ def featurise(docs: DataFrame) -> DataFrame:
                 x = features(*tokens.buffer(batch.column("text").slice(i, j - i))).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *map(pa.array, x.T)], ["doc_id", *FEATURES])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{f} float" for f in FEATURES)]))
+    return docs.select("doc_id", "text").mapInArrow(lean(run), ", ".join([f"doc_id {kind}", *(f"{f} float" for f in FEATURES)]))
 
 
 class Model(NamedTuple):
