@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tokens
 from .blocks import block_keys, deal, shrunk, unpack
 from .lean import lean, small_batches
 
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_MARKS = frozenset(",.;:!?")
 
 
 def special_tokens(tokenizer: str) -> dict[str, int]:
@@ -50,49 +52,91 @@ class Splitter:
         self.find = regex.compile(PATTERN).findall
         self.special = special
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")").split if special else None
-        self.uneven = re.compile(r"\A | \Z|\s | \s").search
+        self.beside = re.compile(r" (?:\s|(?<=\s ))").search
 
     def __call__(self, text: str) -> list[str]:
         if self.cut is None or not any(x in text for x in self.special):
             return self.find(text)
         return reduce(lambda a, x: a + ([x] if x in self.special else self.find(x)), self.cut(text), [])
 
-    def pieces(self, text: str) -> list[str] | None:
-        """What is between the spaces, all but the first to be preceded by one; none if it cannot be cut so."""
-        if self.uneven(text) or any(x in text for x in self.special):
-            return None
-        return text.split(" ")
-
-    def distinct(self, texts: Iterator[str]) -> set[str]:
-        """The distinct words of texts."""
-        first, later, words = set(), set(), set()
-        for text in texts:
-            cut = self.pieces(text)
-            if cut is None:
-                words.update(self(text))
-            else:
-                first.add(cut[0])
-                later.update(cut[1:])
-        for x in first:
-            words.update(self.find(x))
-        for x in later:
-            words.update(self.find(" " + x))
-        return words
-
-
-class Numbered(dict):
-    """Pieces to numbers in order of appearance; the words of piece i are flat[ptr[i]:ptr[i + 1]], numbered by names."""
-
-    def __init__(self, split, names: dict[str, int], flat: list[int], ptr: list[int]):
-        super().__init__()
-        self.split, self.names, self.flat, self.ptr = split, names, flat, ptr
-
-    def __missing__(self, piece: str) -> int:
-        names = self.names
-        self.flat.extend([names.setdefault(w, len(names)) for w in self.split(piece)])
-        self.ptr.append(len(self.flat))
-        self[piece] = n = len(self.ptr) - 2
-        return n
+    def is_even(self, text: str) -> bool:
+        """Whether the text can be cut at all its spaces."""
+        return not (text[:1] == " " or text[-1:] == " " or self.beside(text) or any(x in text for x in self.special))
+
+    def after_space(self, piece: str) -> list[str]:
+        """Words of a piece with its space; most pieces are letters and at most one mark."""
+        if piece.isalpha():
+            return [" " + piece]
+        if piece[-1:] in _MARKS and piece[:-1].isalpha():
+            return [" " + piece[:-1], piece[-1]]
+        return self.find(" " + piece)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[32] = True
+_FIRST = np.uint64(0x3C79AC492BA7B653)
+
+
+class Cut:
+    """The texts of a block, cut into numbered pieces; each distinct piece is split into words once. Pieces are told apart
+    by 64-bit hashes."""
+
+    def __init__(self, tables: list[pa.Table], split: Splitter):
+        self.split = split
+        hashes, buffers, starts, ends, first, self.even, self.counts, whole = [], [], [], [], [], [], [], {}
+        self.whole: list[np.ndarray] = []
+        for table in tables:
+            column = table.column("text").combine_chunks()
+            texts = [t or "" for t in column.to_pylist()]
+            even = np.array([split.is_even(t) for t in texts], bool)
+            self.whole.append(np.array([whole.setdefault(t, len(whole)) for t, e in zip(texts, even, strict=True) if not e], np.int64))
+            count = np.ones(len(texts), np.int64)
+            cut = column.filter(pa.array(even))
+            per = []
+            for a, b in tokens.slices(cut):
+                buf, off = tokens.buffer(cut.slice(a, b - a))
+                w = tokens.split(buf, off, _SPACE)
+                h = tokens.hashes(buf, w)
+                at = w.ptr[:-1][np.diff(w.ptr) > 0]
+                h[at] ^= _FIRST  # a text's first piece has no space before it
+                is_first = np.zeros(len(h), bool)
+                is_first[at] = True
+                hashes.append(h)
+                starts.append(w.start)
+                ends.append(w.end)
+                first.append(is_first)
+                buffers.append(buf)
+                per.append(np.diff(w.ptr))
+            count[even] = np.concatenate(per) if per else 0
+            self.even.append(even)
+            self.counts.append(count)
+        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        _, at, self.number = np.unique(cat(hashes, np.uint64), return_index=True, return_inverse=True)
+        of = np.searchsorted(np.cumsum([len(h) for h in hashes]), at, "right")
+        starts, ends, first = cat(starts, np.int64)[at], cat(ends, np.int64)[at], cat(first, bool)[at]
+        del hashes
+        self.pieces = [buffers[b][x:y].tobytes().decode() for b, x, y in zip(of, starts, ends, strict=True)]
+        self.first, self.texts, self.n = first, list(whole), len(self.pieces)
+
+    def words(self) -> Iterator[list[str]]:
+        """The words of each piece: of number 0, 1, ..., and then those of texts that could not be cut."""
+        find, after = self.split.find, self.split.after_space
+        for piece, first in zip(self.pieces, self.first.tolist(), strict=True):
+            yield find(piece) if first else after(piece)
+        for text in self.texts:
+            yield self.split(text)
+
+    def numbers(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per table: pieces of each text, and their numbers one after another."""
+        done, k = 0, self.n
+        for even, count, whole in zip(self.even, self.counts, self.whole, strict=True):
+            inside = np.repeat(even, count)
+            out = np.empty(len(inside), np.int64)
+            n = int(inside.sum())
+            out[inside] = self.number[done : done + n]
+            out[~inside] = k + whole
+            done += n
+            yield count, out
 
 
 def byte_of_char() -> dict[str, int]:
@@ -129,10 +173,6 @@ class Pieces:
         return out
 
 
-def _texts(blob: bytes) -> list[str]:
-    return [x or "" for x in unpack(blob).column("text").to_pylist()]
-
-
 def _part(word: str, n: int) -> int:
     """The part of the word table that has a word."""
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % n
@@ -156,7 +196,9 @@ def _name_words(special: dict[str, int], keys: list[int]):
                 blocks.setdefault(k, []).append(blob)
         while blocks:
             k, blobs = blocks.popitem()
-            mine = split.distinct(text for blob in blobs for text in _texts(blob))
+            mine: set[str] = set()
+            for words in Cut([unpack(b) for b in blobs], split).words():
+                mine.update(words)
             for p, words in enumerate(_by_part(sorted(mine), len(keys))):
                 if words:
                     yield pa.RecordBatch.from_arrays([pa.array([keys[p]], pa.int32()), pa.array([k], pa.int32()), pa.array([shrunk(word=pa.array(words, pa.string()))], pa.binary())], ["p", "k", "words"])
@@ -197,17 +239,16 @@ def _join_positions(held, special: dict[str, int], keys: list[int], fields: pa.S
         names: dict[str, int] = {}
         flat: list[int] = []
         ptr: list[int] = [0]
-        first, later, whole = (Numbered(f, names, flat, ptr) for f in (split.find, lambda x: split.find(" " + x), split))
-        parts = []
-        for blob in blobs.column("blob"):
-            rows = unpack(blob.as_py())
-            numbers = []
-            for text in rows.column("text").to_pylist():
-                cut = split.pieces(text or "")
-                numbers.append(np.array([whole[text]] if cut is None else [first[cut[0]], *map(later.__getitem__, cut[1:])], np.int32))
-            parts.append((rows.drop_columns(["text"]), np.array([len(x) for x in numbers], np.int64), np.concatenate(numbers) if numbers else np.zeros(0, np.int32)))
-        tokens, token_ptr = np.array(flat, np.int64), np.array(ptr, np.int64)
-        del flat, ptr, first, later, whole
+        tables = [unpack(b.as_py()) for b in blobs.column("blob")]
+        cut = Cut(tables, split)
+        name = names.setdefault
+        for words_ in cut.words():
+            flat += [name(w, len(names)) for w in words_]
+            ptr.append(len(flat))
+        cut.pieces = cut.texts = []
+        parts = [(rows.drop_columns(["text"]), count, numbers) for rows, (count, numbers) in zip(tables, cut.numbers(), strict=True)]
+        tokens_, token_ptr = np.array(flat, np.int64), np.array(ptr, np.int64)
+        del flat, ptr, cut, tables
         # ids of the block's words, as they came: by part of the word table, in order
         reply = {p: (i.as_py(), n.as_py()) for p, i, n in zip(words.column("p").to_pylist(), words.column("ids"), words.column("sizes"), strict=True)}
         flat_, size_, at = [], [], np.full(len(names), -1, np.int64)
@@ -230,7 +271,7 @@ def _join_positions(held, special: dict[str, int], keys: list[int], fields: pa.S
         while parts:
             rows, count, numbers = parts.pop()
             many = token_ptr[numbers + 1] - token_ptr[numbers]
-            w = at[tokens[np.repeat(token_ptr[numbers] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]]
+            w = at[tokens_[np.repeat(token_ptr[numbers] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]]
             count = np.diff(np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(count)])])
             k = size[w]
             got = flat[np.repeat(off[w] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]

@@ -45,8 +45,9 @@ def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]
         i = j
 
 
-def split(buf: np.ndarray, off: np.ndarray) -> Words:
-    inside = ~IS_SPACE[buf]
+def split(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = IS_SPACE) -> Words:
+    """gap: by byte, whether it stands between words."""
+    inside = ~gap[buf]
     n = len(buf)
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
