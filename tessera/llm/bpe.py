@@ -17,9 +17,8 @@ from __future__ import annotations
 import json
 import os
 import re
-import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -173,17 +172,30 @@ class Pieces:
         return out
 
 
-def _part(word: str, n: int) -> int:
-    """The part of the word table that has a word."""
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % n
+def _by_part(words: list[str], n: int) -> list[np.ndarray]:
+    """Places of words by part of the word table, which a hash of their bytes chooses; in each part in order."""
+    buf, off = tokens.buffer(pa.array(words, pa.string()))
+    h = tokens.hashes(buf, tokens.Words(off[:-1], off[1:], off))
+    part = ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.searchsorted(part[order], np.arange(1, n)))
 
 
-def _by_part(words: list[str], n: int) -> list[list[str]]:
-    """Words, in order, by part of the word table."""
-    out: list[list[str]] = [[] for _ in range(n)]
-    for w in words:
-        out[_part(w, n)].append(w)
-    return out
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str):
+    """Words to packed ids; a worker loads a tokenizer once."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_str(tokenizer)
+    tok.no_truncation()
+    tok.no_padding()
+    return getattr(tok, "encode_batch_fast", tok.encode_batch)  # without offsets, where there is that
+
+
+@lru_cache(maxsize=1)
+def _pieces(tokenizer: str) -> Pieces:
+    return Pieces(tokenizer)
 
 
 def _name_words(special: dict[str, int], keys: list[int]):
@@ -199,9 +211,11 @@ def _name_words(special: dict[str, int], keys: list[int]):
             mine: set[str] = set()
             for words in Cut([unpack(b) for b in blobs], split).words():
                 mine.update(words)
-            for p, words in enumerate(_by_part(sorted(mine), len(keys))):
-                if words:
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[p]], pa.int32()), pa.array([k], pa.int32()), pa.array([shrunk(word=pa.array(words, pa.string()))], pa.binary())], ["p", "k", "words"])
+            ordered = sorted(mine)
+            column = pa.array(ordered, pa.string())
+            for p, at in enumerate(_by_part(ordered, len(keys))):
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[p]], pa.int32()), pa.array([k], pa.int32()), pa.array([shrunk(word=column.take(pa.array(at)))], pa.binary())], ["p", "k", "words"])
 
     return lean(run)
 
@@ -211,13 +225,7 @@ def _encode_words(held):
     block asks for it; a part has its share of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_str(held.value)
-        tok.no_truncation()
-        tok.no_padding()
-        encode_batch = getattr(tok, "encode_batch_fast", tok.encode_batch)  # without offsets, where there is that
+        encode_batch = _encoder(held.value)
         known: dict[str, bytes] = {}
         for batch in batches:
             for p, k, blob in zip(batch.column("p").to_pylist(), batch.column("k").to_pylist(), batch.column("words"), strict=True):
@@ -235,7 +243,7 @@ def _encode_words(held):
 
 def _join_positions(held, special: dict[str, int], keys: list[int], fields: pa.Schema):
     def run(blobs: pa.Table, words: pa.Table) -> pa.Table:
-        pieces, split = Pieces(held.value), Splitter(special)
+        pieces, split = _pieces(held.value), Splitter(special)
         names: dict[str, int] = {}
         flat: list[int] = []
         ptr: list[int] = [0]
@@ -253,13 +261,15 @@ def _join_positions(held, special: dict[str, int], keys: list[int], fields: pa.S
         reply = {p: (i.as_py(), n.as_py()) for p, i, n in zip(words.column("p").to_pylist(), words.column("ids"), words.column("sizes"), strict=True)}
         flat_, size_, at = [], [], np.full(len(names), -1, np.int64)
         n = 0
-        for p, mine in enumerate(_by_part(sorted(names), len(keys))):
-            if not mine:
+        ordered = sorted(names)
+        number = np.array([names[w] for w in ordered], np.int64)
+        for p, mine in enumerate(_by_part(ordered, len(keys))):
+            if not len(mine):
                 continue
             ids, sizes = (next(iter(unpack(x).columns)).to_numpy() for x in reply.pop(keys[p]))
             if len(sizes) != len(mine):
                 raise RuntimeError("a block and its words do not fit")
-            at[[names[w] for w in mine]] = np.arange(n, n + len(mine))
+            at[number[mine]] = np.arange(n, n + len(mine))
             flat_.append(ids)
             size_.append(sizes)
             n += len(mine)
@@ -310,7 +320,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text")
     names = list(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(held.value)
+        pieces = _pieces(held.value)
         for batch in batches:
             packed = batch.column(names.index(ids)).to_pylist()
             each = [np.frombuffer(x or b"", np.uint32) for x in packed]
