@@ -82,40 +82,45 @@ class Cut:
 
     def __init__(self, tables: list[pa.Table], split: Splitter):
         self.split = split
-        hashes, buffers, starts, ends, first, self.even, self.counts, whole = [], [], [], [], [], [], [], {}
-        self.whole: list[np.ndarray] = []
+        self.even, self.counts, self.whole, self.parts = [], [], [], []
+        hashes, found, whole = [], [], {}
         for table in tables:
             column = table.column("text").combine_chunks()
             texts = [t or "" for t in column.to_pylist()]
             even = np.array([split.is_even(t) for t in texts], bool)
             self.whole.append(np.array([whole.setdefault(t, len(whole)) for t, e in zip(texts, even, strict=True) if not e], np.int64))
-            count = np.ones(len(texts), np.int64)
+            del texts
+            count = np.ones(len(even), np.int64)
             cut = column.filter(pa.array(even))
             per = []
-            for a, b in tokens.slices(cut):
+            for a, b in tokens.slices(cut, 1_000_000):
                 buf, off = tokens.buffer(cut.slice(a, b - a))
                 w = tokens.split(buf, off, _SPACE)
                 h = tokens.hashes(buf, w)
-                at = w.ptr[:-1][np.diff(w.ptr) > 0]
-                h[at] ^= _FIRST  # a text's first piece has no space before it
-                is_first = np.zeros(len(h), bool)
-                is_first[at] = True
-                hashes.append(h)
-                starts.append(w.start)
-                ends.append(w.end)
-                first.append(is_first)
-                buffers.append(buf)
+                first = w.ptr[:-1][np.diff(w.ptr) > 0]
+                h[first] ^= _FIRST  # a text's first piece has no space before it
+                # only distinct pieces of the slice are kept
+                own, at, number = np.unique(h, return_index=True, return_inverse=True)
+                hashes.append(own)
+                found.append((buf, w.start[at].astype(np.int32), w.end[at].astype(np.int32), np.isin(at, first)))
+                self.parts.append(number.astype(np.int32))
                 per.append(np.diff(w.ptr))
             count[even] = np.concatenate(per) if per else 0
             self.even.append(even)
             self.counts.append(count)
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        _, at, self.number = np.unique(cat(hashes, np.uint64), return_index=True, return_inverse=True)
-        of = np.searchsorted(np.cumsum([len(h) for h in hashes]), at, "right")
-        starts, ends, first = cat(starts, np.int64)[at], cat(ends, np.int64)[at], cat(first, bool)[at]
-        del hashes
-        self.pieces = [buffers[b][x:y].tobytes().decode() for b, x, y in zip(of, starts, ends, strict=True)]
-        self.first, self.texts, self.n = first, list(whole), len(self.pieces)
+        _, at, number = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
+        end = np.cumsum([len(h) for h in hashes])
+        self.parts = [n[x].astype(np.int32) for n, x in zip(np.split(number, end[:-1]) if hashes else [], self.parts, strict=True)]
+        self.pieces, self.first = [""] * len(at), np.zeros(len(at), bool)
+        order = np.argsort(at)
+        cuts = np.searchsorted(at[order], end)
+        for (buf, start, stop, first), k, lo, hi, base in zip(found, range(len(found)), [0, *cuts[:-1]], cuts, [0, *end[:-1]], strict=True):
+            for n in order[lo:hi].tolist():
+                i = at[n] - base
+                self.pieces[n] = buf[start[i] : stop[i]].tobytes().decode()
+            self.first[order[lo:hi]] = first[at[order[lo:hi]] - base]
+            found[k] = None  # type: ignore[call-overload]
+        self.texts, self.n = list(whole), len(self.pieces)
 
     def words(self) -> Iterator[list[str]]:
         """The words of each piece: of number 0, 1, ..., and then those of texts that could not be cut."""
@@ -127,13 +132,14 @@ class Cut:
 
     def numbers(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per table: pieces of each text, and their numbers one after another."""
-        done, k = 0, self.n
+        every = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int32)
+        done = 0
         for even, count, whole in zip(self.even, self.counts, self.whole, strict=True):
             inside = np.repeat(even, count)
-            out = np.empty(len(inside), np.int64)
+            out = np.empty(len(inside), np.int32)
             n = int(inside.sum())
-            out[inside] = self.number[done : done + n]
-            out[~inside] = k + whole
+            out[inside] = every[done : done + n]
+            out[~inside] = self.n + whole
             done += n
             yield count, out
 
