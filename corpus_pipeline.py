@@ -10,9 +10,10 @@ says. Extra columns of documents are kept up to the mix."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.frames import row_hash
 from tessera.llm import bpe, jaccard, language_id, line_dedup, mixing
 from tessera.llm.common import own_names, small, stored, table
 from tessera.llm.queries import byte_bpe
@@ -28,9 +29,22 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.filter(kept).select(*(f"`{c}`" for c in docs.columns))
 
 
+def key(docs: DataFrame) -> Column:
+    """Names a row, whatever ids repeat or are null; only rows that are equal in all columns share it. In its order come
+    smaller doc_ids first and null last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), row_hash(docs).alias("row"))
+
+
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines out that many sources share."""
-    out = line_dedup.dedup_lines(docs)
+    """Takes lines out that stand on many sources and in many documents, of which near copies of each other are one."""
+    found = jaccard.near_duplicates(docs.select(key(docs).alias("doc_id"), "text"), n=5, num=80, den=100)
+    name = own_names(docs, "own", "copied", "first", "body")
+    own, copied, first, body = (name[x] for x in ("own", "copied", "first", "body"))
+    copies = found.filter("n_shingles > 0").select(F.col("doc_id.h").alias(copied), F.col("component_id.h").alias(first))
+    copies = stored(copies.filter(F.col(copied) != F.col(first)).distinct(), "pipeline-copies")
+    told = docs.withColumn(own, F.xxhash64("text")).join(small(copies), F.col(own) == F.col(copied), "left")
+    told = stored(told.select(*(f"`{c}`" for c in docs.columns), F.coalesce(first, own).alias(body)), "pipeline-bodies")
+    out = line_dedup.dedup_lines(told, body=body).drop(body)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -5,6 +5,10 @@ its neighbour lines must number at least `min_contexts` of its occurrences. The
 which every page frames differently, from a line of a document of which many copies exist; copies are left for
 near-duplicate removal, which keeps one of them.
 
+Where it is known which documents are copies of each other, `body` names a column that is equal in them. Surroundings do
+not matter then: a line is boilerplate if it stands on `min_sites` sites and in as many bodies, however often each of them
+was copied and whatever stands next to the line.
+
 Spread is measured by HyperLogLog sketches per line hash, which are merged by aggregation. Lines whose estimates are too
 near a threshold for the sketch's error get exact distinct counts. Lines seen once, on one site or in one surrounding are
 left out before any sketch is built. Only DataFrame functions are used.
@@ -36,23 +40,25 @@ def _hashes(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.when(F.btrim(x, F.lit(SPACES)) != "", F.xxhash64(x)))
 
 
-def lines(docs: DataFrame, site: str) -> DataFrame:
-    """h, site, ctx of every line with a word."""
-    base = docs.filter(F.col("text").isNotNull()).select(F.xxhash64(F.col(site)).alias("site"), _hashes(F.col("text")).alias("hs"))
+def lines(docs: DataFrame, site: str, body: str | None = None) -> DataFrame:
+    """h, site, ctx of every line with a word; ctx is of the neighbour lines, or of the body."""
+    own = F.xxhash64(F.col(body)) if body else F.lit(None).cast("long")
+    base = docs.filter(F.col("text").isNotNull()).select(F.xxhash64(F.col(site)).alias("site"), own.alias("body"), _hashes(F.col("text")).alias("hs"))
     hs = F.col("hs")
     near = lambda i: F.coalesce(F.get(hs, i), F.lit(0))
-    each = F.transform(hs, lambda h, i: F.struct(h.alias("h"), F.xxhash64(near(i - 1), near(i + 1)).alias("ctx")))
+    ctx = lambda i: F.col("body") if body else F.xxhash64(near(i - 1), near(i + 1))
+    each = F.transform(hs, lambda h, i: F.struct(h.alias("h"), ctx(i).alias("ctx")))
     return base.select("site", F.explode(each).alias("x")).select("x.h", "site", "x.ctx").filter("h IS NOT NULL")
 
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_contexts: float = MIN_CONTEXTS) -> DataFrame:
+def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_contexts: float = MIN_CONTEXTS, body: str | None = None) -> DataFrame:
     """h of the boilerplate lines, with the sites, contexts and occurrences counted and whether they were counted exactly."""
-    every = lines(docs, site)
+    every = lines(docs, site, body)
     several = every.groupBy("h").agg(F.count("*").alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
     several = stored(several.filter((F.col("n") >= min_sites) & (F.col("s0") != F.col("s1")) & (F.col("c0") != F.col("c1"))).select("h"), "lines-several")
     sketched = every.join(small(several), "h").groupBy("h").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"), F.hll_sketch_agg("ctx", F.lit(LG_K)).alias("c"))
     seen = stored(sketched.select("h", "n", F.hll_sketch_estimate("s").alias("sites"), F.hll_sketch_estimate("c").alias("contexts")), "lines-spread")
-    need = F.col("n") * min_contexts
+    need = F.lit(min_sites) if body else F.col("n") * min_contexts
     above = (F.col("sites") > min_sites * (1 + BAND)) & (F.col("contexts") > need * (1 + BAND))
     below = (F.col("sites") < min_sites * (1 - BAND)) | (F.col("contexts") < need * (1 - BAND))
     close = seen.filter(~above & ~below).select("h")
@@ -63,10 +69,10 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return seen.filter(above).select(*cols, F.lit(False).alias("exact")).unionByName(exact.select(*cols, F.lit(True).alias("exact")))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_contexts: float = MIN_CONTEXTS, n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_contexts: float = MIN_CONTEXTS, n_lines: str | None = None, n_removed: str | None = None, body: str | None = None) -> DataFrame:
     """The documents, with boilerplate lines taken out of `text`. Names in n_lines and n_removed add columns: the lines
     with a word that a document had, and how many of them went."""
-    found = stored(boilerplate(docs, site, min_sites, min_contexts).select("h"), "lines-boilerplate")
+    found = stored(boilerplate(docs, site, min_sites, min_contexts, body).select("h"), "lines-boilerplate")
     name = own_names(docs, "hs", "at", "key", "pos", "hit", "cut")
     hs, at = F.col(name["hs"]), F.col(name["at"])
     out = docs.withColumn(name["hs"], F.coalesce(_hashes(F.col("text")), F.array().cast("array<bigint>")))

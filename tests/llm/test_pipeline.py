@@ -46,6 +46,21 @@ def test_stages_on_planted_cases(spark):
     assert len(last) == len(mixed) and all(len(x["ids"]) == 4 * x["n_tokens"] for x in last)
 
 
+def test_lines_of_copied_pages_and_footers_go(spark):
+    """A licence line inside 300 copies of a page, and footers of three lines, go everywhere; lines of near copies stay."""
+    r = random.Random(22)
+    foot = ["Imprint of the house", "All rights reserved by us", "Back to the top of the page"]
+    own = {i: prose(r, 60) for i in range(20)}
+    rows = [(i, "\n".join([t, *foot] if i < 10 else ["Licensed to all who ask", t]), f"src{i % 10}") for i, t in own.items()]
+    rows += [(100 + i, rows[10][1], f"src{i % 10}") for i in range(300)]
+    base = prose(r, 200)
+    near = {500 + i: base + f" tail{i}" for i in range(12)}
+    rows += [(i, t, f"src{i % 10}") for i, t in near.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = own | {100 + i: own[10] for i in range(300)} | near
+    assert {x["doc_id"]: x["text"] for x in corpus_pipeline.boilerplate(spark, docs, SF).collect()} == want
+
+
 def test_pipeline_of_odd_tables(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
