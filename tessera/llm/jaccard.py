@@ -39,6 +39,8 @@ from .lean import lean, small_batches
 #: Lists of at most so many sets give all pairs.
 SHORT = 12
 HUBS = 2
+#: Pairs of long lists of common subsets that are made at a time.
+PAIRS = 1_000_000
 #: Members of a long list that meet in a task, twice.
 TILE = 1024
 #: Costs of the inverted way besides its signatures, in signatures: sketch and verification of a set's candidates.
@@ -57,6 +59,10 @@ class Threshold(NamedTuple):
         """The largest size that links with s."""
         return s * self.den // self.num
 
+    def partner(self, common: int, s: int) -> int:
+        """The largest size that links with s by so many common elements."""
+        return self.den * common // self.num + common - s
+
     def differ(self, a: int, b: int) -> int:
         """In how many elements linked sets of sizes up to a and b can differ."""
         return (a + b) * (self.den - self.num) // (self.den + self.num)
@@ -257,24 +263,53 @@ def _scan(t: Threshold, every_link: bool):
     """Rows (sig, c, n, f) in order, equal sigs together, to rows (kind, sig, a, b, na, nb): kind 0 is a linked pair, 1 a
     candidate, 2 a member a of a long list."""
 
-    def lists(sig, c, n, f):
+    def lists(sig, c, n, f) -> Iterator[pa.RecordBatch]:
         keep = np.ones(len(sig), bool)
         keep[1:] = (sig[1:] != sig[:-1]) | (f[1:] != f[:-1]) | (c[1:] != c[:-1])
         sig, c, n, f = sig[keep], c[keep], n[keep], f[keep]
         start, size = _runs(sig, c)
-        kind, s_, a_, b_ = [], [], [], []
+
+        def batch(a_, b_, s_) -> pa.RecordBatch:
+            a = np.concatenate(a_) if a_ else np.zeros(0, int)
+            b = np.concatenate(b_) if b_ else np.zeros(0, int)
+            ok = (f[a] != f[b]) & (t.den * np.minimum(n[a], n[b]).astype(np.int64) >= t.num * np.maximum(n[a], n[b]).astype(np.int64))
+            ok &= (c[a] == 0) | t.linked(c[a].astype(np.int64), n[a].astype(np.int64), n[b].astype(np.int64))
+            a, b = a[ok], b[ok]
+            swap = f[a] > f[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            kind = np.where(c[a] > 0, 0, 1)
+            long = np.concatenate(s_) if s_ else np.zeros(0, int)
+            both = lambda x, y: np.concatenate([x, y])
+            zero = np.zeros(len(a), np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(both(kind, np.full(len(long), 2)).astype(np.int32)), pa.array(both(zero, sig[long])), pa.array(both(f[a], f[long])), pa.array(both(f[b], f[long])), pa.array(both(n[a], n[long]).astype(np.int32)), pa.array(both(n[b], n[long]).astype(np.int32))],
+                ["kind", "sig", "a", "b", "na", "nb"],
+            )
+
+        s_, a_, b_ = [], [], []
         for m in range(2, SHORT + 1):
             at = start[size == m]
             for i in range(m):
                 for j in range(i + 1, m):
                     a_.append(at + i)
                     b_.append(at + j)
+        held = 0
         for st, m in zip(start[size > SHORT], size[size > SHORT], strict=True):
-            if c[st]:  # a common subset: linked with the first of the list if large enough for both, and so on
+            if c[st]:
+                # a common subset: members link up to a largest size, which falls from one to the next, so that all that
+                # link at all link with the first
+                own = n[st : st + m]
                 for k in range(m - 1):
-                    a_.append(np.full(m - 1 - k, st + k))
-                    b_.append(np.arange(st + k + 1, st + m))
-                    if not every_link and t.linked(c[st], n[st], n[st + m - 1]):
+                    end = int(np.searchsorted(own, t.partner(int(c[st]), int(own[k])), "right"))
+                    if end <= k + 1:
+                        break
+                    a_.append(np.full(end - k - 1, st + k))
+                    b_.append(np.arange(st + k + 1, st + end))
+                    held += end - k - 1
+                    if held >= PAIRS:
+                        yield batch(a_, b_, s_)
+                        s_, a_, b_, held = [], [], [], 0
+                    if not every_link:
                         break
             else:
                 # some hubs against all; the rest is left to tiles
@@ -282,21 +317,7 @@ def _scan(t: Threshold, every_link: bool):
                     a_.append(np.full(m, st + k))
                     b_.append(np.arange(st, st + m))
                 s_.append(np.arange(st, st + m))
-        a = np.concatenate(a_) if a_ else np.zeros(0, int)
-        b = np.concatenate(b_) if b_ else np.zeros(0, int)
-        ok = (f[a] != f[b]) & (t.den * np.minimum(n[a], n[b]).astype(np.int64) >= t.num * np.maximum(n[a], n[b]).astype(np.int64))
-        ok &= (c[a] == 0) | t.linked(c[a].astype(np.int64), n[a].astype(np.int64), n[b].astype(np.int64))
-        a, b = a[ok], b[ok]
-        swap = f[a] > f[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        kind = np.where(c[a] > 0, 0, 1)
-        long = np.concatenate(s_) if s_ else np.zeros(0, int)
-        both = lambda x, y: np.concatenate([x, y])
-        zero = np.zeros(len(a), np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(both(kind, np.full(len(long), 2)).astype(np.int32)), pa.array(both(zero, sig[long])), pa.array(both(f[a], f[long])), pa.array(both(f[b], f[long])), pa.array(both(n[a], n[long]).astype(np.int32)), pa.array(both(n[b], n[long]).astype(np.int32))],
-            ["kind", "sig", "a", "b", "na", "nb"],
-        )
+        yield batch(a_, b_, s_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -307,11 +328,11 @@ def _scan(t: Threshold, every_link: bool):
             whole = np.flatnonzero(rows[0] != rows[0][-1])  # the last list may go on
             cut = int(whole[-1]) + 1 if len(whole) else 0
             if cut:
-                yield lists(*(np.concatenate(x) for x in zip(*held, tuple(r[:cut] for r in rows), strict=True)))
+                yield from lists(*(np.concatenate(x) for x in zip(*held, tuple(r[:cut] for r in rows), strict=True)))
                 held = []
             held.append(tuple(r[cut:].copy() for r in rows))
         if held:
-            yield lists(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from lists(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return lean(run)
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +106,28 @@ def test_every_link(spark, monkeypatch, short):
     assert counts == {i: (first[x] if x else None, sum(first[x] in p for p in want) if x else 0) for i, x in s.items()}
 
 
+@pytest.mark.parametrize("every_link", [False, True])
+def test_lists_of_common_subsets_name_only_partners(every_link):
+    """One list of 3000 sets of ten that share nine, which do not link; one of sets of 19 and 20 that share 18."""
+    t = jaccard.Threshold(90, 100)
+    n = np.array([10] * 3000 + [19] * 300 + [20] * 5, np.int32)
+    sig, c = np.array([1] * 3000 + [2] * 305), np.array([9] * 3000 + [18] * 305, np.int32)
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, c, n, np.arange(len(n)))], ["sig", "c", "n", "f"])
+    tracemalloc.start()
+    got = [x for b in jaccard._scan(t, every_link)(iter([rows])) for x in zip(b["kind"].to_pylist(), b["a"].to_pylist(), b["b"].to_pylist())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+    want = itertools.combinations(range(3000, 3300), 2) if every_link else ((3000, b) for b in range(3001, 3300))
+    assert sorted(got) == [(0, a, b) for a, b in want]
+
+
+def test_many_variants_of_a_short_text(spark):
+    docs = frame(spark, ["a b c d e f g h i j k " + f"w{i}" for i in range(50_000)])
+    out = jaccard.near_duplicates(docs, 3, 90, 100)
+    assert out.filter("component_id = doc_id AND n_shingles = 10").count() == 50_000
+
+
 def test_sketches_never_exceed_the_difference():
     r = random.Random(10)
     t = jaccard.Threshold(80, 100)
