@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 return the columns of documents. Between stages the rows are written as Parquet in the shared folder and read again.
 
 Defined cases: documents whose language cannot be told (no letters, null text) go in the first stage, whatever else they
-have; documents emptied of boilerplate stay, empty; of a group of near duplicates the one with the smallest doc_id stays;
-the mix repeats documents, so that doc_ids repeat after it; empty tables pass through; nulls are treated as each operator
+have; documents emptied of boilerplate stay, empty; of a group of near duplicates one row stays, the one with the
+smallest doc_id (null last), then of the smallest hash of its text, then of its row, also where ids or rows repeat; the mix repeats documents, so that doc_ids repeat after it; empty tables pass through; nulls are treated as each operator
 says. Extra columns of documents are kept up to the mix."""
 
 from __future__ import annotations
@@ -49,11 +49,17 @@ def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one of the smallest doc_id."""
-    found = jaccard.near_duplicates(docs, n=5, num=80, den=100)
-    name = own_names(docs, "gone")["gone"]
-    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "pipeline-duplicates")
-    return docs.join(small(gone), docs["doc_id"] == gone[name], "left_anti")
+    """Keeps one document of each group of near duplicates, the first by `key`; documents without a word all stay."""
+    found = jaccard.near_duplicates(docs.select(key(docs).alias("doc_id"), "text"), n=5, num=80, den=100)
+    found = found.filter("n_shingles > 0").select(F.col("doc_id").alias("k"), (F.col("doc_id") == F.col("component_id")).alias("first"))
+    found = stored(found.groupBy("k", "first").count(), "pipeline-duplicates")
+    name = own_names(docs, "own", "gone")
+    own, gone = F.col(name["own"]), F.col(name["gone"])
+    keyed = docs.withColumn(name["own"], key(docs))
+    marked = lambda rows: small(found.filter(rows).select(F.col("k").alias(name["gone"])))
+    kept = keyed.join(marked("NOT first OR count > 1"), own == gone, "left_anti")
+    one = keyed.join(marked("first AND count > 1"), own == gone, "left_semi").dropDuplicates([name["own"]])
+    return kept.unionByName(one).drop(name["own"])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

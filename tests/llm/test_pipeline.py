@@ -61,6 +61,19 @@ def test_lines_of_copied_pages_and_footers_go(spark):
     assert {x["doc_id"]: x["text"] for x in corpus_pipeline.boilerplate(spark, docs, SF).collect()} == want
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, null ids, and ids that a copy shares with a text of its own."""
+    r = random.Random(23)
+    a, b, c, d, e = (prose(r, 80) for _ in range(5))
+    rows = [(1, a, "s"), (1, a, "s"), (1, a, "t"), (None, b, "s"), (None, b + " tail", "s"), (None, b, "s")]
+    rows += [(2, c, "s"), (3, c + " tail", "s"), (3, d, "s"), (None, e, "s"), (9, e + " tail", None), (None, "", "s"), (None, "", "s"), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = sorted(((x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    of_b = [x for x in out if x[0] is None and x[1]]
+    assert len(of_b) == 1 and of_b[0][1] in (b, b + " tail")
+    assert out == sorted([(1, a), of_b[0], (2, c), (3, d), (9, e + " tail"), (None, ""), (None, ""), (4, None)], key=str)
+
+
 def test_pipeline_of_odd_tables(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
