@@ -328,15 +328,13 @@ def validate_dataset(spark, d):
 
 @query("SELECT o_orderkey, o_custkey FROM orders")
 def avro_roundtrip(spark, d):
-    """Rows of orders as an Avro container, read back by the Python source."""
-    from .sources.avro import write_container
+    """Rows of orders as Avro containers, one per partition, read back by the Python source."""
+    from .sources.avro import write_containers
 
-    rows = load(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey")
-    path = scratch(spark, "orders") + ".avro"
+    path = scratch(spark, "orders")
     schema = {"type": "record", "name": "order", "fields": [{"name": "o_orderkey", "type": "long"}, {"name": "o_custkey", "type": ["null", "long"]}]}
-    local = path.removeprefix("file://").removeprefix("file:")
-    write_container(local, schema, [r.asDict() for r in rows.collect()], "deflate")
-    return Dataset(local, spark=spark, part_size=50_000).to_df()
+    write_containers(load(spark, d, "orders"), path, schema, "deflate")
+    return Dataset(path, spark=spark, part_size=50_000).to_df()
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -370,24 +368,28 @@ def schema_text_roundtrip(spark, d):
 
 @query("SELECT count(*) AS n_rows, CAST(count(*) * 28 + 64 AS BIGINT) AS bytes FROM lineitem")
 def binary_bytes(spark, d):
-    """Rows of one label, two numbers and two keys take 28 bytes, the header of one file 64."""
+    """Rows of one label, two numbers and two keys take 28 bytes, the header of one file 64. There is a file per partition;
+    the bytes are those of their bodies under one header."""
     path = scratch(spark, "binary")
-    df = load(spark, d, "lineitem").select("l_tax", "l_quantity", "l_discount", "l_partkey", "l_suppkey").coalesce(1)
+    df = load(spark, d, "lineitem").select("l_tax", "l_quantity", "l_discount", "l_partkey", "l_suppkey")
     Dataset(df).to_binary(path, cats=["l_partkey", "l_suppkey"], conts=["l_quantity", "l_discount"], labels=["l_tax"])
     sizes = {n: s for n, s in sinks.Files(spark, path).sizes().items() if n.endswith(".bin")}
-    return load(spark, d, "lineitem").agg(F.count("*").alias("n_rows")).withColumn("bytes", F.lit(sum(sizes.values())).cast("long"))
+    header = 8 * sinks.HEADER
+    return load(spark, d, "lineitem").agg(F.count("*").alias("n_rows")).withColumn("bytes", F.lit(header + sum(s - header for s in sizes.values())).cast("long"))
 
 
 @query("SELECT count(*) AS n_rows, 65::BIGINT AS n_columns FROM embeddings")
 def npy_shape(spark, d):
-    import os
-    import tempfile
-
+    """The shape that the header of the written matrix gives."""
     import numpy as np
 
-    path = os.path.join(tempfile.mkdtemp(), "embeddings.npy")
+    from .sources.avro import open_file
+
+    path = scratch(spark, "embeddings") + ".npy"
     Dataset(load(spark, d, "embeddings").select("vec_id", "embedding")).to_npy(path)
-    n, k = np.load(path).shape
+    with open_file(path) as stream:
+        np.lib.format.read_magic(stream)
+        n, k = np.lib.format.read_array_header_1_0(stream)[0]
     return spark.createDataFrame([(n, k)], "n_rows long, n_columns long")
 
 

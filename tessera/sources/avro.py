@@ -5,13 +5,15 @@ Files are split at block boundaries; each partition decodes its blocks and makes
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -30,11 +32,23 @@ def open_file(path: str) -> Any:
     return store.open_input_file(inner)
 
 
+def create_file(path: str) -> Any:
+    """A file for writing from start to end, on any store that Arrow writes to."""
+    import pyarrow.fs as fs
+
+    if "://" not in path and not path.startswith("file:"):
+        return open(path, "wb")
+    store, inner = fs.FileSystem.from_uri(path if not path.startswith("file:/") or path.startswith("file://") else "file://" + path[5:])
+    return store.open_output_stream(inner)
+
+
 def files_of(path: str) -> list[str]:
     import pyarrow.fs as fs
 
     from .files import natural
 
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
     if "://" not in path:
         if os.path.isdir(path):
             return sorted((os.path.join(path, f) for f in os.listdir(path) if f.endswith(".avro")), key=natural)
@@ -202,6 +216,8 @@ class _Reader(DataSourceReader):
                 return {k: plain(x) for k, x in v.items()}
             return [plain(x) for x in v] if isinstance(v, list) else v
 
+        if partition is None:  # files without blocks
+            return
         with open_file(partition.path) as stream:
             schema, codec, _, _ = header(stream)
             for at, size, rows in partition.parts:
@@ -235,8 +251,35 @@ class AvroDataSource(DataSource):
         return _Reader(self.options["path"], schema, int(self.options.get("part_size", 128_000_000)))
 
 
-def write_container(path: str, schema: dict, rows: list[dict], codec: str = "null", block_rows: int = 1000) -> None:
-    """A small container file of flat records, for exchange and tests."""
+def write_containers(df: DataFrame, path: str, schema: dict, codec: str = "null") -> None:
+    """The rows as flat records in a folder, one container per partition, written where it is made."""
+    from .files import Files
+
+    target = Files(df.sparkSession, path)
+    target.make()
+    root = target.fs.makeQualified(target.root).toString()
+
+    def write(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
+
+        def rows() -> Iterator[dict]:
+            nonlocal n
+            for b in batches:
+                n += len(b)
+                yield from b.to_pylist()
+
+        write_container(f"{root}/{part}.avro", schema, rows(), codec)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    if not df.select(*(f["name"] for f in schema["fields"])).mapInArrow(write, "n long").groupBy().count().first()[0]:
+        write_container(f"{root}/0.avro", schema, [], codec)
+
+
+def write_container(path: str, schema: dict, rows: Iterable[dict], codec: str = "null", block_rows: int = 1000) -> None:
+    """A container file of flat records, block by block."""
 
     def number(n: int) -> bytes:
         n = (n << 1) ^ (n >> 63)
@@ -262,10 +305,10 @@ def write_container(path: str, schema: dict, rows: list[dict], codec: str = "nul
 
     sync = b"tessera-avro-syn"
     meta = {"avro.schema": json.dumps(schema).encode(), "avro.codec": codec.encode()}
-    with open(path, "wb") as out:
+    with create_file(path) as out:
         out.write(MAGIC + number(len(meta)) + b"".join(number(len(k)) + k.encode() + number(len(v)) + v for k, v in meta.items()) + b"\x00" + sync)
-        for i in range(0, len(rows), block_rows):
-            part = rows[i : i + block_rows]
+        every = iter(rows)
+        while part := list(itertools.islice(every, block_rows)):
             data = b"".join(encode(f["type"], r[f["name"]]) for r in part for f in schema["fields"])
             if codec == "deflate":
                 squeeze = zlib.compressobj(wbits=-15)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 import warnings
 from enum import Enum
 from typing import Any
@@ -16,6 +17,7 @@ from ..functions.frames import row_hash
 from ..operators.base import quoted
 from ..plans import schema_io
 from ..plans.schema import Schema
+from .avro import create_file, open_file
 from .files import Files
 from .readers import cast_columns
 
@@ -195,6 +197,8 @@ def find_schema(spark: Any, path: str) -> Schema | None:
 
 # other formats
 
+#: Bytes that are copied from file to file at a time.
+COPY = 1 << 22
 #: Fixed values of the binary format: eight 64-bit numbers in front (0, rows, labels, numbers, keys, 0, 0, 0).
 HEADER = 8
 
@@ -220,9 +224,12 @@ def to_binary(df: DataFrame, path: str, cats: list[str], conts: list[str], label
     root = target.fs.makeQualified(target.root).toString()
 
     def write(batches):
+        import shutil
+        import tempfile
+
         from pyspark import TaskContext
 
-        part, body, rows = TaskContext.get().partitionId(), [], 0
+        part, body, rows = TaskContext.get().partitionId(), tempfile.TemporaryFile(), 0  # the header has the number of rows
         for b in batches:
             a = np.zeros(len(b), kind)
             for field, names in (("labels", labels), ("conts", conts)):
@@ -231,16 +238,14 @@ def to_binary(df: DataFrame, path: str, cats: list[str], conts: list[str], label
             a["cats"]["n"] = 1
             for i, c in enumerate(cats):
                 a["cats"]["key"][:, i] = b.column(c).to_numpy(zero_copy_only=False)
-            body.append(a.tobytes())
+            body.write(a.tobytes())
             rows += len(b)
         if rows:
-            import pyarrow.fs as fs
-
-            store, inner = fs.FileSystem.from_uri(root if not root.startswith("file:/") or root.startswith("file://") else "file://" + root[5:])
-            with store.open_output_stream(f"{inner}/{part}.bin") as out:
+            with create_file(f"{root}/{part}.bin") as out:
                 out.write(np.array([0, rows, len(labels), len(conts), len(cats), 0, 0, 0], "<i8").tobytes())
-                for x in body:
-                    out.write(x)
+                body.seek(0)
+                shutil.copyfileobj(body, out, COPY)
+        body.close()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows], pa.int64())], ["part", "rows"])
 
     columns = [*labels, *conts, *cats]
@@ -248,11 +253,20 @@ def to_binary(df: DataFrame, path: str, cats: list[str], conts: list[str], label
     write_sidecars(target, schema.select_by_name(columns), cats, conts, labels, False, False)
 
 
-def to_npy(df: DataFrame, path: str, append: bool = False, batch_rows: int = 100_000) -> None:
-    """One matrix in a local file of the driver; list columns become columns. With append, partitions are written one
-    after another, so that the driver holds one at a time."""
+#: Types of numbers that can be a matrix without objects.
+MATRIX = {"byte": "i1", "short": "i2", "integer": "i4", "long": "i8", "float": "f4", "double": "f8", "boolean": "?"}
+
+
+def to_npy(df: DataFrame, path: str, append: bool = False) -> None:
+    """One matrix in a file; list columns become columns. Tasks write the rows of their partitions to the shared folder,
+    and the driver streams them one after another behind the header. Only columns that make objects, which the format
+    pickles as a whole, come to the driver; they cannot be appended."""
+    import shutil
+
     import numpy as np
+    import pyarrow as pa
 
+    from ..functions.frames import checkpoint_folder
     from ..functions.lists import flatten_lists
 
     kinds = [f for f in df.schema.fields if not isinstance(f.dataType, T.NumericType | T.BooleanType | T.ArrayType)]
@@ -261,18 +275,33 @@ def to_npy(df: DataFrame, path: str, append: bool = False, batch_rows: int = 100
     flat = flatten_lists(df)
     if flat.filter(" OR ".join(f"`{c}` IS NULL" for c in flat.columns)).limit(1).count():
         raise ValueError("null values cannot be written to an npy file")
-    if not append:
+    if not append and any(f.dataType.typeName() not in MATRIX for f in flat.schema.fields):
         table = flat.toArrow()
-        np.save(path, np.stack([table[c].to_numpy() for c in table.column_names], 1), allow_pickle=bool(kinds))
+        with create_file(path) as out:
+            np.save(out, np.stack([table[c].to_numpy() for c in table.column_names], 1), allow_pickle=bool(kinds))
         return
-    rows = flat.count()
-    kind = np.result_type(*(np.dtype({"byte": "i1", "short": "i2", "integer": "i4", "long": "i8", "float": "f4", "double": "f8", "boolean": "?"}[f.dataType.typeName()]) for f in flat.schema.fields))
-    with open(path, "wb") as out:
-        np.lib.format.write_array_header_1_0(out, {"descr": np.lib.format.dtype_to_descr(kind), "fortran_order": False, "shape": (rows, len(flat.columns))})
-        held = []
-        for r in flat.toLocalIterator():
-            held.append(tuple(r))
-            if len(held) >= batch_rows:
-                out.write(np.array(held, kind).tobytes())
-                held = []
-        out.write(np.array(held, kind).tobytes())
+    kind = np.result_type(*(np.dtype(MATRIX[f.dataType.typeName()]) for f in flat.schema.fields))
+    parts = Files(df.sparkSession, f"{checkpoint_folder(df.sparkSession)}/npy-{uuid.uuid4().hex}")
+    parts.make()
+    root = parts.fs.makeQualified(parts.root).toString()
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        part, rows = TaskContext.get().partitionId(), 0
+        with create_file(f"{root}/{part}.part") as out:
+            for b in batches:
+                out.write(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1).astype(kind).tobytes())
+                rows += len(b)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows], pa.int64())], ["part", "rows"])
+
+    try:
+        made = sorted((r["part"], r["rows"]) for r in flat.mapInArrow(write, "part int, rows long").collect())
+        with create_file(path) as out:
+            shape = (sum(n for _, n in made), len(flat.columns))
+            np.lib.format.write_array_header_1_0(out, {"descr": np.lib.format.dtype_to_descr(kind), "fortran_order": False, "shape": shape})
+            for part, _ in made:
+                with open_file(f"{root}/{part}.part") as one:
+                    shutil.copyfileobj(one, out, COPY)
+    finally:
+        parts.delete("")

@@ -14,7 +14,7 @@ from tessera import ColumnSchema, Dataset, Schema, Shuffle, Tags
 from tessera.functions import frames, lists, scalars
 from tessera.functions.table import TensorColumn, TensorTable, group_values_offsets, ungroup_values_offsets
 from tessera.sources import readers, sinks
-from tessera.sources.avro import AvroDataSource, blocks, write_container
+from tessera.sources.avro import AvroDataSource, blocks, write_container, write_containers
 
 
 @pytest.fixture(scope="module")
@@ -182,6 +182,22 @@ def test_npy(spark, tmp_path):
         Dataset(spark.createDataFrame([("x",)], "a string")).to_npy(str(tmp_path / "c.npy"), append=True)
 
 
+def test_writers_work_by_partition(spark, tmp_path, monkeypatch):
+    """Tasks write; no rows of the table come to the driver, and every partition has its file."""
+    df = spark.range(1000).selectExpr("id", "array(id, id + 1) AS e", "cast(id AS float) AS x").repartitionByRange(4, "id")
+    fields = [{"name": "id", "type": "long"}]
+    monkeypatch.setattr(type(df), "toArrow", lambda *_: pytest.fail("rows on the driver"))
+    Dataset(df.select("id", "e")).to_npy(f"file:{tmp_path}/a.npy")
+    assert np.load(tmp_path / "a.npy").tolist() == [[i, i, i + 1] for i in range(1000)]
+    write_containers(df, f"file:{tmp_path}/avro", {"type": "record", "name": "r", "fields": fields}, "deflate")
+    assert len(list((tmp_path / "avro").glob("*.avro"))) == 4
+    assert sorted(r["id"] for r in Dataset(f"file:{tmp_path}/avro", spark=spark).to_df().collect()) == list(range(1000))
+    write_containers(df.limit(0), f"{tmp_path}/none", {"type": "record", "name": "r", "fields": fields})
+    assert Dataset(f"{tmp_path}/none", spark=spark).to_df().count() == 0
+    Dataset(df).to_binary(f"{tmp_path}/b", cats=["id"], conts=[], labels=["x"])
+    assert sum(f.stat().st_size - 64 for f in (tmp_path / "b").glob("*.bin")) == 12 * 1000
+
+
 @pytest.mark.parametrize("codec", ["null", "deflate"])
 def test_avro(spark, tmp_path, codec):
     schema = {"type": "record", "name": "user", "fields": [{"name": "name", "type": "string"}, {"name": "age", "type": ["null", "int"]}, {"name": "tags", "type": {"type": "array", "items": "long"}}]}
