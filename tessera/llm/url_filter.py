@@ -56,14 +56,16 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens of a url: scheme, labels of the host, segments of the path, names of the query's parameters, and
-    whether there is a fragment. Digits are all alike."""
+    """Distinct tokens of a url: scheme, the host and its labels, segments of the path, names of the query's parameters, and
+    whether there is a fragment. Digits are all alike but in hosts."""
     host, path = host_path(url)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    tag = lambda kind, items: F.transform(F.filter(items, lambda x: x != ""), lambda x: F.concat(F.lit(kind), F.regexp_replace(x, "[0-9]+", "0")))
+    exact = lambda kind, items: F.transform(F.filter(items, lambda x: x != ""), lambda x: F.concat(F.lit(kind), x))
+    tag = lambda kind, items: exact(kind, F.transform(items, lambda x: F.regexp_replace(x, "[0-9]+", "0")))
     parts = [
         tag("s:", F.array(F.regexp_extract(url, "^([^:/?#]*)://", 1))),
-        tag("h:", F.split(host, r"\.")),
+        exact("host:", F.array(host)),
+        exact("h:", F.split(host, r"\.")),
         tag("p:", F.split(path, "[/.]")),
         tag("q:", F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, "^[^=]*", 0))),
         F.when(F.contains(url, F.lit("#")), F.array(F.lit("f:"))).otherwise(F.array().cast("array<string>")),

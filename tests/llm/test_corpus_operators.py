@@ -351,6 +351,14 @@ def test_mined_rules_against_brute_force(spark):
     assert got == expected and "block" in got.values()
 
 
+def test_numbered_hosts_are_told_apart(spark):
+    """One bad host among good ones that differ in a number."""
+    rows = [(i, f"http://site{i % 10}.example/{i}", i % 10 == 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    out = url_filter.judge(df.drop("bad"), [], df.select("page_id", "bad"), min_support=0.02, min_confidence=0.8).collect()
+    assert {x["page_id"] for x in out if x["judged"]["verdict"] == "block"} == {i for i, _, bad in rows if bad}
+
+
 def test_urls_of_odd_tables(spark):
     empty = spark.createDataFrame([], "page_id long, url string, host string, judged_ int")
     labels = spark.createDataFrame([(1, True), (1, None), (None, True)], "page_id long, bad boolean")
