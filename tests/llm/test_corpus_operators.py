@@ -112,7 +112,7 @@ def test_lists_of_common_subsets_name_only_partners(every_link):
     t = jaccard.Threshold(90, 100)
     n = np.array([10] * 3000 + [19] * 300 + [20] * 5, np.int32)
     sig, c = np.array([1] * 3000 + [2] * 305), np.array([9] * 3000 + [18] * 305, np.int32)
-    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, c, n, np.arange(len(n)))], ["sig", "c", "n", "f"])
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (sig << 12, -c, n, np.arange(len(n)))], ["sig", "at", "n", "f"])
     tracemalloc.start()
     got = [x for b in jaccard._scan(t, every_link)(iter([rows])) for x in zip(b["kind"].to_pylist(), b["a"].to_pylist(), b["b"].to_pylist())]
     peak = tracemalloc.get_traced_memory()[1]
