@@ -1,19 +1,25 @@
 """Language identification with labelled spans of mixed-language text.
 
 Script ranges narrow the languages that a word can be of; byte trigrams give each word a score per candidate; Viterbi
-decoding over the words, with a penalty for each switch of language, labels spans. A text's language is the one of most
-of its words, or, for a text of a few words, the one with the highest total score.
+decoding over the words, with a penalty for each switch of language, labels spans. A text's language is the one that
+labels most of its words. Its score is the share of those words, times the odds of the language against the next best one
+on the words that it labels.
 
 The model is learned by counting in Spark over at most about `train_rows` labelled texts, chosen by a hash of the text.
 
-Defined cases: a null text and one without a letter are `und` with score 0 and have no spans; a text whose letters are of
-scripts that no language was learned with gets the commonest language with score 0; without any labelled text everything
-is `und`; repeated rows are labelled alike; other columns are kept whatever their names.
+Defined cases: a null text and one without a letter (Unicode category L) are `und` with score 0 and have no spans; a text
+whose letters are of scripts that no language was learned with gets the commonest language with score 0; languages that
+label equally many words go by their total score there, then by code point, as do equal scores of a word; a very long
+text is decoded whole, in time and memory that grow with its words times the languages; without any labelled text
+everything is `und`; repeated rows are labelled alike; other columns are kept whatever their names.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -30,8 +36,8 @@ TRAIN_ROWS = 20_000
 BUCKETS = 1 << 16
 SWITCH = 12.0
 PIECE = 256
-#: Up to so many words, a text is of the language with the highest total score, and the score is its odds.
-SHORT = 20
+#: Bytes of texts times languages, eight at least, that are labelled at a time.
+SLICE = 16_000_000
 UNDETERMINED = "und"
 
 #: First code points of blocks and the script that holds from there to the next one.
@@ -51,11 +57,20 @@ SCRIPTS = [
 SCRIPT_NAMES = list(dict.fromkeys(name for _, name in SCRIPTS))
 _FROM = np.array([first for first, _ in SCRIPTS])
 _SCRIPT = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS], np.int8)
-_COMMON, _LATIN = SCRIPT_NAMES.index("Common"), SCRIPT_NAMES.index("Latin")
+_COMMON, _LATIN, _OTHER = (SCRIPT_NAMES.index(x) for x in ("Common", "Latin", "Other"))
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
+@lru_cache(maxsize=1)
+def _letter_scripts() -> np.ndarray:
+    """By code point the script of a letter, -1 for what is no letter; letters in blocks of no script are of another."""
+    every = np.arange(sys.maxunicode + 1)
+    script = _SCRIPT[np.searchsorted(_FROM, every, "right") - 1]
+    letter = np.array([unicodedata.category(chr(c))[0] == "L" for c in every])
+    return np.where(letter, np.where(script == _COMMON, _OTHER, script), -1).astype(np.int8)
+
+
 class Model(NamedTuple):
     languages: list[str]
     score: np.ndarray  # float32, bucket x language
@@ -81,9 +96,8 @@ def _scripts(buf: np.ndarray, w: tokens.Words) -> np.ndarray:
         b0, b1, b2, b3 = b[lead], b[lead + 1] & 63, b[lead + 2] & 63, b[lead + 3] & 63
         two, three = (b0 & 31) << 6 | b1, (b0 & 15) << 12 | b1 << 6 | b2
         cp = np.where(b0 < 0xE0, two, np.where(b0 < 0xF0, three, (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3))
-        s = _SCRIPT[np.searchsorted(_FROM, cp, "right") - 1]
-        s = np.where((cp < 0xC0) & (cp != 0xAA) & (cp != 0xB5) & (cp != 0xBA) | (cp == 0xD7) | (cp == 0xF7), _COMMON, s)
-        mark[lead] = np.where(s == _COMMON, 0, np.where(s == _LATIN, 1, s + 2))
+        s = _letter_scripts()[cp]
+        mark[lead] = np.where(s < 0, 0, np.where(s == _LATIN, 1, s + 2))
     most = np.maximum.reduceat(mark, w.start)
     return np.where(most == 0, -1, np.where(most == 1, _LATIN, most - 2)).astype(np.int8)
 
@@ -140,78 +154,92 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     return Model(names, score.astype(np.float32), scripts >= np.maximum(1, 0.001 * scripts.sum(0)), int(np.argmax(scripts.sum(0))) if names else 0)
 
 
+def _pieces(e: np.ndarray, ptr: np.ndarray, switch: float, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last words of pieces that can be labelled each on its own. Texts are cut at words whose best label leads by
+    more than two switches, so that they have it whatever is around them; such a word ends a piece and begins the next."""
+    if e.shape[1] < 2 or int(np.diff(ptr).max(initial=0)) <= piece:
+        has = np.diff(ptr) > 0
+        return ptr[:-1][has], ptr[1:][has] - 1
+    two = -np.partition(-e, 1, axis=1)[:, :2]
+    sure = two[:, 0] - two[:, 1] > 2 * switch
+    number = np.arange(len(e)) - np.repeat(ptr[:-1], np.diff(ptr))
+    sure &= number > 0
+    sure[np.maximum(ptr[1:] - 1, 0)] = False
+    at = np.flatnonzero(sure)
+    # the first such word in every stretch of `piece` words of a text
+    row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))[at]
+    stretch = number[at] // piece
+    new = np.ones(len(at), bool)
+    new[1:] = (row[1:] != row[:-1]) | (stretch[1:] != stretch[:-1])
+    cut = at[new]
+    has = np.diff(ptr) > 0
+    return np.sort(np.concatenate([ptr[:-1][has], cut])), np.sort(np.concatenate([cut, ptr[1:][has] - 1]))
+
+
 def decode(e: np.ndarray, ptr: np.ndarray, switch: float = SWITCH, piece: int = PIECE) -> np.ndarray:
     """Best label of every word: maximises the sum of scores e (word x label) less `switch` for every change of label
-    inside a text (words ptr[i]:ptr[i + 1]). Texts are cut in pieces which advance in step; the pieces are first solved
-    for every label that could come in, then chained, so the labels are those of undivided texts."""
+    inside a text (words ptr[i]:ptr[i + 1]). As all changes cost the same, a step looks at the best label before and at the
+    same one only; texts, or pieces of them, advance in step."""
     k, n = e.shape[1], len(e)
     if k < 2 or not n:
         return np.zeros(n, np.int64)
-    size = np.diff(ptr)
-    per = -(-size // piece)
-    text = np.repeat(np.arange(len(size)), per)
-    rank = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    lo = ptr[:-1][text] + rank * piece
-    length = np.minimum(piece, ptr[1:][text] - lo)
+    lo, last = _pieces(e, ptr, switch, piece)
+    length = last - lo + 1
     order = np.argsort(-length, kind="stable")
-    lo, length, text, rank = lo[order], length[order], text[order], rank[order]
-    p, steps = len(lo), int(length.max())
-    active = np.searchsorted(-length, -np.arange(steps), "left")  # pieces longer than step t
-    # v[j]: best value over paths that enter the piece with label j; entering costs nothing for j, `switch` for others
-    v = np.full((p, k, k), -switch, np.float32)
-    v[:, np.arange(k), np.arange(k)] = 0
-    v += e[lo][:, None, :]
-    came = np.empty((steps, p, k, k), np.int8) if steps > 1 else np.zeros((1, p, k, k), np.int8)
-    for t in range(1, steps):
-        a = active[t]
-        x = v[:a]
-        top = x.max(2, keepdims=True)
-        best = x.argmax(2)
-        stay = x >= top - switch
-        came[t, :a] = np.where(stay, np.arange(k, dtype=np.int8), best[:, :, None].astype(np.int8))
-        v[:a] = np.where(stay, x, top - switch) + e[lo[:a] + t][:, None, :]
-    # chain the pieces of each text: value[label in] -> value[label out]
-    where = np.empty((len(size), max(1, int(per.max()))), np.int64)
-    where[text, rank] = np.arange(p)
-    value = np.zeros((len(size), k), np.float64)
-    entered = np.zeros((p, k), np.int8)  # by label out: the label that came in
-    for r in range(where.shape[1]):
-        rows = np.flatnonzero(per > r)
-        q = where[rows, r]
-        through = value[rows][:, :, None] + v[q]
-        entered[q] = through.argmax(1)
-        value[rows] = through.max(1)
-    out = np.zeros(p, np.int64)  # label that goes out of each piece
-    label = value.argmax(1)
-    enter = np.zeros(p, np.int64)
-    for r in range(where.shape[1] - 1, -1, -1):
-        rows = np.flatnonzero(per > r)
-        q = where[rows, r]
-        out[q] = label[rows]
-        enter[q] = entered[q, out[q]]
-        label[rows] = enter[q]
-    got, now = np.zeros(n, np.int64), out.copy()
-    for t in range(steps - 1, -1, -1):
-        a = active[t]
-        got[lo[:a] + t] = now[:a]
-        if t:
-            now[:a] = came[t, np.arange(a), enter[:a], now[:a]]
+    lo, length = lo[order], length[order]
+    active = np.searchsorted(-length, -np.arange(int(length.max())), "left")  # pieces longer than step t
+    v = e[lo].astype(np.float64)
+    stays = np.empty((n, k), bool)  # whether the label before is the same
+    best = np.empty(n, np.int32 if k > 127 else np.int8)  # and which it is otherwise
+    for t in range(1, len(active)):
+        x = v[: active[t]]
+        at = lo[: active[t]] + t
+        top = x.max(1, keepdims=True)
+        best[at] = x.argmax(1)
+        stays[at] = stay = x >= top - switch
+        v[: active[t]] = np.where(stay, x - top, -switch) + e[at]
+    got, now = np.zeros(n, np.int64), v.argmax(1)
+    for t in range(len(active) - 1, 0, -1):
+        at = lo[: active[t]] + t
+        own = now[: active[t]]
+        got[at] = own
+        now[: active[t]] = np.where(stays[at, own], own, best[at])
+    got[lo] = now
     return got
 
 
+def _judge(e: np.ndarray, label: np.ndarray, row: np.ndarray, some: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the label of most of its words, -1 if it has none, and the score: the share of those words, times the odds
+    of the label against the next best one on them. some: words that have a label."""
+    k = e.shape[1]
+    votes = np.bincount(row[some] * k + label[some], minlength=rows * k).reshape(rows, -1)
+    won = np.bincount(row[some] * k + label[some], e[some, label[some]], minlength=rows * k).reshape(rows, -1)
+    told, most = votes.sum(1), votes.max(1)
+    best = np.where(told > 0, np.where(votes == most[:, None], won, -np.inf).argmax(1), -1)
+    of = some & (label == best[row])
+    total = np.zeros((rows, k))
+    for c in range(k):
+        total[:, c] = np.bincount(row[of], e[of, c], minlength=rows)
+    at = np.arange(rows), np.maximum(best, 0)
+    own = total[at]
+    total[at] = -np.inf
+    lead = own - total.max(1) if k > 1 else np.full(rows, np.inf)
+    return best, np.where(told > 0, most / np.maximum(1, told) / (1 + np.exp(-np.clip(lead, -50, 50))), 0.0)
+
+
 def predict_batch(column: pa.Array, model: Model, switch: float) -> tuple[list, list, pa.Array]:
     """Languages, scores and spans of texts."""
     names = model.languages
     langs, scores = [UNDETERMINED] * len(column), [0.0] * len(column)
     span_n, s_lang, s_first, s_size = np.zeros(len(column), np.int64), [], [], []
-    for i, j in tokens.slices(column) if names else ():
-        part = column.slice(i, j - i)
-        buf, off = tokens.buffer(part)
+    for i, j in tokens.slices(column, SLICE // max(8, len(names))) if names else ():
+        buf, off = tokens.buffer(column.slice(i, j - i))
         w = tokens.split(buf, off)
         if not len(w.start):
             continue
         got, first = _buckets(buf, w)
         e = np.stack([np.add.reduceat(model.score[:, c][got], first) for c in range(len(names))], 1)
+        del got
         script = _scripts(buf, w)
         may = model.allowed[script] & (script >= 0)[:, None]
         some = may.any(1)
@@ -219,10 +247,6 @@ def predict_batch(column: pa.Array, model: Model, switch: float) -> tuple[list,
         label = decode(e, w.ptr, switch)
         size = np.diff(w.ptr)
         row = np.repeat(np.arange(j - i), size)
-        votes = np.bincount(row[some] * len(names) + label[some], minlength=(j - i) * len(names)).reshape(j - i, -1)
-        total = np.zeros((j - i, len(names)))
-        has = np.flatnonzero(size)
-        total[has] = np.add.reduceat(e.astype(np.float64), w.ptr[:-1][has], axis=0)
         lettered = np.bincount(row[script >= 0], minlength=j - i)
         change = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (row[1:] != row[:-1])]))
         ends = np.append(change[1:], len(label))
@@ -232,17 +256,9 @@ def predict_batch(column: pa.Array, model: Model, switch: float) -> tuple[list,
         s_lang.append(label[change])
         s_first.append(change - w.ptr[:-1][row[change]])
         s_size.append(ends - change)
-        told = votes.sum(1)
-        best = np.where(told > SHORT, votes.argmax(1), total.argmax(1))
-        best = np.where(told > 0, best, model.commonest)
-        chance = np.exp(total - total.max(1, keepdims=True))
-        of, at = np.arange(j - i), best
-        sure = np.where(told > SHORT, votes[of, at] / np.maximum(1, told), chance[of, at] / chance.sum(1)) * (told > 0)
+        best, sure = _judge(e, label, row, some, j - i)
         for r in np.flatnonzero(lettered > 0):
-            langs[i + r], scores[i + r] = names[best[r]], float(sure[r])
-        for r in np.flatnonzero((lettered == 0) & (size > 0)):  # letters outside of the table of scripts
-            if any(c.isalpha() for c in part[int(r)].as_py()):
-                langs[i + r] = names[model.commonest]
+            langs[i + r], scores[i + r] = names[best[r] if best[r] >= 0 else model.commonest], float(sure[r])
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     lang = pa.array(np.array(names, object)[cat(s_lang)] if names else [], pa.string())
     spans = pa.StructArray.from_arrays([lang, pa.array(cat(s_first), pa.int32()), pa.array(cat(s_size), pa.int32())], ["lang", "first_word", "n_words"])
@@ -250,8 +266,7 @@ def predict_batch(column: pa.Array, model: Model, switch: float) -> tuple[list,
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, lang_pred: str = "lang_pred", score: str = "score", spans: str = "spans") -> DataFrame:
-    """Adds to the documents their language, how sure it is (0 to 1: the share of words in it, or the odds of a text of a
-    few words), and the labelled spans in words."""
+    """Adds to the documents their language, how sure it is (0 to 1), and the labelled spans in words."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = list(docs.columns)

@@ -1,21 +1,18 @@
 """Removes lines that are boilerplate across sites.
 
-A line counts as boilerplate if it stands on at least `min_sites` distinct sites and in as many surroundings: the pairs of
-its neighbour lines must number at least `min_contexts` of its occurrences. The second condition tells a licence line,
-which every page frames differently, from a line of a document of which many copies exist; copies are left for
-near-duplicate removal, which keeps one of them.
-
-Where it is known which documents are copies of each other, `body` names a column that is equal in them. Surroundings do
-not matter then: a line is boilerplate if it stands on `min_sites` sites and in as many bodies, however often each of them
-was copied and whatever stands next to the line.
+A line counts as boilerplate if it stands on at least `min_sites` distinct sites and in as many distinct bodies of text.
+Equal texts are one body, so that a document copied to many sites is not taken for boilerplate; where more is known,
+`body` names a column that is equal in documents that are copies of each other. What stands next to a line does not matter,
+so every line of a footer goes.
 
 Spread is measured by HyperLogLog sketches per line hash, which are merged by aggregation. Lines whose estimates are too
-near a threshold for the sketch's error get exact distinct counts. Lines seen once, on one site or in one surrounding are
-left out before any sketch is built. Only DataFrame functions are used.
+near a threshold for the sketch's error get exact distinct counts. Lines seen on one site or in one body only are left out
+before any sketch is built. Only DataFrame functions are used.
 
 Defined cases: a null text stays null and an empty one empty; lines without a word are never removed; the null source is
-a site of its own; repeated rows count as further occurrences on the same site; an empty table gives an empty result;
-other columns are kept whatever their names.
+a site of its own; repeated rows count as further occurrences on the same site; a line exactly at the threshold goes; a
+very long text is one row like others, its lines an array of hashes; an empty table gives an empty result; other columns
+are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +23,8 @@ from pyspark.sql import functions as F
 from .common import own_names, small, stored
 
 MIN_SITES = 5
-MIN_CONTEXTS = 0.5
 LG_K = 12
-#: Relative distance from a threshold within which the sketch does not decide; five standard errors of a sketch of 2^12.
+#: Relative distance from the threshold within which the sketch does not decide; five standard errors of a sketch of 2^12.
 BAND = 0.08
 #: So many boilerplate lines are matched inside the scan; more are matched by a join.
 INLINE = 2000
@@ -41,38 +37,31 @@ def _hashes(text: Column) -> Column:
 
 
 def lines(docs: DataFrame, site: str, body: str | None = None) -> DataFrame:
-    """h, site, ctx of every line with a word; ctx is of the neighbour lines, or of the body."""
-    own = F.xxhash64(F.col(body)) if body else F.lit(None).cast("long")
-    base = docs.filter(F.col("text").isNotNull()).select(F.xxhash64(F.col(site)).alias("site"), own.alias("body"), _hashes(F.col("text")).alias("hs"))
-    hs = F.col("hs")
-    near = lambda i: F.coalesce(F.get(hs, i), F.lit(0))
-    ctx = lambda i: F.col("body") if body else F.xxhash64(near(i - 1), near(i + 1))
-    each = F.transform(hs, lambda h, i: F.struct(h.alias("h"), ctx(i).alias("ctx")))
-    return base.select("site", F.explode(each).alias("x")).select("x.h", "site", "x.ctx").filter("h IS NOT NULL")
+    """h, site, body of every line with a word."""
+    own = F.xxhash64(F.col(f"`{body or 'text'}`"))
+    base = docs.filter(F.col("text").isNotNull()).select(F.xxhash64(F.col(f"`{site}`")).alias("site"), own.alias("body"), _hashes(F.col("text")).alias("hs"))
+    return base.select("site", "body", F.explode("hs").alias("h")).filter("h IS NOT NULL")
 
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_contexts: float = MIN_CONTEXTS, body: str | None = None) -> DataFrame:
-    """h of the boilerplate lines, with the sites, contexts and occurrences counted and whether they were counted exactly."""
+def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, body: str | None = None) -> DataFrame:
+    """h of the boilerplate lines, with the sites and bodies counted and whether they were counted exactly."""
     every = lines(docs, site, body)
-    several = every.groupBy("h").agg(F.count("*").alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
-    several = stored(several.filter((F.col("n") >= min_sites) & (F.col("s0") != F.col("s1")) & (F.col("c0") != F.col("c1"))).select("h"), "lines-several")
-    sketched = every.join(small(several), "h").groupBy("h").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"), F.hll_sketch_agg("ctx", F.lit(LG_K)).alias("c"))
-    seen = stored(sketched.select("h", "n", F.hll_sketch_estimate("s").alias("sites"), F.hll_sketch_estimate("c").alias("contexts")), "lines-spread")
-    need = F.lit(min_sites) if body else F.col("n") * min_contexts
-    above = (F.col("sites") > min_sites * (1 + BAND)) & (F.col("contexts") > need * (1 + BAND))
-    below = (F.col("sites") < min_sites * (1 - BAND)) | (F.col("contexts") < need * (1 - BAND))
-    close = seen.filter(~above & ~below).select("h")
-    near = every.join(small(close), "h")
-    exact = near.groupBy("h").agg(F.count("*").alias("n"), F.count_distinct("site").alias("sites"), F.count_distinct("ctx").alias("contexts"))
-    exact = exact.filter((F.col("sites") >= min_sites) & (F.col("contexts") >= need))
-    cols = ["h", "n", F.col("sites").cast("long").alias("sites"), F.col("contexts").cast("long").alias("contexts")]
+    several = every.groupBy("h").agg(F.count("*").alias("n"), *(f(x).alias(f"{x}{i}") for x in ("site", "body") for i, f in enumerate((F.min, F.max))))
+    several = stored(several.filter((F.col("n") >= min_sites) & (F.col("site0") != F.col("site1")) & (F.col("body0") != F.col("body1"))).select("h"), "lines-several")
+    sketched = every.join(small(several), "h").groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"), F.hll_sketch_agg("body", F.lit(LG_K)).alias("b"))
+    seen = stored(sketched.select("h", F.hll_sketch_estimate("s").alias("sites"), F.hll_sketch_estimate("b").alias("bodies")), "lines-spread")
+    least = F.least("sites", "bodies")
+    above, below = least > min_sites * (1 + BAND), least < min_sites * (1 - BAND)
+    near = every.join(small(seen.filter(~above & ~below).select("h")), "h")
+    exact = near.groupBy("h").agg(F.count_distinct("site").alias("sites"), F.count_distinct("body").alias("bodies")).filter(least >= min_sites)
+    cols = ["h", F.col("sites").cast("long").alias("sites"), F.col("bodies").cast("long").alias("bodies")]
     return seen.filter(above).select(*cols, F.lit(False).alias("exact")).unionByName(exact.select(*cols, F.lit(True).alias("exact")))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_contexts: float = MIN_CONTEXTS, n_lines: str | None = None, n_removed: str | None = None, body: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, n_lines: str | None = None, n_removed: str | None = None, body: str | None = None) -> DataFrame:
     """The documents, with boilerplate lines taken out of `text`. Names in n_lines and n_removed add columns: the lines
     with a word that a document had, and how many of them went."""
-    found = stored(boilerplate(docs, site, min_sites, min_contexts, body).select("h"), "lines-boilerplate")
+    found = stored(boilerplate(docs, site, min_sites, body).select("h"), "lines-boilerplate")
     name = own_names(docs, "hs", "at", "key", "pos", "hit", "cut")
     hs, at = F.col(name["hs"]), F.col(name["at"])
     out = docs.withColumn(name["hs"], F.coalesce(_hashes(F.col("text")), F.array().cast("array<bigint>")))

@@ -10,42 +10,48 @@ at most half the size of that document. Large documents come first, so that smal
 
 Randomness is a hash of seed, level and document, and blocks are ordered by key, so that reruns agree.
 
+Sources are a table too, of any size: their order, their targets and their blocks are computed in Spark.
+
 Defined cases: a null text counts 0 words; the null source is a source of its own, last in the order; rows that repeat a
-document (same doc_id, source and text) share one decision; sources without words take nothing; an empty table gives an
+document (same doc_id, source and text) share one decision; documents of equal size go by a hash of their row; a very
+long text counts as its words and is rounded like others; sources without words take nothing; an empty table gives an
 empty result; other columns are kept by `mix` whatever their names.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, own_names, stored
+from tessera.functions.frames import ranked
+
+from .common import n_words, own_names, small, stored
 
 BLOCK = 4096
-MAX_SOURCES = 100_000
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
-def targets(sizes: dict, share: float, cap: float, weights: tuple[float, ...] = WEIGHTS) -> dict:
-    """Source -> target words. Weights repeat over the sources in code point order, null last. A source's target stops
-    at cap times its size; the excess is shared again by weight among the others until none is above."""
-    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, open_, out = share * sum(sizes.values()), list(order), {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / total > cap * sizes[s]]
-        if not over:
-            return out | {s: left * weight[s] / total for s in open_}
-        out |= {s: cap * sizes[s] for s in over}
-        left -= sum(out[s] for s in over)
-        open_ = [s for s in open_ if s not in out]
-    return out
+def targets(sources: DataFrame, share: float, cap: float, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """Adds `s`, a number for each source, and `target`, its words, to rows (source, source_size). Weights repeat over the
+    sources in code point order, null last. A source's target stops at cap times its size; the excess is shared again by
+    weight among the others until none is above: each round is two sums over the sources, and closes one at least."""
+    order = (F.col("source").isNull(), F.col("source"))  # strings are ordered by their bytes in UTF-8, that is by code point
+    line = stored(ranked(sources, *order, name="s", start=0), "mix-sources")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("s"), F.lit(len(weights))) + 1).cast("int"))
+    line = line.withColumn("weight", weight.cast("double")).withColumn("most", F.col("source_size") * F.lit(float(cap)))
+    size, total = line.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    left, closed = share * size, 0
+    while True:
+        own = F.lit(float(left)) * F.col("weight") / F.lit(total or 1.0)
+        above = own > F.col("most")
+        n, most, open_ = line.agg(F.count_if(above), F.coalesce(F.sum(F.when(above, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0.0))).first()
+        if n == closed or not open_:
+            return line.withColumn("target", F.when(above, F.col("most")).otherwise(own)).drop("weight", "most")
+        left, total, closed = share * size - most, open_, n
 
 
 def _unit(key: np.ndarray, level: int, seed: int) -> np.ndarray:
@@ -88,12 +94,36 @@ def pivot(size: np.ndarray, p: np.ndarray, chance: np.ndarray, last: bool) -> np
 
 
 def _round(level: int, seed: int):
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "key"], ascending=False, kind="stable").reset_index(drop=True)
-        got = pivot(pdf["weight"].to_numpy(float), pdf["p"].to_numpy(float), _unit(pdf["key"].to_numpy(np.int64), level, seed), bool(pdf["last"].iloc[0]))
-        return pdf.assign(p=got)[["key", "s", "weight", "p"]]
-
-    return block
+    """Rows (key, s, n, weight, p, b, last), those of a block together and its largest documents first, rounded."""
+
+    def rounded(rows: pa.Table) -> pa.RecordBatch:
+        s, b, key, weight, p, last = (rows.column(c).to_numpy() for c in ("s", "b", "key", "weight", "p", "last"))
+        chance, got = _unit(key, level, seed), p.copy()
+        start = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (b[1:] != b[:-1])]))
+        for i, j in zip(start, [*start[1:], len(s)], strict=True):
+            got[i:j] = pivot(weight[i:j], p[i:j], chance[i:j], bool(last[i]))
+        columns = [*(rows.column(c).combine_chunks() for c in ("key", "s", "n", "weight")), pa.array(got)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "s", "n", "weight", "p"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of a block that may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            s, b = batch.column("s").to_numpy(), batch.column("b").to_numpy()
+            before = np.flatnonzero((s != s[-1]) | (b != b[-1]))
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if held and (held[0].column("s")[0].as_py(), held[0].column("b")[0].as_py()) != (s[0], b[0]):
+                yield rounded(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield rounded(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield rounded(pa.Table.from_batches(held))
+
+    return run
 
 
 def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 11, block: int = BLOCK) -> DataFrame:
@@ -102,27 +132,33 @@ def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[f
     spark = docs.sparkSession
     units = docs.groupBy("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), n_words(F.col("text")).alias("size")).agg(F.count("*").alias("rows"))
     units = stored(units.withColumn("key", F.xxhash64("doc_id", "source", "text_hash")), "mix-units")
-    per = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("words"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(per) > MAX_SOURCES:
-        raise ValueError(f"a mixture has at most {MAX_SOURCES} sources")
-    words = {r["source"]: r["words"] for r in per}
-    aim = targets(words, share, cap, weights)
-    rows = [(i, r["source"], int(r["words"]), float(aim[r["source"]]), aim[r["source"]] / r["words"] if r["words"] else 0.0, max(1, math.ceil(r["n"] / block))) for i, r in enumerate(sorted(per, key=lambda r: (r["source"] is None, r["source"] or "")))]
-    sources = spark.createDataFrame(rows, "s int, src string, source_size long, target double, rate double, blocks long")
-    known = units.join(F.broadcast(sources), units["source"].eqNullSafe(sources["src"])).drop("src")
+    per = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n"))
+    aim = stored(targets(per, share, cap, weights), "mix-targets")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    sources = small(aim.select(F.col("source").alias("src"), "s", "source_size", "target", rate.alias("rate"), "n"))
+    known = units.join(sources, units["source"].eqNullSafe(F.col("src"))).drop("src")
     certain = F.floor("rate")
-    todo = known.select("key", "s", (F.col("size") * F.col("rows")).cast("double").alias("weight"), (F.col("rate") - certain).alias("p"), F.pmod(F.xxhash64("key", F.lit(seed)), "blocks").alias("b"), (F.col("blocks") == 1).alias("last"))
-    blocks = {r[0]: r[5] for r in rows}
+
+    def dealt(rows: DataFrame, level: int, *more) -> DataFrame:
+        """Blocks of a level: as many as documents may be left, in each of which at most one was."""
+        many = F.col("n")
+        for _ in range(level + 1):
+            many = F.greatest(F.lit(1), F.ceil(many / block))
+        return rows.select("key", "s", "n", *more, F.pmod(F.xxhash64("key", F.lit(seed + level)), many).alias("b"), (many == 1).alias("last"))
+
+    most = aim.agg(F.max("n")).first()[0] or 0
+    todo = dealt(known, 0, (F.col("size") * F.col("rows")).cast("double").alias("weight"), (F.col("rate") - certain).alias("p"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     done, level = [], 0
     while True:
-        out = stored(todo.groupBy("s", "b").applyInPandas(_round(level, seed), "key long, s int, weight double, p double"), f"mix-level{level}")
+        ordered = todo.repartition(parts, "s", "b").sortWithinPartitions("s", "b", F.desc("weight"), F.desc("key"))
+        out = stored(ordered.mapInArrow(_round(level, seed), "key long, s long, n long, weight double, p double"), f"mix-level{level}")
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(out.filter(~open_).select("key", "p"))
-        if all(n == 1 for n in blocks.values()) or not blocks:
+        if most <= block ** (level + 1):
             break
-        blocks, level = {s: math.ceil(n / block) for s, n in blocks.items()}, level + 1
-        fan = spark.createDataFrame(list(blocks.items()), "s int, blocks long")
-        todo = out.filter(open_).join(F.broadcast(fan), "s").select("key", "s", "weight", "p", F.pmod(F.xxhash64("key", F.lit(seed + level)), "blocks").alias("b"), (F.col("blocks") == 1).alias("last"))
+        level += 1
+        todo = dealt(out.filter(open_), level, "weight", "p")
     taken = done[0]
     for x in done[1:]:
         taken = taken.unionByName(x)

@@ -8,21 +8,17 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 LINE_DEDUP = rf"""
 WITH each AS (
-  SELECT doc_id, coalesce(source, chr(0)) AS site, unnest(string_split(text, chr(10))) AS line,
+  SELECT doc_id, coalesce(source, chr(0)) AS site, md5(text) AS body, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL),
 marked AS (
   SELECT *, CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN line ELSE '' END AS word_line FROM each),
-framed AS (
-  SELECT *, coalesce(lag(word_line) OVER w, '') AS before, coalesce(lead(word_line) OVER w, '') AS after
-  FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 boiler AS (
-  SELECT word_line AS line FROM framed WHERE word_line <> '' GROUP BY word_line
-  HAVING count(DISTINCT site) >= {line_dedup.MIN_SITES}
-     AND count(DISTINCT (before, after)) >= {line_dedup.MIN_CONTEXTS} * count(*)),
+  SELECT word_line AS line FROM marked WHERE word_line <> '' GROUP BY word_line
+  HAVING count(DISTINCT site) >= {line_dedup.MIN_SITES} AND count(DISTINCT body) >= {line_dedup.MIN_SITES}),
 judged AS (
   SELECT f.doc_id, f.i, f.line, f.word_line, b.line IS NOT NULL AS gone
-  FROM framed f LEFT JOIN boiler b ON f.word_line = b.line),
+  FROM marked f LEFT JOIN boiler b ON f.word_line = b.line),
 kept AS (
   SELECT doc_id, count(*) FILTER (WHERE word_line <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
          coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text

@@ -218,11 +218,38 @@ def test_repeats_of_odd_texts(odd_docs, no_docs):
 # mixing
 
 
-def test_targets():
-    t = mixing.targets({"a": 100, "b": 100, "c": 100, None: 100}, 1.5, 2.0)
-    assert sum(t.values()) == pytest.approx(600) and t["a"] == 200 and t[None] == pytest.approx(200)
-    assert t["b"] == pytest.approx(200 / 3) and t["c"] == pytest.approx(400 / 3)
-    assert mixing.targets({}, 1.5, 2.0) == {} and mixing.targets({"a": 0}, 1.5, 2.0) == {"a": 0}
+def plain_targets(sizes, share, cap, weights=(3, 1, 2)):
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, open_, out = share * sum(sizes.values()), list(order), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > cap * sizes[s]]
+        if not over:
+            return out | {s: left * weight[s] / total for s in open_}
+        out |= {s: cap * sizes[s] for s in over}
+        left -= sum(out[s] for s in over)
+        open_ = [s for s in open_ if s not in out]
+    return out
+
+
+def test_targets(spark):
+    r = random.Random(31)
+    cases = [{"a": 100, "b": 100, "c": 100, None: 100}, {}, {"a": 0}, {f"s{i}": 0 for i in range(4)}]
+    cases += [{x: int(10 ** r.uniform(0, 6)) for x in [None, "é", "\U0001f389", "\uff21", "Z", "a", *(f"s{i}" for i in range(40))]} for _ in range(3)]
+    for sizes in cases:
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {x["source"]: x["target"] for x in mixing.targets(df, 1.5, 2.0).collect()}
+        assert got == pytest.approx(plain_targets(sizes, 1.5, 2.0))
+
+
+def test_many_sources(spark):
+    docs = spark.range(300_000).selectExpr("id AS doc_id", "repeat('w ', int(1 + id % 7)) AS text", "concat('host', id % 150000) AS source")
+    plan = mixing.plan(docs)
+    total, aim = plan.agg(F.sum("size"), F.sum(F.col("target") * F.col("size") / F.col("source_size"))).first()
+    assert aim == pytest.approx(1.5 * total) and plan.filter("copies > 2").isEmpty()
+    per = plan.groupBy("source").agg((F.sum(F.col("size") * F.col("copies")) - F.first("target")).alias("off"), F.max("size").alias("size"))
+    assert per.filter("abs(off) > size / 2.0 + 1e-6").isEmpty()
 
 
 def test_rounding_keeps_sums_and_chances():
