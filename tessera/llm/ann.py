@@ -5,14 +5,18 @@ Hilbert curve there. Spark sorts each curve by ranges; a query is compared with
 within a window of its own, by exact cosine in double precision, and the windows of all curves merge. Curves are cut in
 blocks of fixed size; queries are copied to the blocks that their windows touch, so that a task holds one block.
 
-The window is fitted: the true neighbours of a bounded sample of vectors are found by brute force, and the window is the
-smallest that would have found `target` of them. Vectors without structure need wide windows, clustered ones narrow ones.
+Windows are fitted on samples: `FIT_ROWS` vectors, chosen by a hash, give the spread of the projections, and for `SAMPLE`
+others the true neighbours are found by brute force. Of two curves to `CURVES`, each number needs a smallest window that
+would have found `target` of them; the number that compares the fewest pairs is taken. Every vector is indexed. Vectors
+without structure need wide windows, clustered ones narrow ones.
 
 Equal vectors are indexed once, as a class that knows its smallest ids, so that a very common vector costs nothing.
+Vectors of different lengths have no cosine; each length is searched on its own.
 
-Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part, nor do null ids; rows that repeat an id and vector count once; with fewer candidates than asked for, all are
-returned; an empty table gives an empty result; other columns do not matter.
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids; all
+finite vectors do, however large or small their components; rows that repeat an id and vector count once; equal cosines
+go by id; with fewer candidates of its length than asked for, a query gets them all; an empty table gives an empty result;
+other columns do not matter.
 """
 
 from __future__ import annotations
@@ -28,10 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-CURVES = 4
+CURVES = 8
 DIMS = 6
 BITS = 9
 BLOCK = 4096
+#: Queries that are compared with a block at a time, about.
+ASKED = 4096
 SAMPLE = 200
 TARGET = 0.97
 FIT_ROWS = 10_000
@@ -81,10 +87,12 @@ def classes(vectors: DataFrame, vec_id: str, embedding: str, is_query: Column, m
 
 
 def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as a matrix and their norms."""
+    """Vectors as a matrix and their norms. Vectors are scaled by powers of two, which changes no cosine, so that no square
+    is too large or too small for a double."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
     return x, np.sqrt((x * x).sum(1))
 
 
@@ -148,8 +156,9 @@ def _ranks(cls: DataFrame, dims: int, seed: int, curves: int, fit: np.ndarray) -
     return line.join(F.broadcast(offset), "part").select("curve", "id", (F.col("offset") + F.col("i") - F.col("curve") * F.lit(total)).alias("rank"))
 
 
-def window(cls: DataFrame, ranks: DataFrame, k: int, sample: int, target: float) -> int:
-    """The smallest window in which `target` of the true k nearest of `sample` vectors lie on some curve."""
+def window(cls: DataFrame, ranks: DataFrame, k: int, sample: int, target: float) -> tuple[int, int]:
+    """How many curves, and the smallest window in which `target` of the true k nearest of `sample` vectors lie on one of
+    them, such that the fewest pairs are compared."""
     some = cls.select("id", "v").orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample).toArrow()
     qid, q = some.column("id").to_numpy(), _unit(some.column("v"))
 
@@ -164,9 +173,16 @@ def window(cls: DataFrame, ranks: DataFrame, k: int, sample: int, target: float)
     near = stored(near.select("q", "id"), "ann-truth")
     there = ranks.join(F.broadcast(near), "id").select("q", "id", "curve", "rank")
     mine = ranks.join(F.broadcast(near.select("q").distinct().withColumnRenamed("q", "id")), "id").select(F.col("id").alias("q"), "curve", F.col("rank").alias("own"))
-    gap = there.join(F.broadcast(mine), ["q", "curve"]).groupBy("q", "id").agg(F.min(F.abs(F.col("rank") - F.col("own"))).alias("gap"))
-    gaps = np.sort(gap.toPandas()["gap"].to_numpy(np.int64))
-    return int(gaps[min(len(gaps) - 1, int(np.ceil(target * len(gaps))))]) if len(gaps) else 0
+    gap = there.join(F.broadcast(mine), ["q", "curve"]).select("q", "id", "curve", F.abs(F.col("rank") - F.col("own")).alias("gap")).toPandas()
+    if not len(gap):
+        return 2, 0
+    best = np.minimum.accumulate(gap.pivot(index=["q", "id"], columns="curve", values="gap").to_numpy(), axis=1)
+    n, at = cls.count(), min(len(best) - 1, int(np.ceil(target * len(best))))
+    wide = np.sort(best, axis=0)[at].astype(np.int64)
+    curves = np.arange(1, best.shape[1] + 1)
+    cost = curves * np.minimum(n, 2 * wide + 1)
+    chosen = 1 + int(np.argmin(cost[1:])) if len(cost) > 1 else 0
+    return int(curves[chosen]), int(wide[chosen])
 
 
 def _in_block(wide: int, k: int):
@@ -181,27 +197,34 @@ def _in_block(wide: int, k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", curves: int = CURVES, dims: int = DIMS, seed: int = 17, target: float = TARGET, sample: int = SAMPLE, wide: int | None = None) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: of each row for which is_query holds, its k nearest found among the other
-    rows, by cosine, equal ones by id."""
-    spark = vectors.sparkSession
-    cls = classes(vectors, vec_id, embedding, is_query, k + 1)
-    schema = "query_id long, rank int, vec_id long, score double"
-    common = cls.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if common is None:
-        return spark.createDataFrame([], schema)
-    cls = cls.filter(F.size("v") == common["n"])
+def _of_length(cls: DataFrame, k: int, curves: int, dims: int, seed: int, target: float, sample: int, wide: int | None) -> DataFrame:
+    """q, id, score: nearest classes of one length."""
     fit = _unit(cls.orderBy(F.xxhash64("id", F.lit(4)), "id").limit(FIT_ROWS).select("v").toArrow().column("v"))[0]
     ranks = stored(_ranks(cls, dims, seed, curves, fit), "ann-ranks")
     if wide is None:
-        wide = window(cls, ranks, k, sample, target)
+        curves, wide = window(cls, ranks, k, sample, target)
+    n, asked = cls.agg(F.count("*"), F.count_if("asked")).first()
+    wide = min(wide, n)
     block = F.floor(F.col("rank") / BLOCK).cast("long")
-    placed = ranks.join(cls.select("id", "v", "asked"), "id")
-    rows = placed.select(F.col("curve").alias("curve"), block.alias("block"), F.col("rank").alias("rank"), F.col("id").alias("id"), F.col("v").alias("v"))
-    last = F.floor(F.lit(max(0, cls.count() - 1)) / BLOCK).cast("long")
+    placed = ranks.filter(F.col("curve") < curves).join(cls.select("id", "v", "asked"), "id")
+    # the queries that meet a block are dealt to parts, with a copy of the block in each
+    parts = -(-min(asked, BLOCK + 2 * wide) // ASKED)
+    rows = placed.select("curve", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(max(1, parts) - 1))).alias("part"), "rank", "id", "v")
+    last = F.floor(F.lit(max(0, n - 1)) / BLOCK).cast("long")
     touched = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col("rank") - wide) / BLOCK).cast("long")), F.least(last, F.floor((F.col("rank") + wide) / BLOCK).cast("long")))
-    asked = placed.filter("asked").select("curve", F.explode(touched).alias("block"), "rank", "id", "v").toDF("curve_", "block_", "rank", "id", "v").alias("asked")
-    found = rows.groupBy("curve", "block").cogroup(asked.groupBy("curve_", "block_")).applyInArrow(_in_block(wide, k + 1), "q long, id long, score double")
+    part = F.pmod(F.xxhash64("id"), F.lit(max(1, parts))).cast("int")
+    want = placed.filter("asked").select("curve", F.explode(touched).alias("block"), part.alias("part"), "rank", "id", "v").toDF("curve_", "block_", "part_", "rank", "id", "v")
+    return rows.groupBy("curve", "block", "part").cogroup(want.groupBy("curve_", "block_", "part_")).applyInArrow(_in_block(wide, k + 1), "q long, id long, score double")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", curves: int = CURVES, dims: int = DIMS, seed: int = 17, target: float = TARGET, sample: int = SAMPLE, wide: int | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: of each row for which is_query holds, its k nearest found among the other
+    rows, by cosine, equal ones by id."""
+    cls = classes(vectors, vec_id, embedding, is_query, k + 1)
+    found = vectors.sparkSession.createDataFrame([], "q long, id long, score double")
+    for r in cls.groupBy(F.size("v").alias("n")).agg(F.max("asked").alias("asked")).orderBy("n").collect():
+        if r["asked"]:
+            found = found.unionByName(_of_length(cls.filter(F.size("v") == r["n"]), k, curves, dims, seed, target, sample, wide))
     order = W.partitionBy("q").orderBy(F.desc("score"), "id")
     found = found.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1).drop("rn")
     members = cls.select("id", F.explode("members").alias("vec_id"))

@@ -1,7 +1,7 @@
 """Blocks of documents: texts that meet in one task, as compressed Arrow batches, with what others send for them.
 
 A block is a partition of a hash partitioning; documents are dealt to blocks by a hash of their row, so a block holds
-about the same share of texts whatever the sources are. Within one plan, Spark reuses the exchange of the blocks for
+about the same share of texts whatever the sources are, and there are as many blocks as the bytes of the texts ask for. Within one plan, Spark reuses the exchange of the blocks for
 every step that needs them, so that texts travel once."""
 
 from __future__ import annotations
@@ -18,13 +18,22 @@ from .lean import lean
 
 #: Bytes of texts that a task gathers before it deals them to blocks.
 GATHER = 32_000_000
+#: Bytes of texts in a block, about, at any size of the corpus.
+BLOCK_BYTES = 32_000_000
+
+
+def n_blocks(docs: DataFrame) -> int:
+    """By the bytes of all texts; at least as many as there are shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
 
 
 def block_keys(spark: SparkSession, n: int) -> list[int]:
     """Per partition of a hash partitioning of n, a number that goes to it, so that blocks are dealt evenly."""
-    found = spark.range(24 * n + 200).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).collect()
+    most = 24 * n + 200
+    found = spark.range(most).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).collect()
     keys = {r["at"]: r["id"] for r in found}
-    return [keys.get(i, i) for i in range(n)]
+    return [keys.get(i, most + i) for i in range(n)]
 
 
 def shrunk(**columns: pa.Array) -> bytes:

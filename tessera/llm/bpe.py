@@ -8,8 +8,9 @@ Decoding joins ids to the pieces of the vocabulary, whose size is fixed.
 Words are those of byte-level BPE with the usual pattern; special tokens of the tokenizer file that stand in a text are
 words of their own, as the tokenizers library takes them.
 
-Defined cases: a null text is encoded as an empty one; rows that repeat give repeated results; ids that no piece has
-raise an error on decoding; an empty table gives an empty result; the columns to keep are named and may have any names.
+Defined cases: a null text is encoded as an empty one; a very long text is encoded whole, in the one task that has its
+block; rows that repeat give repeated results; ids that no piece has raise an error on decoding; an empty table gives an
+empty result; the columns to keep are named and may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .blocks import block_keys, deal, shrunk, unpack
+from .blocks import block_keys, deal, n_blocks, shrunk, unpack
 from .lean import lean, small_batches
 
 #: Fixed value: the split pattern of byte-level BPE.
@@ -76,9 +77,21 @@ _SPACE[32] = True
 _FIRST = np.uint64(0x3C79AC492BA7B653)
 
 
+_HASH = np.dtype([("a", np.uint64), ("b", np.uint64)])
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct hashes, and which of them each one is."""
+    _, at, number = np.unique(h["a"], return_index=True, return_inverse=True)
+    if (h["b"] == h["b"][at][number]).all():  # the first halves tell all apart
+        return at, number
+    _, at, number = np.unique(h, return_index=True, return_inverse=True)
+    return at, number
+
+
 class Cut:
     """The texts of a block, cut into numbered pieces; each distinct piece is split into words once. Pieces are told apart
-    by 64-bit hashes."""
+    by 128-bit hashes."""
 
     def __init__(self, tables: list[pa.Table], split: Splitter):
         self.split = split
@@ -96,19 +109,20 @@ class Cut:
             for a, b in tokens.slices(cut, 1_000_000):
                 buf, off = tokens.buffer(cut.slice(a, b - a))
                 w = tokens.split(buf, off, _SPACE)
-                h = tokens.hashes(buf, w)
+                h = np.empty(len(w.start), _HASH)
+                h["a"], h["b"] = tokens.hashes(buf, w), tokens.hashes(buf, w, 1)
                 first = w.ptr[:-1][np.diff(w.ptr) > 0]
-                h[first] ^= _FIRST  # a text's first piece has no space before it
+                h["a"][first] ^= _FIRST  # a text's first piece has no space before it
                 # only distinct pieces of the slice are kept
-                own, at, number = np.unique(h, return_index=True, return_inverse=True)
-                hashes.append(own)
+                at, number = _distinct(h)
+                hashes.append(h[at])
                 found.append((buf, w.start[at].astype(np.int32), w.end[at].astype(np.int32), np.isin(at, first)))
                 self.parts.append(number.astype(np.int32))
                 per.append(np.diff(w.ptr))
             count[even] = np.concatenate(per) if per else 0
             self.even.append(even)
             self.counts.append(count)
-        _, at, number = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
+        at, number = _distinct(np.concatenate(hashes) if hashes else np.zeros(0, _HASH))
         end = np.cumsum([len(h) for h in hashes])
         self.parts = [n[x].astype(np.int32) for n, x in zip(np.split(number, end[:-1]) if hashes else [], self.parts, strict=True)]
         self.pieces, self.first = [""] * len(at), np.zeros(len(at), bool)
@@ -307,12 +321,12 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], n_tokens: str = "n_
     spark = docs.sparkSession
     special, held = special_tokens(tokenizer), spark.sparkContext.broadcast(tokenizer)
     small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, many = int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks(docs)
     own = [f"c{i}" for i in range(len(keep))]
     keys = block_keys(spark, n)
-    blocks = deal(docs, keep, own, keys)
+    blocks = deal(docs, keep, own, block_keys(spark, many))
     words = blocks.mapInArrow(_name_words(special, keys), "p int, k int, words binary")
-    encoded = words.repartition(n, "p").mapInArrow(_encode_words(held), "k int, p int, ids binary, sizes binary").repartition(n, "k")
+    encoded = words.repartition(n, "p").mapInArrow(_encode_words(held), "k int, p int, ids binary, sizes binary").repartition(many, "k")
     made = [T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
     schema = T.StructType([*(T.StructField(o, docs.schema[c].dataType) for c, o in zip(keep, own, strict=True)), *made])
     fields = to_arrow_schema(schema)

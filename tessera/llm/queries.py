@@ -40,7 +40,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), PAGE_RULES, bad)
-    return out.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.confidence")
+    return out.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.mined", "judged.confidence", "judged.lift", F.array_join("judged.tokens", " ").alias("tokens"))
 
 
 def byte_bpe() -> str:

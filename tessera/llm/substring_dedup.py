@@ -13,7 +13,8 @@ larger than one entry per block, however often a passage repeats.
 
 Places are ordered by doc_id, null last, then by position. Window hashes have 96 bits.
 
-Defined cases: null texts have no words and an empty rest; texts shorter than a window stay; of rows that repeat a doc_id,
+Defined cases: null texts have no words and an empty rest; texts shorter than a window stay; a very long text is held
+whole by the one task that has its block; of rows that repeat a doc_id,
 a window at the same position in two of them precedes neither, so repeated rows are kept or cut alike; an empty table
 gives an empty result; the columns to keep may have any names.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import tokens
-from .blocks import block_keys, deal, shrunk, unpack
+from .blocks import block_keys, deal, n_blocks, shrunk, unpack
 from .lean import lean, small_batches
 
 WIDTH = 20
@@ -325,17 +326,17 @@ def dedup_substrings(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", w
 
     spark = docs.sparkSession
     small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, many = int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks(docs)
     keys = block_keys(spark, n)
     own = [f"c{i}" for i in range(len(keep))]
     ordered = docs.select(*(docs[f"`{c}`"].alias(o) for c, o in zip(keep, own, strict=True)), docs[f"`{doc_id}`"].cast("long").alias("order"), docs["text"].alias("text"))
-    blocks = deal(ordered, [*own, "order"], [*own, "order"], keys)
+    blocks = deal(ordered, [*own, "order"], [*own, "order"], block_keys(spark, many))
     reply = "k int, p int, bits binary"
     symbols = blocks.mapInArrow(_ask_symbols(keys, width, rounds), "p int, k int, entries binary").repartition(n, "p").groupBy("p").applyInArrow(lean(_count_symbols), reply)
-    symbols = symbols.repartition(n, "k")
+    symbols = symbols.repartition(many, "k")
     windows = blocks.groupBy("k").cogroup(symbols.groupBy("k")).applyInArrow(_ask_windows(keys, width, rounds), "p int, k int, entries binary")
     firsts = windows.repartition(n, "p").groupBy("p").applyInArrow(lean(_first_windows), reply)
-    both = symbols.selectExpr("k", "p", "bits", "0 AS kind").unionByName(firsts.selectExpr("k", "p", "bits", "1 AS kind")).repartition(n, "k")
+    both = symbols.selectExpr("k", "p", "bits", "0 AS kind").unionByName(firsts.selectExpr("k", "p", "bits", "1 AS kind")).repartition(many, "k")
     span = T.ArrayType(T.StructType([T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())]))
     made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("removed", span)]
     schema = T.StructType([*(T.StructField(o, docs.schema[c].dataType) for c, o in zip(keep, own, strict=True)), *made])

@@ -310,6 +310,36 @@ def test_nearest_with_copies_ties_and_bad_vectors(spark):
     assert [x["rank"] for x in sorted(few, key=lambda x: x["rank"])] == [1, 2]
 
 
+def test_lengths_and_magnitudes(spark):
+    """Each length is searched on its own; very small and very large components take part."""
+    r = np.random.default_rng(19)
+    rows = [(i, (r.normal(size=3 + i % 2) * 10.0 ** r.choice([-170, -160, 0, 155])).tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in ann.search(df, F.col("vec_id") % 10 < 2, wide=1000).collect())
+    want = []
+    v = [np.array(x) / np.abs(x).max() for _, x in rows]
+    for q in (i for i in range(80) if i % 10 < 2):
+        s = sorted((-float(v[q] @ v[j] / np.linalg.norm(v[q]) / np.linalg.norm(v[j])), j) for j in range(80) if j != q and j % 2 == q % 2)
+        want += [(q, k + 1, j, -c) for k, (c, j) in enumerate(s[:5])]
+    assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want])
+
+
+def test_recall_at_scale(spark):
+    from tessera.llm.queries import op6_nearest
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").filter("embedding IS NOT NULL").select("vec_id", "embedding").collect()
+    rows = [x for x in rows if len(x["embedding"]) and all(y is not None and np.isfinite(y) for y in x["embedding"]) and any(x["embedding"])]
+    v = np.array([x["embedding"] for x in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.array([x["vec_id"] for x in rows])
+    s = v[ids % 50 == 0] @ v.T
+    s[ids[ids % 50 == 0][:, None] == ids[None, :]] = -2
+    kth = np.sort(s, 1)[:, -5]
+    got = [(x["query_id"], x["score"]) for x in op6_nearest(spark, "/root/testdata/sf0.1").collect()]
+    least = dict(zip(ids[ids % 50 == 0].tolist(), kth.tolist()))
+    assert sum(c >= least[q] - 1e-9 for q, c in got) / (5 * len(least)) >= 0.9
+
+
 def test_recall_on_clusters(spark):
     r = np.random.default_rng(16)
     centres = r.normal(size=(40, 32))
@@ -336,10 +366,6 @@ def test_hilbert_places_are_a_curve():
 # URL filter
 
 
-def test_given_rules():
-    assert url_filter.Rule("allow", "com", "/").host == "com"
-
-
 def test_urls(spark):
     from tessera.llm.queries import PAGE_RULES
 
@@ -398,3 +424,17 @@ def test_tokens_buffer_of_slices():
     col = pa.array(["a b", None, "c"]).slice(1)
     buf, off = tokens.buffer(col)
     assert bytes(buf) == b"c" and off.tolist() == [0, 0, 1]
+
+
+def test_templates_and_both_verdicts(spark):
+    """Twelve tokens that come together are one; a rule is told from chance by its bound."""
+    r = random.Random(23)
+    long = "/".join(f"part{chr(97 + i)}" for i in range(12))
+    rows = [(i, f"http://bad.example/{long}/{'x' if i % 3 else 'y'}", r.random() < 0.95) for i in range(200)]
+    rows += [(1000 + i, f"http://good.example/{r.choice('abc')}", r.random() < 0.04) for i in range(300)]
+    rows += [(2000 + i, f"http://even.example/{r.choice('def')}", r.random() < 0.4) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    rules = url_filter.mine(df.select(url_filter.tokens(F.col("url")).alias("tokens"), "bad")).collect()
+    assert {x["verdict"] for x in rules} == {"block", "allow"} and len(rules) < 12 and all(x["lift"] > 1 for x in rules)
+    out = url_filter.judge(df.drop("bad"), [], df.select("page_id", "bad")).select("page_id", "judged.*").collect()
+    assert all((x["mined"], x["verdict"]) == (("block", "block") if x["page_id"] < 1000 else ("allow", "allow") if x["page_id"] < 2000 else (None, "allow")) for x in out)
