@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import itertools
 from collections.abc import Callable
 from typing import Any
 
@@ -262,9 +263,10 @@ class UDF(Operator):
 
 class Subgraph(Operator):
     """A named graph inside of a graph. With loop_until, it is repeated until the predicate holds of its output, a
-    DataFrame of the whole data; every `checkpoint_every` rounds the lineage is cut in the shared folder of the session."""
+    DataFrame of the whole data; every `checkpoint_every` rounds the lineage is cut in the shared folder of the session.
+    most: rounds after which it is an error, if any."""
 
-    def __init__(self, name: str, node: Any, loop_until: Callable[[DataFrame], bool] | None = None, most: int = 1000, checkpoint_every: int = 10):
+    def __init__(self, name: str, node: Any, loop_until: Callable[[DataFrame], bool] | None = None, most: int | None = None, checkpoint_every: int = 10):
         from ..plans.graph import Graph
 
         self.name, self.graph, self.loop_until, self.most, self.checkpoint_every = name, Graph(node), loop_until, most, checkpoint_every
@@ -292,7 +294,7 @@ class Subgraph(Operator):
     def transform(self, selector: ColumnSelector, df: DataFrame) -> DataFrame:
         from ..functions.frames import cut_lineage
 
-        for i in range(1, self.most + 1):
+        for i in itertools.count(1):
             df = self.graph.compile(Columns.of(df)).frame()
             if self.loop_until is None:
                 return df
@@ -300,4 +302,5 @@ class Subgraph(Operator):
                 df = cut_lineage(df)
             if self.loop_until(df):
                 return df
-        raise RuntimeError(f"{self.name} did not end within {self.most} rounds")
+            if i == self.most:
+                raise RuntimeError(f"{self.name} did not end within {self.most} rounds")

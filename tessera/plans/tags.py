@@ -8,6 +8,8 @@ from typing import Any
 
 
 class Tags(Enum):
+    """The names that files of other tools have."""
+
     CATEGORICAL = "categorical"
     CONTINUOUS = "continuous"
     LIST = "list"
@@ -38,15 +40,21 @@ class Tags(Enum):
         return self.value
 
 
-#: What compounds stand for; the two kinds of classification stay whole.
+#: What compounds stand for; the two kinds of classification stay whole.
 COMPOUNDS = {
     Tags.USER_ID: {Tags.USER, Tags.ID},
     Tags.ITEM_ID: {Tags.ITEM, Tags.ID},
     Tags.SESSION_ID: {Tags.SESSION, Tags.ID},
     Tags.TEXT_TOKENIZED: {Tags.TEXT, Tags.TOKENIZED},
 }
-#: Pairs of which a column can have one only.
-EXCLUSIVE = [(Tags.CATEGORICAL, Tags.CONTINUOUS)]
+#: Pairs of which a column can have one only.
+EXCLUSIVE = [
+    (Tags.CATEGORICAL, Tags.CONTINUOUS),
+    (Tags.CATEGORICAL, Tags.EMBEDDING),
+    (Tags.CONTINUOUS, Tags.EMBEDDING),
+    (Tags.CONTINUOUS, Tags.ID),
+    (Tags.EMBEDDING, Tags.ID),
+]
 
 
 def normalise(tag: Any) -> Tags | str:

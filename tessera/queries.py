@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import io
+import json
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import UDF, AddMetadata, Aggregate, ColumnSchema, ColumnSelector, Dataset, FrequencyEncode, Graph, MinMaxScale, Node, Rename, Schema, ShiftToZero, Subgraph, TagAsItemID, TagAsUserID, Tags
 from .functions import frames, lists, scalars
-from .functions.table import TensorTable
+from .functions.table import TensorTable, group_values_offsets, ungroup_values_offsets
 from .plans import schema_io
+from .plans.graph import Runtime
 from .sources import readers, sinks
 from .streaming.graphs import transform_stream, write_stream
 
@@ -246,7 +251,7 @@ def stat_frequency_encode(spark, d):
 
 @query("SELECT count(*) AS num_rows FROM lineitem")
 def num_rows(spark, d):
-    return load(spark, d, "lineitem").agg(F.count("*").alias("num_rows"))
+    return spark.createDataFrame([(Dataset(load(spark, d, "lineitem")).num_rows,)], "num_rows long")
 
 
 @query("SELECT bool_or(nullif(n_regionkey, 0) IS NULL) AS has_nulls FROM nation")
@@ -315,7 +320,7 @@ def regenerate(spark, d):
     return Dataset(load(spark, d, "orders")).regenerate(path, columns=["o_orderkey", "o_totalprice"], order=["o_orderkey"]).to_df()
 
 
-@query()
+@query("SELECT TRUE AS valid")
 def validate_dataset(spark, d):
     import warnings
 
@@ -349,12 +354,18 @@ def schema_sidecar(spark, d):
     return back.to_df()
 
 
-@query()
+@query("""
+SELECT *, FALSE AS is_list, FALSE AS is_ragged, '{}' AS properties FROM (VALUES
+ ('c_custkey', '["id", "user"]', 'int64'), ('c_name', '["name"]', 'str'), ('c_nationkey', '["categorical"]', 'int32'),
+ ('c_acctbal', '["continuous"]', 'float64'), ('c_mktsegment', '["segment"]', 'str')) t(name, tags, dtype)""")
 def schema_to_frame(spark, d):
     return _customer_schema().to_spark_frame(spark)
 
 
-@query()
+@query("""
+SELECT column_name AS name, '[]' AS tags, FALSE AS is_list, FALSE AS is_ragged, '{}' AS properties,
+ CASE data_type WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THEN 'int32' WHEN 'DOUBLE' THEN 'float64' WHEN 'VARCHAR' THEN 'str' ELSE 'datetime64[us]' END AS dtype
+FROM information_schema.columns WHERE table_name = 'lineitem'""")
 def infer_schema(spark, d):
     return Dataset(f"{d}/lineitem.parquet", engine="parquet", spark=spark).infer_schema().to_spark_frame(spark)
 
@@ -399,7 +410,7 @@ def partition_lens(spark, d):
     return spark.createDataFrame([(sum(data.partition_lens),)], "n_rows long")
 
 
-@query()
+@query("SELECT 'orders.parquet' AS file, [0] AS partitions")
 def file_partition_map(spark, d):
     found = Dataset(f"{d}/orders.parquet", engine="parquet", spark=spark).file_partition_map
     return spark.createDataFrame([(k, v) for k, v in found.items()], "file string, partitions array<int>")
@@ -618,6 +629,299 @@ def global_rank(spark, d):
     return frames.ranked(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice"), F.col("o_orderkey")).select("o_orderkey", "rank")
 
 
+# further sources, writers and calls
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def registered_engine(spark, d):
+    """A reader of one's own, by name."""
+    readers.register_engine("own", lambda spark, paths, **_: spark.read.parquet(*paths).select("s_suppkey", "s_name"))
+    return Dataset(f"{d}/supplier.parquet", engine="own", spark=spark).to_df()
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def read_part_size(spark, d):
+    return Dataset(f"{d}/events.parquet", engine="parquet", part_size="64KB", spark=spark).to_df(["event_id", "user_id", "value"])
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer")
+def aggregate_files(spark, d):
+    path = scratch(spark, "small")
+    Dataset(load(spark, d, "customer").select("c_custkey", "c_nationkey").repartition(6)).to_parquet(path)
+    return Dataset(path, engine="parquet", aggregate_files=True, spark=spark).to_df()
+
+
+@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) t(k, v)")
+def source_in_memory(spark, d):
+    return Dataset({"k": [1, 2, 3], "v": ["a", "b", None]}, spark=spark).to_df()
+
+
+@query("SELECT * FROM (VALUES (0, 'part_1'), (1, 'part_2'), (2, 'part_10'), (3, 'part_11')) t(place, file)")
+def natural_order(spark, d):
+    return spark.createDataFrame(list(enumerate(readers.paths_of(["part_10", "part_2", "part_11", "part_1"]))), "place int, file string")
+
+
+@query("SELECT p_partkey, p_size FROM part")
+def shuffled_partitions(spark, d):
+    return Dataset(load(spark, d, "part").select("p_partkey", "p_size").repartition(5)).to_df(shuffle=True, seed=3)
+
+
+@query("SELECT o_orderkey FROM orders")
+def write_by_names(spark, d):
+    path = scratch(spark, "named")
+    Dataset(load(spark, d, "orders").select("o_orderkey").repartition(4)).to_parquet(path, output_files={"a": [0, 1], ("b", "c"): [2, 3]})
+    return Dataset(path, spark=spark).to_df()
+
+
+@query("SELECT n_nationkey, n_regionkey FROM nation")
+def hive_by_worker(spark, d):
+    path = scratch(spark, "hive")
+    Dataset(load(spark, d, "nation").select("n_nationkey", "n_regionkey")).to_parquet(path, partition_on="n_regionkey", method="worker")
+    return Dataset(path, engine="parquet", spark=spark).to_df(["n_nationkey", "n_regionkey"])
+
+
+@query("SELECT count(*) AS n_rows, CAST(ceil(count(*) / 500.0) AS BIGINT) AS n_groups FROM customer")
+def metadata_file(spark, d):
+    """Rows and row groups by the _metadata file."""
+    path = scratch(spark, "meta")
+    Dataset(load(spark, d, "customer").coalesce(1)).to_parquet(path, row_group_size=500, write_metadata_file=True, output_files=1)
+    rows, groups, _ = readers.parquet_metadata(f"{path}/_metadata")
+    return spark.createDataFrame([(rows, groups)], "n_rows long, n_groups long")
+
+
+@query("SELECT 3 AS n_files, count(*) AS n_rows, 's_suppkey' AS cats, 's_acctbal' AS conts FROM supplier")
+def file_list(spark, d):
+    """What the files beside the data say of them."""
+    path = scratch(spark, "listed")
+    Dataset(load(spark, d, "supplier").select("s_suppkey", "s_acctbal").repartition(3)).to_parquet(path, output_files=3, cats=["s_suppkey"], conts=["s_acctbal"], labels=[])
+    files = sinks.Files(spark, path)
+    meta = json.loads(files.read(sinks.FILE_META))
+    n = int(files.read(sinks.FILE_LIST).decode().split()[0])
+    row = (n, sum(f["num_rows"] for f in meta["file_stats"]), *(meta[k][0]["col_name"] for k in ("cats", "conts")))
+    return spark.createDataFrame([row], "n_files int, n_rows long, cats string, conts string")
+
+
+@query("SELECT 'r_regionkey' AS name, 'category' AS tag UNION ALL SELECT 'r_name', 'label'")
+def schema_text_sidecar(spark, d):
+    path = scratch(spark, "text")
+    schema = Schema([ColumnSchema("r_regionkey", ["category"], dtype="int32"), ColumnSchema("r_name", ["label"], dtype="str")])
+    Dataset(load(spark, d, "region").select("r_regionkey", "r_name"), schema=schema).to_parquet(path, write_schema_text=True)
+    sinks.Files(spark, path).delete(sinks.SCHEMA_JSON)
+    return spark.createDataFrame([(c.name, str(t)) for c in Dataset(path, spark=spark).schema for t in c.tags], "name string, tag string")
+
+
+@query("SELECT CAST(unnest(range(0, 26)) AS BIGINT) AS key")
+def keyset(spark, d):
+    path = scratch(spark, "keys")
+    schema = Schema([ColumnSchema("n_nationkey", properties={"embedding_sizes": {"cardinality": 25, "dimension": 8}}, dtype="int32")])
+    Dataset(load(spark, d, "nation").select("n_nationkey"), schema=schema).to_parquet(path, write_keyset=True)
+    found = sinks.Files(spark, path).read("_keyset")
+    return spark.createDataFrame([(int.from_bytes(found[i : i + 4], "big"),) for i in range(0, len(found), 4)], "key long")
+
+
+@query("SELECT CAST(l_partkey AS BIGINT) AS cat, CAST(l_quantity AS DOUBLE) AS cont, CAST(l_tax AS FLOAT) AS label FROM lineitem")
+def binary_rows(spark, d):
+    """The rows of the binary files, read back."""
+    path = scratch(spark, "binary")
+    Dataset(load(spark, d, "lineitem").select("l_tax", "l_quantity", "l_partkey")).to_binary(path, cats=["l_partkey"], conts=["l_quantity"], labels=["l_tax"])
+    body = F.substring("content", 8 * sinks.HEADER + 1, 1 << 30)
+    def rows(batches):
+        kind = sinks.row_bytes(1, 1, 1)
+        for batch in batches:
+            for x in batch.column("body").to_pylist():
+                a = np.frombuffer(x, kind)
+                yield pa.RecordBatch.from_arrays([pa.array(a["cats"]["key"][:, 0].astype(np.int64)), pa.array(a["conts"][:, 0].astype(np.float64)), pa.array(a["labels"][:, 0])], ["cat", "cont", "label"])
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(body.alias("body")).mapInArrow(rows, "cat long, cont double, label float")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer")
+def npy_rows(spark, d):
+    """The matrix that was written, read back."""
+    from .sources.avro import open_file
+
+    path = scratch(spark, "matrix") + ".npy"
+    Dataset(load(spark, d, "customer").select("c_custkey", "c_acctbal")).to_npy(path)
+    with open_file(path) as stream:
+        matrix = np.load(io.BytesIO(stream.read()))
+    return spark.createDataFrame(pa.table({"c_custkey": matrix[:, 0].astype(np.int64), "c_acctbal": matrix[:, 1]}))
+
+
+@query("SELECT p_partkey FROM part")
+def iterate_chosen(spark, d):
+    """Partitions by number, in an order that a seed draws."""
+    data = Dataset(load(spark, d, "part").select("p_partkey").repartition(4))
+    found = [p for i in ([3, 1], [0, 2]) for p in data.to_iter(indices=i, shuffle=True, seed=5)]
+    return frames.concat_rows(*map(spark.createDataFrame, found))
+
+
+@query("SELECT o_orderkey, o_totalprice - (SELECT min(o_totalprice) FROM orders) AS o_totalprice FROM orders")
+def cleared_stats(spark, d):
+    """Statistics of other rows are forgotten."""
+    graph = Graph(["o_orderkey"] + (["o_totalprice"] >> ShiftToZero()))
+    graph.fit(load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice")))
+    graph.clear_stats()
+    return graph.fit_transform(load(spark, d, "orders"))
+
+
+@query("SELECT o_orderkey, CAST(sum(o_custkey) OVER (ORDER BY o_orderkey) AS BIGINT) AS running FROM orders")
+def running_total(spark, d):
+    return frames.running_sum(load(spark, d, "orders"), F.col("o_custkey"), F.col("o_orderkey")).select("o_orderkey", "running")
+
+
+@query("(SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5) UNION ALL (SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 5)")
+def head_and_tail(spark, d):
+    data = Dataset(load(spark, d, "orders").select("o_orderkey")).sort("o_orderkey")
+    return frames.concat_rows(spark.createDataFrame(data.head(5)), spark.createDataFrame(data.tail(5)))
+
+
+@query("SELECT o_orderstatus, o_orderkey FROM orders")
+def shuffle_hive_keys(spark, d):
+    path = scratch(spark, "hive")
+    Dataset(load(spark, d, "orders").select("o_orderkey", "o_orderstatus")).to_parquet(path, partition_on="o_orderstatus")
+    return Dataset(path, engine="parquet", spark=spark).shuffle_by_keys("o_orderstatus", hive_data=True).to_df(["o_orderstatus", "o_orderkey"])
+
+
+@query("SELECT event_id, value FROM events UNION ALL SELECT event_id, value FROM events")
+def shuffled_files(spark, d):
+    out = []
+    for how in (sinks.Shuffle.PER_WORKER, sinks.Shuffle.PER_PARTITION):
+        path = scratch(spark, how.value)
+        Dataset(load(spark, d, "events").select("event_id", "value")).to_parquet(path, shuffle=how)
+        out.append(Dataset(path, spark=spark).to_df())
+    return frames.concat_rows(*out)
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def computed(spark, d):
+    data = Dataset(load(spark, d, "nation").select("n_nationkey", "n_name")).persist()
+    return spark.createDataFrame(data.compute())
+
+
+@query("SELECT * FROM (VALUES ('embedding', TRUE, FALSE, 'double'), ('vec_id', FALSE, FALSE, NULL)) t(name, is_list, is_string, values)")
+def column_kinds(spark, d):
+    df = load(spark, d, "embeddings").select("embedding", "vec_id").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    kinds = [(c, scalars.is_list_dtype(df, c), scalars.is_string_dtype(df, c), scalars.list_val_dtype(df, c)) for c in df.columns]
+    return spark.createDataFrame([(c, a, b, v.simpleString() if a else None) for c, a, b, v in kinds], "name string, is_list boolean, is_string boolean, values string")
+
+
+@query("SELECT CAST(unnest(range(2, 20, 3)) AS BIGINT) AS id, 7 AS seven, TRUE AS inside")
+def made_columns(spark, d):
+    df = frames.filled(frames.arange(spark, 2, 20, 3), "seven", 7, "int")
+    u = scalars.random_uniform(2.0, 3.0, seed=1)
+    return df.withColumn("u", u).select("id", "seven", ((F.col("u") >= 2) & (F.col("u") < 3)).alias("inside"))
+
+
+@query("SELECT count(DISTINCT c_name) AS names, count(DISTINCT c_name) AS hashes, count(DISTINCT c_name) AS pairs FROM customer")
+def hash_series_stable(spark, d):
+    """Equal names have equal hashes wherever they are computed."""
+    df = load(spark, d, "customer").select("c_name", scalars.hash_series(F.col("c_name")).alias("h"))
+    both = df.unionByName(df.repartition(3))
+    return both.agg(F.count_distinct("c_name").alias("names"), F.count_distinct("h").alias("hashes"), F.count_distinct("c_name", "h").alias("pairs"))
+
+
+@query("SELECT 'tags' AS name, [1, 2, 3, 4] AS values, [0, 2, 2, 4] AS offsets")
+def values_and_offsets(spark, d):
+    flat = {"tags__values": np.array([1, 2, 3, 4]), "tags__offsets": np.array([0, 2, 2, 4])}
+    back = ungroup_values_offsets(group_values_offsets(flat))
+    rows = [("tags", back["tags__values"].tolist(), back["tags__offsets"].tolist())]
+    return spark.createDataFrame(rows, "name string, values array<int>, offsets array<int>")
+
+
+@query("SELECT count(*) AS n_rows, TRUE AS is_ragged, CAST(sum(len(string_split(c_name, '#'))) AS BIGINT) AS n_values FROM customer")
+def ragged_column(spark, d):
+    df = load(spark, d, "customer").select(F.transform(F.split("c_name", "#"), F.length).alias("sizes"), "c_custkey")
+    df = df.withColumn("sizes", F.when(F.col("c_custkey") % 2 == 0, F.col("sizes")).otherwise(F.slice("sizes", 1, 50)))
+    column = TensorTable.from_df(df.select("sizes"))["sizes"]
+    return spark.createDataFrame([(len(column), column.is_list, len(column.values))], "n_rows long, is_ragged boolean, n_values long")
+
+
+@query("SELECT c_nationkey * 2 AS c_nationkey, c_custkey FROM customer")
+def runtime_graph(spark, d):
+    graph = Graph((["c_nationkey"] >> UDF(lambda c: c * 2)) + ["c_custkey"])
+    return Runtime().transform(graph, load(spark, d, "customer").select("c_custkey", "c_nationkey"))
+
+
+@query("SELECT * FROM (VALUES ('l_orderkey', 'int64', ''), ('l_quantity_n', 'float64', 'continuous')) t(name, dtype, tags)")
+def constructed_schema(spark, d):
+    """Names, types and tags that a graph will give, from the schema alone."""
+    root = Schema([ColumnSchema("l_orderkey", dtype="int64"), ColumnSchema("l_quantity", [Tags.CONTINUOUS], dtype="float64")])
+    out = Graph(["l_orderkey"] + (["l_quantity"] >> Rename(postfix="_n"))).construct_schema(root).output_schema
+    return spark.createDataFrame([(c.name, c.dtype.name, " ".join(map(str, c.tags))) for c in out], "name string, dtype string, tags string")
+
+
+@query("SELECT * FROM (VALUES ('Rename', 1), ('MinMaxScale', 1)) t(op, n)")
+def nodes_by_operator(spark, d):
+    graph = Graph((["l_quantity"] >> MinMaxScale() >> Rename(postfix="_s")) + ["l_tax"])
+    return spark.createDataFrame([(op.__name__, len(graph.get_nodes_by_op_type(op))) for op in (Rename, MinMaxScale)], "op string, n int")
+
+
+@query("SELECT o_orderkey, upper(o_orderstatus) AS o_orderstatus FROM orders")
+def frame_apply(spark, d):
+    df = load(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return frames.apply(df, lambda pdf: pdf.assign(o_orderstatus=pdf["o_orderstatus"].str.upper()), df.schema)
+
+
+@query("SELECT 'count' AS summary, CAST(count(p_size) AS VARCHAR) AS p_size FROM part UNION ALL SELECT 'min', CAST(min(p_size) AS VARCHAR) FROM part UNION ALL SELECT 'max', CAST(max(p_size) AS VARCHAR) FROM part")
+def frame_describe(spark, d):
+    return frames.describe(load(spark, d, "part").select("p_size"), "count", "min", "max")
+
+
+@query("SELECT n_nationkey, unnest(CASE WHEN n_regionkey = 0 THEN [NULL] ELSE range(0, n_regionkey) END) AS r FROM nation")
+def frame_explode(spark, d):
+    df = load(spark, d, "nation").select("n_nationkey", F.when(F.col("n_regionkey") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_regionkey").cast("long") - 1)).alias("r"))
+    return frames.explode(df, "r")
+
+
+@query("SELECT n_nationkey FROM nation")
+def frame_drop(spark, d):
+    return frames.pipe(load(spark, d, "nation"), lambda df, *names: df.drop(*names), *(c for c in load(spark, d, "nation").columns if c != "n_nationkey"))
+
+
+@query("SELECT 7 AS n, count(*) AS n_rows, 2 AS n_columns FROM orders")
+def frame_sample_shape(spark, d):
+    df = load(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return spark.createDataFrame([(frames.sample(df, 7).count(), *frames.shape(df))], "n int, n_rows long, n_columns int")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def frame_to_dict(spark, d):
+    return frames.from_dict(spark, frames.to_dict(load(spark, d, "region").select("r_regionkey", "r_name")))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS b FROM nation")
+def frame_to_numpy(spark, d):
+    matrix = frames.to_numpy(load(spark, d, "nation").select("n_nationkey", "n_regionkey"))
+    return spark.createDataFrame([tuple(map(int, r)) for r in matrix], "a long, b long")
+
+
+@query("SELECT 'r_regionkey' AS key, 0 AS AFRICA, 2 AS ASIA")
+def frame_transpose(spark, d):
+    df = frames.from_dict(spark, {"r_name": ["AFRICA", "ASIA"], "r_regionkey": [0, 2]})
+    return frames.transpose(df, "r_name").select("key", F.col("AFRICA").cast("int").alias("AFRICA"), F.col("ASIA").cast("int").alias("ASIA"))
+
+
+@query("SELECT event_id, lag(value, 2) OVER (ORDER BY event_id) AS value FROM events")
+def frame_shift_all(spark, d):
+    return frames.shift(load(spark, d, "events").select("event_id", "value"), "value", "event_id", 2)
+
+
+@query("""
+WITH e AS (SELECT event_id, CASE WHEN event_id % 5 < 3 THEN NULL ELSE value END AS v, row_number() OVER (ORDER BY event_id) AS n FROM events),
+s AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS lo, first_value(v IGNORE NULLS) OVER a AS hi,
+ last_value(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER b AS nlo, first_value(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER a AS nhi
+ FROM e WINDOW b AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING), a AS (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN lo IS NOT NULL AND hi IS NOT NULL THEN lo + (hi - lo) * (n - nlo) / (nhi - nlo) ELSE lo END, 6) AS value FROM s""")
+def frame_interpolate_all(spark, d):
+    df = load(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 < 3, None).otherwise(F.col("value")).alias("value"))
+    return frames.interpolate(df, "value", "event_id").select("event_id", F.round("value", 6).alias("value"))
+
+
+@query("SELECT 98 AS r_regionkey UNION ALL SELECT r_regionkey FROM region")
+def prepend_to_series(spark, d):
+    return frames.add_to_column(load(spark, d, "region").select("r_regionkey"), "r_regionkey", [98], prepend=True)
+
+
 # streams
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 import warnings
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,14 +45,14 @@ class Dataset:
             if npartitions is not None:
                 warnings.warn("npartitions holds for data in memory; files are split by part_size", stacklevel=2)
             size = _bytes(part_size)
-            if size:
-                self.spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            split = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": str(min(size or 0, 4 << 20))}
+            reading = own_session(self.spark, split) if size and kind != "avro" else self.spark
             if not callable(kind) and kind not in ENGINES:
                 raise ValueError(f"no such engine: {kind}")
             read = kind if callable(kind) else ENGINES[kind]
             if kind == "avro" and size:
                 options["part_size"] = size
-            self._df = read(self.spark, self.paths, **options)
+            self._df = read(reading, self.paths, **options)
             schema = schema or sinks.find_schema(self.spark, self.paths[0])
         else:
             self._df = self._in_memory(source)
@@ -91,10 +93,16 @@ class Dataset:
     # rows
     def to_df(self, columns: list[str] | None = None, shuffle: bool = False, seed: int | None = None) -> DataFrame:
         """The lazy DataFrame, with the columns' meaning in its metadata. shuffle: rows by a hash and a seed within the
-        partitions, since partitions themselves have no order."""
+        partitions, and the partitions themselves."""
         names = columns or self._df.columns
         df = self._df.select(*(quoted(n).alias(n, metadata=self.schema[n].metadata()) if n in self.schema else quoted(n) for n in names))
-        return df.sortWithinPartitions(row_hash(df, seed or 0)) if shuffle else df
+        if not shuffle:
+            return df
+        n = sinks.partition_count(df)
+        order = list(range(n))
+        random.Random(seed).shuffle(order)
+        moved = df.repartitionById(max(1, n), F.array(*map(F.lit, order or [0]))[F.spark_partition_id()])
+        return moved.sortWithinPartitions(row_hash(df, seed or 0))
 
     to_ddf = to_df
 
@@ -229,6 +237,8 @@ class Dataset:
     def to_parquet(self, output_path: str, shuffle: Any = None, preserve_files: bool = False, output_files: Any = None, out_files_per_proc: int | None = None, row_group_size: int | None = None, num_threads: int = 0, dtypes: dict | None = None, cats: list | None = None, conts: list | None = None, labels: list | None = None, suffix: str = ".parquet", partition_on: Any = None, method: str | None = None, write_keyset: bool = False, **options: Any) -> None:
         names = None
         if preserve_files:
+            if not self.paths or output_files is not None or out_files_per_proc or partition_on:
+                raise ValueError("preserve_files is for a dataset that was read from files, and goes without other names")
             names = F.col("__path")
             frame = self._df.select("*", F.col("_metadata.file_path").alias("__path"))
             df = frame.select(*(quoted(c).alias(c, metadata=self.schema[c].metadata()) if c in self.schema else quoted(c) for c in frame.columns))
@@ -254,8 +264,7 @@ class Dataset:
         else:
             numbered = cut_lineage(df.withColumn("__at", F.monotonically_increasing_id()))
             placed = numbered.repartitionByRange(n, "__at").sortWithinPartitions("__at").drop("__at")
-        placed.sparkSession.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", str(row_group_bytes))
-        sinks.to_parquet(placed, str(output_path), self.schema.select_by_name(df.columns), **sidecars)
+        sinks.to_parquet(placed, str(output_path), self.schema.select_by_name(df.columns), row_group_bytes=row_group_bytes, **sidecars)
         return Dataset(str(output_path), engine="parquet", spark=self.spark)
 
     regenerate_dataset = regenerate
@@ -330,7 +339,7 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 class DataFrameIter:
-    """Partitions one after another as pandas frames; each is computed when it is asked for."""
+    """Partitions one after another as pandas frames. Each is a job over that partition alone, when it is asked for."""
 
     def __init__(self, dataset: Dataset, columns: list[str] | None, indices: list[int] | None, shuffle: bool, seed: int, epochs: int):
         self.df = dataset.to_df(columns)
@@ -346,16 +355,36 @@ class DataFrameIter:
         return rows * self.epochs
 
     def __iter__(self) -> Iterator:
-        import random
-
+        blobs = self.df.mapInArrow(_packed, "rows binary").rdd
         for epoch in range(self.epochs):
             order = list(self.indices)
             if self.shuffle:
                 random.Random(self.seed + epoch).shuffle(order)
             for i in order:
-                pdf = self.df.filter(F.spark_partition_id() == i).toPandas()
-                if len(pdf):
-                    yield pdf
+                found = self.df.sparkSession.sparkContext.runJob(blobs, lambda rows: [bytes(r[0]) for r in rows], [i])
+                if found:
+                    yield pa.Table.from_batches([b for x in found for b in pa.ipc.open_stream(x)]).to_pandas()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches as rows, one each."""
+    for batch in batches:
+        if len(batch):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as w:
+                w.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
+
+
+def own_session(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
+    """A session with the settings of another and some of its own, which leaves the other as it is."""
+    out = spark.newSession()
+    for r in spark.sql("SET").collect():
+        if r["key"].startswith("spark.sql.") and spark.conf.isModifiable(r["key"]):
+            out.conf.set(r["key"], r["value"])
+    for k, v in conf.items():
+        out.conf.set(k, v)
+    return out
 
 
 def _bytes(x: Any) -> int | None:

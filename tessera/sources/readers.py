@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +76,10 @@ def read_parquet(spark: SparkSession, paths: list[str], filters: list | None = N
     df = spark.read.options(pathGlobFilter="*.parquet", **{k: v for k, v in options.items() if v is not None}).parquet(*paths)
     if filters:
         df = df.filter(predicate(filters))
-    if aggregate is True:
-        df = df.coalesce(1)
+    if aggregate is True:  # small files in partitions of the size that a scan's have
+        total = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        size = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        df = df.coalesce(max(1, -(-total // size)))
     elif aggregate:
         df = df.repartition(quoted(aggregate))
     return df
@@ -99,6 +102,12 @@ def read_avro(spark: SparkSession, paths: list[str], part_size: int | None = Non
         raise ValueError(f"Avro files are read without {sorted(options)}")
     from .avro import AvroDataSource
 
+    try:
+        if not part_size:
+            return spark.read.format("avro").load(paths)
+    except AnalysisException as e:
+        if "AVRO" not in str(e).upper():
+            raise
     spark.dataSource.register(AvroDataSource)
     out = None
     for p in paths:

@@ -60,8 +60,10 @@ def partition_count(df: DataFrame) -> int:
     return df.rdd.getNumPartitions()
 
 
-def _writer(df: DataFrame, row_group_size: int | None, metadata_file: bool, compression: str) -> Any:
+def _writer(df: DataFrame, row_group_size: int | None, metadata_file: bool, compression: str, row_group_bytes: int | None = None) -> Any:
     w = df.write.option("compression", compression)
+    if row_group_bytes:
+        w = w.option("parquet.block.size", str(row_group_bytes))
     if row_group_size:
         w = w.option("parquet.block.row.count.limit", str(row_group_size))
     if metadata_file:
@@ -84,7 +86,7 @@ def to_parquet(
     df: DataFrame, path: str, schema: Schema, *, shuffle: Any = None, preserve_files: bool = False, output_files: Any = None, out_files_per_proc: int | None = None,
     row_group_size: int | None = None, dtypes: dict | None = None, cats: list | None = None, conts: list | None = None, labels: list | None = None, suffix: str = ".parquet",
     partition_on: list[str] | str | None = None, method: str | None = None, write_metadata_file: bool = False, write_schema_text: bool = False, keyset: bool = False,
-    source_files: Column | None = None, compression: str = "none", mode: str = "overwrite", seed: int = 0,
+    source_files: Column | None = None, compression: str = "none", mode: str = "overwrite", seed: int = 0, row_group_bytes: int | None = None,
 ) -> None:
     partition_on = [partition_on] if isinstance(partition_on, str) else partition_on
     if partition_on and (output_files is not None or preserve_files or out_files_per_proc):
@@ -116,12 +118,13 @@ def to_parquet(
         _writer(shuffled_for_writing(placed, Shuffle.PER_PARTITION if how else None, seed), row_group_size, write_metadata_file, compression).mode(mode).parquet(path)
         _rename(files, names)
     elif partition_on:
-        spread = df.repartition(*map(quoted, partition_on)) if method != "worker" else df
+        # large keys are split among tasks, small ones put together
+        spread = df.hint("rebalance", *map(quoted, partition_on)) if method != "worker" else df
         _writer(shuffled_for_writing(spread, Shuffle.PER_PARTITION if how else None, seed), row_group_size, write_metadata_file, compression).mode(mode).partitionBy(*partition_on).parquet(path)
     else:
         if method == "worker":
             df = df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
-        _writer(shuffled_for_writing(df, how, seed), row_group_size, write_metadata_file, compression).mode(mode).parquet(path)
+        _writer(shuffled_for_writing(df, how, seed), row_group_size, write_metadata_file, compression, row_group_bytes).mode(mode).parquet(path)
         _rename(files, {int(re.match(r"part-(\d+)", p)[1]): f"part_{i}{suffix}" for i, p in enumerate(files.list("part-*"))})
     write_sidecars(files, schema, cats, conts, labels, write_schema_text, keyset)
 
@@ -229,7 +232,9 @@ def to_binary(df: DataFrame, path: str, cats: list[str], conts: list[str], label
 
         from pyspark import TaskContext
 
-        part, body, rows = TaskContext.get().partitionId(), tempfile.TemporaryFile(), 0  # the header has the number of rows
+        context = TaskContext.get()
+        part, body, rows = context.partitionId(), tempfile.TemporaryFile(), 0  # the header has the number of rows
+        name = f"_{part}-{context.taskAttemptId()}"
         for b in batches:
             a = np.zeros(len(b), kind)
             for field, names in (("labels", labels), ("conts", conts)):
@@ -241,15 +246,20 @@ def to_binary(df: DataFrame, path: str, cats: list[str], conts: list[str], label
             body.write(a.tobytes())
             rows += len(b)
         if rows:
-            with create_file(f"{root}/{part}.bin") as out:
+            with create_file(f"{root}/{name}") as out:
                 out.write(np.array([0, rows, len(labels), len(conts), len(cats), 0, 0, 0], "<i8").tobytes())
                 body.seek(0)
                 shutil.copyfileobj(body, out, COPY)
         body.close()
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows], pa.int64())], ["part", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows], pa.int64()), pa.array([name])], ["part", "rows", "name"])
 
     columns = [*labels, *conts, *cats]
-    df.select(*map(quoted, columns)).mapInArrow(write, "part int, rows long").collect()
+    # a task's file gets its name when the job is done; what other attempts have left goes
+    for r in df.select(*map(quoted, columns)).mapInArrow(write, "part int, rows long, name string").collect():
+        if r["rows"]:
+            target.rename(r["name"], f"{r['part']}.bin")
+    for name in target.list("_*-*"):
+        target.delete(name)
     write_sidecars(target, schema.select_by_name(columns), cats, conts, labels, False, False)
 
 

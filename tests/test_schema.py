@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import types as T
 
 from tessera import ColumnSchema, ColumnSelector, Dimension, Schema, Shape, Tags, TagSet, dtype
+from tessera.plans.tags import normalise
 from tessera.plans import dtypes as D
 from tessera.plans import schema_io
 
@@ -72,20 +73,30 @@ def test_column_shapes():
     assert d.int_domain.is_bounded and d.float_domain is None and ColumnSchema("x", dtype="uint8", properties={"domain": {"min": 0, "max": 3}}).int_domain.max == 3
 
 
-def tagged():
-    return Schema([ColumnSchema("col1", ["a", "b", "c"]), ColumnSchema("col2", ["b", "c", "d"]), ColumnSchema("col3", ["b", "e", "f"])])
+def shop():
+    return Schema([ColumnSchema("price", ["money", "item"]), ColumnSchema("tax", ["money"]), ColumnSchema("shelf", ["place", "item"]), ColumnSchema("town", ["place"])])
+
+
+@pytest.mark.parametrize(("a", "b"), [("categorical", "continuous"), ("embedding", "categorical"), ("continuous", "embedding"), ("user_id", "continuous"), ("embedding", "item_id")])
+def test_contradictory_tags(a, b):
+    with pytest.raises(ValueError, match="not both") as e:
+        ColumnSchema("x", [a, b])
+    assert all(x in str(e.value) for x in (a.removeprefix("user_").removeprefix("item_"), b.removeprefix("user_").removeprefix("item_")))
+    with pytest.raises(ValueError, match="not both"):
+        TagSet(a) | b
+    assert TagSet([a, "own"]).override(b).tags >= TagSet(b).tags and normalise(a) not in TagSet([a, "own"]).override(b).tags and "own" in TagSet([a, "own"]).override(b)
 
 
 def test_selection():
-    s = tagged()
-    assert s.select_by_tag("a").column_names == ["col1"] and s.select_by_tag(["a", "e"]).column_names == ["col1", "col3"]
-    assert s.select_by_tag(["b", "c"], pred_fn=all).column_names == ["col1", "col2"] and s.excluding_by_tag("c").column_names == ["col3"]
-    assert s.select(ColumnSelector(["col3", "none"], tags=["a"])).column_names == ["col3", "col1"] and s.select("*") == s and s.excluding(ColumnSelector("col2")).column_names == ["col1", "col3"]
+    s = shop()
+    assert s.select_by_tag("money").column_names == ["price", "tax"] and s.select_by_tag(["money", "place"]).column_names == s.column_names
+    assert s.select_by_tag(["place", "item"], pred_fn=all).column_names == ["shelf"] and s.excluding_by_tag("item").column_names == ["tax", "town"]
+    assert s.select(ColumnSelector(["town", "none"], tags=["money"])).column_names == ["town", "price", "tax"] and s.select("*") == s and s.excluding(ColumnSelector("tax")).column_names == ["price", "shelf", "town"]
     ids = Schema([ColumnSchema("u", [Tags.USER]), ColumnSchema("i", [Tags.USER, Tags.ID])])
     assert ids.select_by_tag(Tags.USER_ID).column_names == ["i"] and ids.select_by_tag([Tags.USER, Tags.ID]).column_names == ["u", "i"]
     with pytest.raises(KeyError):
-        s[["col1", "none"]]
-    assert s.get("none") is None and s.first.name == "col1" and s.without(["col1"]).column_names == ["col2", "col3"] and len(s.to_pandas()) == 3
+        s[["price", "none"]]
+    assert s.get("none") is None and s.first.name == "price" and s.without(["price"]).column_names == ["tax", "shelf", "town"] and len(s.to_pandas()) == 4
 
 
 names = st.lists(st.sampled_from("abcdef"), unique=True)
@@ -120,9 +131,9 @@ def test_files_keep_schemas(shape, kind):
 
 
 def test_files_of_other_tools():
-    text = '{"feature": [{"name": "categories", "type": "INT", "valueCount": {"min": "1", "max": "4"}, "intDomain": {"min": "1", "max": "331", "isCategorical": true}, "annotation": {"tag": ["item"]}}]}'
-    c = schema_io.from_json(text)["categories"]
-    assert c.tags == [Tags.ITEM, Tags.CATEGORICAL] and c.value_count == Dimension(1, 4) and c.int_domain.max == 331 and c.dtype.name == "int64"
+    text = '{"feature": [{"name": "shelves", "type": "INT", "valueCount": {"min": "2", "max": "7"}, "intDomain": {"min": "10", "max": "52", "isCategorical": true}, "annotation": {"tag": ["context"]}}]}'
+    c = schema_io.from_json(text)["shelves"]
+    assert c.tags == [Tags.CONTEXT, Tags.CATEGORICAL] and c.value_count == Dimension(2, 7) and c.int_domain.max == 52 and c.dtype.name == "int64"
     pb = 'feature {\n  name: "x"\n  type: FLOAT\n  float_domain { min: 0.5 max: 2 }\n  annotation { tag: "continuous" }\n} # done\nfeature { name: "y" type: INT }'
     s = schema_io.from_text(pb)
     assert s.column_names == ["x", "y"] and s["x"].float_domain.min == 0.5 and s["y"].dtype.name == "int64"
