@@ -60,7 +60,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(language_id.fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").filter(~held).select("doc_id", "quality")
     model = quality_pu.train(feats.filter(~held), labels)
-    return feats.select("doc_id", held.alias("held_out"), quality_pu.score(model).alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    return quality_pu.score(feats, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

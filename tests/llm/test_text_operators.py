@@ -349,6 +349,28 @@ def test_prior_and_classifier():
     assert (z(good) > 0).mean() > 0.98 and (z(bad) < 0).mean() > 0.98
 
 
+def test_risk_and_gradient(spark, monkeypatch):
+    """Against a plain version, and its gradient against differences; rows in memory and in Spark give the same."""
+    r = np.random.default_rng(9)
+    d = len(quality_pu.FEATURES) + quality_pu.WORDS
+    u, p, w = r.random((300, d)), r.random((50, d)), r.normal(0, 0.2, d + 1)
+    u[:, len(quality_pu.FEATURES) :] = np.rint(u[:, len(quality_pu.FEATURES) :] * 255) / 255
+    rows = [(i, *map(float, np.float32(x[:14])), bytearray(np.rint(x[14:] * 255).astype(np.uint8).tobytes())) for i, x in enumerate(u)]
+    spread = quality_pu.Spread(spark.createDataFrame(rows, ", ".join(["doc_id long", *(f"{f} float" for f in quality_pu.FEATURES), "words binary"])).repartition(3))
+    held = quality_pu.Held(u)
+    scale = quality_pu.Scale(*held.moments())
+    xp = scale(p)
+    for prior in (0.3, 0.9):
+        plain = lambda w: prior * np.mean([np.log1p(np.exp(-x @ w)) for x in xp]) + max(0, np.mean([np.log1p(np.exp(x @ w)) for x in scale(u)]) - prior * np.mean([np.log1p(np.exp(x @ w)) for x in xp]))
+        value, gradient = quality_pu.risk(w, xp, held, scale, prior)
+        assert value == pytest.approx(plain(w))
+        for k in (0, 5, 20, d):
+            e = np.eye(d + 1)[k] * 1e-5
+            assert gradient[k] == pytest.approx((plain(w + e) - plain(w - e)) / 2e-5, abs=1e-4)
+        assert quality_pu.risk(w, xp, spread, scale, prior)[0] == pytest.approx(value, rel=1e-5)
+    assert spread.shares(scale, w, np.array([-0.5, 0.5])) == pytest.approx(held.shares(scale, w, np.array([-0.5, 0.5])), abs=0.01)
+
+
 def test_features_of_odd_texts(odd_docs, no_docs):
     x = quality_pu.featurise(odd_docs).toPandas()[quality_pu.FEATURES].to_numpy()
     assert len(x) == odd_docs.count() and np.isfinite(x).all() and x.min() >= 0 and x.max() <= 1
