@@ -55,6 +55,8 @@ BINS, ROW = 1 << 18, 1 << 14
 #: Cost of a set's candidates, sketched and verified, in entries of lists.
 VERIFY = 16
 MAX_LIGHT = 60
+#: Bits of a sketch for each element that may differ.
+BITS = 12
 #: Low bits of a list's key that number its parts, 0 for a list in one part.
 PART = 0xFFF
 #: Place of an entry that is a pair already.
@@ -150,11 +152,11 @@ def sets(column: pa.Array, n: int, twins: Twins | None = None) -> Sets:
 
 
 def sketches(s: Sets, t: Threshold) -> list[bytes]:
-    """Per set the parity of its elements in a power of two of bins, about eight for each element that may differ."""
+    """Per set the parity of its elements in a power of two of bins, about BITS for each element that may differ."""
     most = int(s.size.max()) if len(s.size) else 1
     first = t.intervals(most)
     last = first[1:] - 1
-    bits = np.array([1 << max(6, int(8 * (t.differ(int(u), t.largest(int(u))) + 1) - 1).bit_length()) for u in last])
+    bits = np.array([1 << max(6, int(BITS * (t.differ(int(u), t.largest(int(u))) + 1) - 1).bit_length()) for u in last])
     own = bits[np.maximum(0, np.searchsorted(first, s.size, "right") - 1)]
     base = np.cumsum(own) - own
     row = np.repeat(np.arange(len(s.size)), s.size)
@@ -371,6 +373,11 @@ def _partnered(t: Threshold, n: np.ndarray, at: np.ndarray) -> np.ndarray:
     return may.any(1)[kind.ravel()]
 
 
+def _hub(at: np.ndarray, f: np.ndarray) -> int:
+    """The member of a list with the fewest rarer elements: of copies, the one with the fewest changes of its own."""
+    return int(np.lexsort((f, at))[0])
+
+
 def _scan(t: Threshold, every_link: bool):
     """Entries (sig, at, n, f) in order, equal sigs together, to rows (kind, list, a, b, n, at): kind 0 is a pair with a
     large common subset, 1 a pair with a common element, 2 a member a of a long list, 3 a hub a of a part of a list."""
@@ -434,7 +441,7 @@ def _scan(t: Threshold, every_link: bool):
             own = np.arange(st, st + m)
             if sig[st] & PART:  # the other parts are elsewhere
                 key, place = sig[st] & ~PART, at[own]
-                split.append(st + int(np.argmin(f[own])))
+                split.append(st + _hub(at[own], f[own]))
             else:
                 own = own[_partnered(t, n[own], at[own])]
                 if len(own) < 2:
@@ -445,7 +452,7 @@ def _scan(t: Threshold, every_link: bool):
                     continue
                 known.add((x, y, len(own)))
                 key, place = np.uint64(x).view(np.int64), np.zeros(len(own), np.int32)
-            hub = int(own[np.argmin(f[own])])
+            hub = int(own[_hub(at[own], f[own])])
             a_.append(np.full(len(own), hub))
             b_.append(own)
             members.append((np.full(len(own), key), f[own], n[own], place))
@@ -573,7 +580,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, every_link:
         links = verified(pairs)
     else:
         # one pair of each set first, where that is much less; it mostly is enough
-        first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-first")
+        first = stored(_likeliest(pairs), "jaccard-first")
         every = pairs.count() <= 2 * first.count()
         links = verified(pairs if every else first)
         if not every:
@@ -586,16 +593,27 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, every_link:
     roots = components(links)
     long = scanned.filter("kind = 2").select("list", F.col("a").alias("f"), "n", "at")
     if not long.isEmpty():
-        apart_ = roots.filter(F.lit(False)) if every_link else roots  # each set on its own
-        crossed = stored(_cross(long, apart_, known, t), "jaccard-cross")
-        more = crossed if crossed.isEmpty() else verified(crossed)
-        if not more.isEmpty():
-            links = stored(links.unionByName(more).distinct(), "jaccard-links")
-            roots = components(links)
+        # the likeliest partners of each set first, then whatever is still in different components
+        for few in (0,) if every_link else (2, 0):
+            apart_ = roots.filter(F.lit(False)) if every_link else roots  # each set on its own
+            crossed = stored(_cross(long, apart_, known, t, few), "jaccard-cross")
+            more = crossed if crossed.isEmpty() else verified(crossed)
+            if not more.isEmpty():
+                links = stored(links.unionByName(more).distinct(), "jaccard-links")
+                roots = components(links)
+            discard(crossed)
     discard(scanned, known)
     return Join(described.select("doc_id", "n", "f"), links, roots)
 
 
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of each set the pair with the partner that has the most pairs: a hub, of which a list of copies has one."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    many = both.groupBy("a").agg(F.count("*").alias("m"))
+    best = both.join(many, "a").groupBy("b").agg(F.max(F.struct("m", "a")).alias("x"))
+    return best.select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b")).distinct()
+
+
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets that are in different components."""
     ra, rb = roots.toDF("a", "ra"), roots.toDF("b", "rb")
@@ -603,11 +621,12 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _tiles(t: Threshold):
-    """Rows (list, i, j, f, n, at, root, sketch) with equal tiles together to the pairs of different components that can
-    link by their sizes, places and sketches."""
+def _tiles(t: Threshold, few: int):
+    """Rows (list, i, j, guest, f, n, at, root, sketch) with equal tiles together to the pairs of a guest and another of a
+    different component that can link by their sizes, places and sketches. few: at most so many of each guest, with the
+    least differing sketches; 0 for all."""
 
-    def tile(n: np.ndarray, at: np.ndarray, f: np.ndarray, root: np.ndarray, sketch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def tile(guest: np.ndarray, n: np.ndarray, at: np.ndarray, f: np.ndarray, root: np.ndarray, minor: np.ndarray, sketch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         short = min(map(len, sketch))
         bits = []
         for x in sketch:
@@ -616,33 +635,42 @@ def _tiles(t: Threshold):
                 y = y[: len(y) // 2] ^ y[len(y) // 2 :]
             bits.append(y)
         bits = np.stack(bits).view(np.uint64)
-        step = max(1, 2_000_000 // bits.size)
+        guests, own = np.flatnonzero(guest), np.flatnonzero(~guest)
         a_, b_ = [], []
-        for k in range(0, len(f), step):
-            own = slice(k, k + step)
-            most, least = np.maximum(n[own, None], n[None, :]), np.minimum(n[own, None], n[None, :])
-            may = (root[own, None] != root[None, :]) & (t.den * least >= t.num * most) & (f[own, None] < f[None, :])
+        for g in np.array_split(guests, max(1, -(-len(guests) * max(1, len(own)) // 500_000))):
+            # two guests meet in two tiles
+            may = (root[g, None] != root[None, own]) & (~minor[None, own] | (f[g, None] < f[None, own]))
             a, b = np.nonzero(may)
-            ok = _may(t, n, at, a + k, b)
-            a, b = a[ok] + k, b[ok]
+            a, b = g[a], own[b]
+            ok = _may(t, n, at, a, b)
+            a, b = a[ok], b[ok]
+            differ = np.empty(len(a), np.int64)
             for c in range(0, len(a), 100_000):
-                x, y = a[c : c + 100_000], b[c : c + 100_000]
-                differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-                ok = differ <= (n[x] + n[y]) * (t.den - t.num) // (t.den + t.num)
-                a_.append(x[ok])
-                b_.append(y[ok])
+                differ[c : c + 100_000] = np.bitwise_count(bits[a[c : c + 100_000]] ^ bits[b[c : c + 100_000]]).sum(1, dtype=np.int64)
+            ok = differ <= (n[a] + n[b]) * (t.den - t.num) // (t.den + t.num)
+            a, b, differ = a[ok], b[ok], differ[ok]
+            if few:
+                order = np.lexsort((differ, a))
+                a, b = a[order], b[order]
+                ok = np.arange(len(a)) - np.searchsorted(a, a) < few
+                a, b = a[ok], b[ok]
+            a_.append(a)
+            b_.append(b)
         return _cat(a_, np.int64), _cat(b_, np.int64)
 
     def tiles(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         key, i, j, f, n, at, root = (rows.column(c).to_numpy() for c in ("list", "i", "j", "f", "n", "at", "root"))
+        guest, minor = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("guest", "minor"))
         n, sketch = n.astype(np.int64), rows.column("sketch").to_pylist()
         a_, b_ = [], []
         for st, m in zip(*_runs(key, i, j), strict=True):
-            a, b = tile(n[st : st + m], at[st : st + m], f[st : st + m], root[st : st + m], sketch[st : st + m])
+            x = slice(st, st + m)
+            a, b = tile(guest[x], n[x], at[x], f[x], root[x], minor[x], sketch[x])
             a_.append(a + st)
             b_.append(b + st)
-        return pa.RecordBatch.from_arrays([pa.array(f[_cat(a_, np.int64)]), pa.array(f[_cat(b_, np.int64)])], ["a", "b"])
+        a, b = f[_cat(a_, np.int64)], f[_cat(b_, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -665,23 +693,31 @@ def _tiles(t: Threshold):
     return lean(run)
 
 
-def _cross(long: DataFrame, roots: DataFrame, known: DataFrame, t: Threshold) -> DataFrame:
+def _cross(long: DataFrame, roots: DataFrame, known: DataFrame, t: Threshold, few: int) -> DataFrame:
     """Candidates (a, b) among the members of each long list that are in different components.
 
-    Lists that are one component by now are done. The others are cut in tiles, so that a task holds two tiles of a list
-    at a time, and pairs are tested by places and sketches where they meet; only those that pass are made. Of a list of m
-    members in several components, each member is dealt to m / TILE tiles."""
+    Lists that are one component by now are done. Of the others, those that are mostly of one component are put together,
+    as a group of copies makes many with nearly the same members. All members outside of a list's largest component are
+    guests; guests and members are cut in tiles, so that a task holds one tile of each, and pairs are tested by places and
+    sketches where they meet. Of m members and g guests, g / TILE * m + m / TILE * g rows are dealt."""
     member = long.distinct().join(roots, F.col("f") == F.col("node"), "left").select("list", "f", "n", "at", F.coalesce("root", "f").alias("root"))
     member = stored(member, "jaccard-members")
-    several = member.groupBy("list").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 <> r1")
-    several = stored(several.select("list", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "jaccard-several")
-    open_ = member.join(small(several), "list").join(known.select("f", "sketch"), "f")
-    own = F.pmod(F.xxhash64("f"), F.col("tiles")).cast("int")
-    each = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
-    dealt = open_.select("list", F.explode(each).alias("x"), "f", "n", "at", "root", "sketch").select("list", "x.i", "x.j", "f", "n", "at", "root", "sketch")
+    per = member.groupBy("list", "root").agg(F.count("*").alias("m"))
+    main = per.groupBy("list").agg(F.sum("m").alias("m"), F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("top")).filter("roots > 1")
+    main = stored(main.select("list", F.when(2 * F.col("top.m") >= F.col("m"), F.col("top.root")).alias("merged")), "jaccard-several")
+    # a list that keeps its own members is told from those put together by its sign of `own`
+    joined = member.join(small(main), "list").select(F.coalesce("merged", "list").alias("list"), F.col("merged").isNull().alias("own"), "f", "n", F.when(F.col("merged").isNull(), F.col("at")).otherwise(0).alias("at"), "root").distinct()
+    joined = stored(joined.withColumn("list", F.xxhash64("list", "own")).drop("own"), "jaccard-open")
+    tops = joined.groupBy("list", "root").agg(F.count("*").alias("m")).groupBy("list").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top"))
+    tops = stored(tops.select("list", F.col("top.root").alias("main"), F.ceil(F.col("m") / TILE).cast("int").alias("ti"), F.ceil((F.col("m") - F.col("top.m")) / TILE).cast("int").alias("tj")).filter("tj > 0"), "jaccard-tops")
+    open_ = joined.join(small(tops), "list").withColumn("minor", F.col("root") != F.col("main")).join(known.select("f", "sketch"), "f")
+    columns = ("minor", "f", "n", "at", "root", "sketch")
+    i, j = (F.pmod(F.xxhash64("f"), F.col(x)).cast("int") for x in ("ti", "tj"))
+    own = open_.select("list", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("tj") - 1)).alias("j"), F.lit(False).alias("guest"), *columns)
+    guests = open_.filter("minor").select("list", F.explode(F.sequence(F.lit(0), F.col("ti") - 1)).alias("i"), j.alias("j"), F.lit(True).alias("guest"), *columns)
     parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ("list", "i", "j")
-    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "f").mapInArrow(_tiles(t), "a long, b long").distinct()
+    return own.unionByName(guests).repartition(parts, *keys).sortWithinPartitions(*keys, "f").mapInArrow(_tiles(t, few), "a long, b long").distinct()
 
 
 def _links(docs: DataFrame, known: DataFrame, pairs: DataFrame, n: int, t: Threshold, twins: Twins) -> DataFrame:

@@ -38,6 +38,8 @@ SWITCH = 12.0
 PIECE = 256
 #: Bytes of texts times languages, eight at least, that are labelled at a time.
 SLICE = 16_000_000
+#: Bytes of words whose trigrams are looked up at a time.
+STRETCH = 2_000_000
 UNDETERMINED = "und"
 
 #: First code points of blocks and the script that holds from there to the next one.
@@ -208,6 +210,20 @@ def decode(e: np.ndarray, ptr: np.ndarray, switch: float = SWITCH, piece: int =
     return got
 
 
+def _scores(buf: np.ndarray, w: tokens.Words, model: Model) -> np.ndarray:
+    """word x language, from stretches of words, however long the text."""
+    e = np.empty((len(w.start), len(model.languages)), np.float32)
+    i = 0
+    while i < len(e):
+        base = w.start[i]
+        j = max(i + 1, int(np.searchsorted(w.end, base + STRETCH, "right")))
+        got, first = _buckets(buf[base : w.end[j - 1]], tokens.Words(w.start[i:j] - base, w.end[i:j] - base, w.ptr))
+        for c in range(e.shape[1]):
+            e[i:j, c] = np.add.reduceat(model.score[:, c][got], first)
+        i = j
+    return e
+
+
 def _judge(e: np.ndarray, label: np.ndarray, row: np.ndarray, some: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Per text the label of most of its words, -1 if it has none, and the score: the share of those words, times the odds
     of the label against the next best one on them. some: words that have a label."""
@@ -237,9 +253,7 @@ def predict_batch(column: pa.Array, model: Model, switch: float) -> tuple[list,
         w = tokens.split(buf, off)
         if not len(w.start):
             continue
-        got, first = _buckets(buf, w)
-        e = np.stack([np.add.reduceat(model.score[:, c][got], first) for c in range(len(names))], 1)
-        del got
+        e = _scores(buf, w, model)
         script = _scripts(buf, w)
         may = model.allowed[script] & (script >= 0)[:, None]
         some = may.any(1)

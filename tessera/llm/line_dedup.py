@@ -58,6 +58,23 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return seen.filter(above).select(*cols, F.lit(False).alias("exact")).unionByName(exact.select(*cols, F.lit(True).alias("exact")))
 
 
+def bodies(docs: DataFrame, site: str = "source", name: str = "body", min_sites: int = MIN_SITES) -> DataFrame:
+    """Adds a column that is equal in documents that are mostly copies of each other, though not to the letter.
+
+    Every line that stands on several sites is owned by one of the texts that have it, the first by hash; other lines are
+    their own text's. A text is a copy of the one that owns the most of its lines, if that is half of them or more."""
+    every = lines(docs, site).groupBy("h", "body").agg(F.count("*").alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1"))
+    owners = every.groupBy("h").agg(F.count("*").alias("m"), F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.min("body").alias("owner"))
+    owners = stored(owners.filter((F.col("m") >= min_sites) & (F.col("s0") != F.col("s1"))).select("h", "owner"), "lines-owners")
+    owned = every.join(small(owners), "h", "left").groupBy("body", F.coalesce("owner", "body").alias("owner")).agg(F.sum("n").alias("n"))
+    most = owned.groupBy("body").agg(F.sum("n").alias("n"), F.max(F.struct("n", "owner")).alias("top"))
+    copies = most.filter((2 * F.col("top.n") >= F.col("n")) & (F.col("top.owner") != F.col("body"))).select(F.col("body").alias("copy"), F.col("top.owner").alias("of"))
+    copies = stored(copies, "lines-copies")
+    own = own_names(docs, "copy", "of")
+    told = docs.join(small(copies.toDF(own["copy"], own["of"])), F.xxhash64("text") == F.col(own["copy"]), "left")
+    return told.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.col(own["of"]), F.xxhash64("text")).alias(name))
+
+
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, n_lines: str | None = None, n_removed: str | None = None, body: str | None = None) -> DataFrame:
     """The documents, with boilerplate lines taken out of `text`. Names in n_lines and n_removed add columns: the lines
     with a word that a document had, and how many of them went."""
