@@ -5,8 +5,8 @@ return the columns of documents. Between stages the rows are written as Parquet
 
 Defined cases: documents whose language cannot be told (no letters, null text) go in the first stage, whatever else they
 have; documents emptied of boilerplate stay, empty; of a group of near duplicates one row stays, the one with the
-smallest doc_id (null last), then of the smallest hash of its text, then of its row, also where ids or rows repeat; the mix repeats documents, so that doc_ids repeat after it; empty tables pass through; nulls are treated as each operator
-says. Extra columns of documents are kept up to the mix."""
+smallest doc_id (null last), then of the smallest hash of its text, then of its row, also where ids or rows repeat; the mix repeats documents, so that doc_ids repeat after it; very long texts are
+documents like others; empty tables pass through; nulls are treated as each operator says. Extra columns of documents are kept up to the mix."""
 
 from __future__ import annotations
 
@@ -36,14 +36,10 @@ def key(docs: DataFrame) -> Column:
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines out that stand on many sources and in many documents, of which near copies of each other are one."""
-    found = jaccard.near_duplicates(docs.select(key(docs).alias("doc_id"), "text"), n=5, num=80, den=100)
-    name = own_names(docs, "own", "copied", "first", "body")
-    own, copied, first, body = (name[x] for x in ("own", "copied", "first", "body"))
-    copies = found.filter("n_shingles > 0").select(F.col("doc_id.h").alias(copied), F.col("component_id.h").alias(first))
-    copies = stored(copies.filter(F.col(copied) != F.col(first)).distinct(), "pipeline-copies")
-    told = docs.withColumn(own, F.xxhash64("text")).join(small(copies), F.col(own) == F.col(copied), "left")
-    told = stored(told.select(*(f"`{c}`" for c in docs.columns), F.coalesce(first, own).alias(body)), "pipeline-bodies")
+    """Takes lines out that stand on many sources and in many documents, of which copies of each other are one, to the
+    letter or not."""
+    body = own_names(docs, "body")["body"]
+    told = stored(line_dedup.bodies(docs, name=body), "pipeline-bodies")
     out = line_dedup.dedup_lines(told, body=body).drop(body)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
