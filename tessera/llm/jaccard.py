@@ -34,7 +34,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -596,8 +595,10 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, every_link:
         # the likeliest partners of each set first, then whatever is still in different components
         for few in (0,) if every_link else (2, 0):
             apart_ = roots.filter(F.lit(False)) if every_link else roots  # each set on its own
-            crossed = stored(_cross(long, apart_, known, t, few), "jaccard-cross")
-            more = crossed if crossed.isEmpty() else verified(crossed)
+            crossed = _cross(long, apart_, known, t, few)
+            if crossed is None:
+                break
+            more = verified(crossed)
             if not more.isEmpty():
                 links = stored(links.unionByName(more).distinct(), "jaccard-links")
                 roots = components(links)
@@ -693,8 +694,8 @@ def _tiles(t: Threshold, few: int):
     return lean(run)
 
 
-def _cross(long: DataFrame, roots: DataFrame, known: DataFrame, t: Threshold, few: int) -> DataFrame:
-    """Candidates (a, b) among the members of each long list that are in different components.
+def _cross(long: DataFrame, roots: DataFrame, known: DataFrame, t: Threshold, few: int) -> DataFrame | None:
+    """Candidates (a, b), if any, among the members of each long list that are in different components.
 
     Lists that are one component by now are done. Of the others, those that are mostly of one component are put together,
     as a group of copies makes many with nearly the same members. All members outside of a list's largest component are
@@ -705,6 +706,8 @@ def _cross(long: DataFrame, roots: DataFrame, known: DataFrame, t: Threshold, fe
     per = member.groupBy("list", "root").agg(F.count("*").alias("m"))
     main = per.groupBy("list").agg(F.sum("m").alias("m"), F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("top")).filter("roots > 1")
     main = stored(main.select("list", F.when(2 * F.col("top.m") >= F.col("m"), F.col("top.root")).alias("merged")), "jaccard-several")
+    if main.isEmpty():
+        return None
     # a list that keeps its own members is told from those put together by its sign of `own`
     joined = member.join(small(main), "list").select(F.coalesce("merged", "list").alias("list"), F.col("merged").isNull().alias("own"), "f", "n", F.when(F.col("merged").isNull(), F.col("at")).otherwise(0).alias("at"), "root").distinct()
     joined = stored(joined.withColumn("list", F.xxhash64("list", "own")).drop("own"), "jaccard-open")
@@ -717,7 +720,10 @@ def _cross(long: DataFrame, roots: DataFrame, known: DataFrame, t: Threshold, fe
     guests = open_.filter("minor").select("list", F.explode(F.sequence(F.lit(0), F.col("ti") - 1)).alias("i"), j.alias("j"), F.lit(True).alias("guest"), *columns)
     parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ("list", "i", "j")
-    return own.unionByName(guests).repartition(parts, *keys).sortWithinPartitions(*keys, "f").mapInArrow(_tiles(t, few), "a long, b long").distinct()
+    met = own.unionByName(guests).repartition(parts, *keys).sortWithinPartitions(*keys, "f")
+    out = stored(met.mapInArrow(_tiles(t, few), "a long, b long").distinct(), "jaccard-cross")
+    discard(member, main, joined, tops)
+    return None if out.isEmpty() else out
 
 
 def _links(docs: DataFrame, known: DataFrame, pairs: DataFrame, n: int, t: Threshold, twins: Twins) -> DataFrame:
@@ -728,6 +734,8 @@ def _links(docs: DataFrame, known: DataFrame, pairs: DataFrame, n: int, t: Thres
     sketch = known.select("f", "n", "sketch")
     both = pairs.join(sketch.toDF("a", "na", "sa"), "a").join(sketch.toDF("b", "nb", "sb"), "b")
     near = stored(both.mapInArrow(_near(t), "a long, b long"), "jaccard-near")
+    if near.isEmpty():
+        return near
     many = near.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count("*") / LIST).alias("parts"))
     dealt = near.join(many, near["a"] == many["hub"]).select(F.col("b").alias("f"), "hub", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
     dealt = dealt.unionByName(many.select(F.col("hub").alias("f"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part")))

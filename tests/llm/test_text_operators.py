@@ -206,21 +206,27 @@ def test_language_of_odd_texts(odd_docs, no_docs):
 # very long texts
 
 
-def test_a_text_of_fifty_megabytes(spark):
+@pytest.mark.parametrize(("size", "cut"), [(50_000_000, False), (12_000_000, True)])
+def test_a_text_of_many_megabytes(spark, size, cut):
     """Whole, beside short ones."""
     r = random.Random(40)
     part = prose(r, 2000, "de", 1000).replace("\n", " ")
-    times = 50_000_000 // len(part.encode())
+    times = size // len(part.encode())
     own = " ".join(f"q{i}" for i in range(30))
     df = spark.range(3).selectExpr("id AS doc_id", f"CASE id WHEN 0 THEN concat(repeat('{part} ', {times}), '{own}') WHEN 1 THEN '{own}' ELSE '{part}' END AS text", "'s' AS source").repartition(3)
+    if cut:
+        return cut_and_encoded(df, times, part, own)
     model = language_id.fit(docs_of(spark, [prose(r, 50, x) for x in ("en", "de")] * 20).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de")))
     got = {x["doc_id"]: x["lang_pred"] for x in language_id.identify(df, model).select("doc_id", "lang_pred").collect()}
     assert got[0] == got[2] == "de"
+    sets = {x["doc_id"]: x["n_shingles"] for x in jaccard.near_duplicates(df, 3, 90, 100).collect()}
+    assert sets[1] == 28 and 1900 < sets[2] <= 1998 <= sets[0] <= 2030
+
+
+def cut_and_encoded(df, times, part, own):
     n = 2000 * times + 30
     cut = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in substring_dedup.dedup_substrings(df, ["doc_id"]).select("doc_id", "n_words", "n_removed").collect()}
     assert cut == {0: (n, 2000 * (times - 1)), 1: (30, 30), 2: (2000, 2000)}
-    sets = {x["doc_id"]: x["n_shingles"] for x in jaccard.near_duplicates(df, 3, 90, 100).collect()}
-    assert sets[1] == 28 and 1900 < sets[2] <= 1998 <= sets[0] <= 2030
     out = {x["doc_id"]: x for x in bpe.encode(df, byte_bpe(), ["doc_id"]).select("doc_id", "n_tokens", F.length("decoded").alias("n")).collect()}
     assert out[0]["n"] == times * (len(part) + 1) + len(own) and out[0]["n_tokens"] > times * (out[2]["n_tokens"] - 1)
 
