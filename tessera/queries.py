@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import UDF, AddMetadata, Aggregate, ColumnSchema, ColumnSelector, Dataset, FrequencyEncode, Graph, MinMaxScale, Node, Rename, Schema, ShiftToZero, Subgraph, TagAsItemID, TagAsUserID, Tags
 from .functions import frames, lists, scalars
