@@ -55,6 +55,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM f
 """
 
+RULE_ABLATIONS = f"""
+WITH led AS ({QUALITY_RULES}), r(rule, bit) AS (VALUES {", ".join(f"('{r}', {1 << k})" for k, r in enumerate(quality_rules.RULES))})
+SELECT rule, count(*) FILTER (WHERE fail_bits & bit <> 0) AS failed, count(*) FILTER (WHERE fail_bits = bit) AS failed_alone
+FROM led, r GROUP BY rule
+"""
+
 JACCARD = rf"""
 WITH RECURSIVE t AS (
   SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),

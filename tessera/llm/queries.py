@@ -73,6 +73,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits", "n_capitals", "n_lines", "n_stutter")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the last policy removes, and what it alone does, from the ledger."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(table(spark, sf_dir, "documents"))
     each = plan.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
@@ -99,11 +104,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "rule_ablations": rule_ablations,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": oracles.LINE_DEDUP,
     "op7_quality_rules": oracles.QUALITY_RULES,
+    "rule_ablations": oracles.RULE_ABLATIONS,
     "op8_jaccard_join": oracles.JACCARD,
     "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
 }

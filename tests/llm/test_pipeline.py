@@ -107,7 +107,7 @@ def test_recall_of_the_registered_search(spark):
     assert len(got & true) / len(true) >= 0.9
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op7_quality_rules", "op8_jaccard_join", "op9_substring_dedup"])
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op7_quality_rules", "rule_ablations", "op8_jaccard_join", "op9_substring_dedup"])
 def test_query_in_duckdb(spark, name):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
