@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_names, small, stored
+from .common import own_names, small, stored, words
 
 MIN_SITES = 5
 LG_K = 12
@@ -28,6 +28,8 @@ LG_K = 12
 BAND = 0.08
 #: So many boilerplate lines are matched inside the scan; more are matched by a join.
 INLINE = 2000
+#: Words of a shingle, and how many least hashes describe a text, by which copies are told.
+SHINGLE, VALUES = 5, 8
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -58,21 +60,25 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return seen.filter(above).select(*cols, F.lit(False).alias("exact")).unionByName(exact.select(*cols, F.lit(True).alias("exact")))
 
 
-def bodies(docs: DataFrame, site: str = "source", name: str = "body", min_sites: int = MIN_SITES) -> DataFrame:
+def bodies(docs: DataFrame, name: str = "body", size: int = SHINGLE, values: int = VALUES) -> DataFrame:
     """Adds a column that is equal in documents that are mostly copies of each other, though not to the letter.
 
-    Every line that stands on several sites is owned by one of the texts that have it, the first by hash; other lines are
-    their own text's. A text is a copy of the one that owns the most of its lines, if that is half of them or more."""
-    every = lines(docs, site).groupBy("h", "body").agg(F.count("*").alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1"))
-    owners = every.groupBy("h").agg(F.count("*").alias("m"), F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.min("body").alias("owner"))
-    owners = stored(owners.filter((F.col("m") >= min_sites) & (F.col("s0") != F.col("s1"))).select("h", "owner"), "lines-owners")
-    owned = every.join(small(owners), "h", "left").groupBy("body", F.coalesce("owner", "body").alias("owner")).agg(F.sum("n").alias("n"))
-    most = owned.groupBy("body").agg(F.sum("n").alias("n"), F.max(F.struct("n", "owner")).alias("top"))
-    copies = most.filter((2 * F.col("top.n") >= F.col("n")) & (F.col("top.owner") != F.col("body"))).select(F.col("body").alias("copy"), F.col("top.owner").alias("of"))
-    copies = stored(copies, "lines-copies")
-    own = own_names(docs, "copy", "of")
-    told = docs.join(small(copies.toDF(own["copy"], own["of"])), F.xxhash64("text") == F.col(own["copy"]), "left")
-    return told.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.col(own["of"]), F.xxhash64("text")).alias(name))
+    A text is described by the least hashes of its shingles of `size` words, of which texts share as large a part as of
+    all their shingles, about. Every hash is owned by the first of the texts that have it; a text is a copy of the one
+    that owns the most of its hashes, if that is half of them or more."""
+    text = docs.filter(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("own"))
+    hs = text.select("own", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    n = F.size("h")
+    windows = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(size))))
+    least = F.when(n >= size, F.slice(F.sort_array(F.array_distinct(windows)), 1, values)).otherwise(F.array(F.xxhash64("h")))
+    each = stored(hs.select("own", F.explode(least).alias("v")).distinct(), "lines-shingles")
+    owners = stored(each.groupBy("v").agg(F.count("*").alias("m"), F.min("own").alias("of")).filter("m > 1").select("v", "of"), "lines-owners")
+    owned = each.join(small(owners), "v", "left").groupBy("own", F.coalesce("of", "own").alias("of")).agg(F.count("*").alias("n"))
+    most = owned.groupBy("own").agg(F.sum("n").alias("n"), F.max(F.struct("n", (F.col("of") != F.col("own")).alias("other"), "of")).alias("top"))
+    copies = stored(most.filter((2 * F.col("top.n") >= F.col("n")) & F.col("top.other")).select("own", "top.of"), "lines-copies")
+    at = own_names(docs, "copy", "of")
+    told = docs.join(small(copies.toDF(at["copy"], at["of"])), F.xxhash64("text") == F.col(at["copy"]), "left")
+    return told.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.col(at["of"]), F.xxhash64("text")).alias(name))
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, n_lines: str | None = None, n_removed: str | None = None, body: str | None = None) -> DataFrame:
