@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, substring_dedup
+from . import collocations, line_dedup, manifest, quality_rules, substring_dedup
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -92,3 +92,93 @@ kept AS (
 SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM t LEFT JOIN kept k ON k.doc_id = t.doc_id
 """
+
+
+def _crc32(text: str) -> str:
+    """The usual CRC of a text's bytes, bit by bit; DuckDB has no function for it."""
+    step = "list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {step}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || ({c}::VARCHAR) END"
+    return f"sha256({' || '.join(map(value, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+
+
+def _tree(name: str, start: str, n: int = manifest.FAN) -> str:
+    """Common tables {name}: nodes of all levels of the trees over `start` (g, pos, m, h)."""
+    return f"""
+{name} AS (
+  SELECT g, 0 AS lvl, pos, m, h FROM {start}
+  UNION ALL
+  SELECT g, lvl + 1, pos // {n}, ((any_value(m) + {n - 1}) // {n})::BIGINT, sha256(string_agg(h, '' ORDER BY pos))
+  FROM {name} WHERE m > 1 GROUP BY g, lvl, pos // {n})"""
+
+
+def _siblings(tree: str, g: str, pos: str, n: int = manifest.FAN) -> str:
+    """Condition: node t of a tree is in a run on the path of leaf `pos` of group g."""
+    return f"{tree}.g = {g} AND {tree}.m > 1 AND {tree}.pos // {n} = {pos} // power({n}, {tree}.lvl + 1)::BIGINT"
+
+
+_OWN = f"({{t}}.pos = {{p}} // power({manifest.FAN}, {{t}}.lvl)::BIGINT)"
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS g, {_leaf("text")} AS leaf,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS seen
+  FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS m, leaf AS h FROM d),
+{_tree("inner_", "leaves")},
+subroots AS (SELECT g AS name, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS place FROM inner_ WHERE m = 1),
+over AS (SELECT '' AS g, place AS pos, count(*) OVER () AS m, subroot AS h FROM subroots),
+{_tree("outer_", "over")},
+ours AS (SELECT l.doc_id, l.g, l.pos, l.leaf, l.seen, s.subroot, s.place FROM leaves l JOIN subroots s ON s.name = l.g),
+steps AS (
+  SELECT o.g, o.pos, i.lvl AS k, coalesce(string_agg(i.h, '' ORDER BY i.pos) FILTER (WHERE i.pos < o.pos // power({manifest.FAN}, i.lvl)::BIGINT), '') AS lo,
+         coalesce(string_agg(i.h, '' ORDER BY i.pos) FILTER (WHERE i.pos > o.pos // power({manifest.FAN}, i.lvl)::BIGINT), '') AS hi
+  FROM ours o JOIN inner_ i ON {_siblings("i", "o.g", "o.pos")} GROUP BY o.g, o.pos, i.lvl
+  UNION ALL
+  SELECT o.g, o.pos, 1000 + i.lvl, coalesce(string_agg(i.h, '' ORDER BY i.pos) FILTER (WHERE i.pos < o.place // power({manifest.FAN}, i.lvl)::BIGINT), ''),
+         coalesce(string_agg(i.h, '' ORDER BY i.pos) FILTER (WHERE i.pos > o.place // power({manifest.FAN}, i.lvl)::BIGINT), '')
+  FROM ours o JOIN outer_ i ON {_siblings("i", "''", "o.place")} GROUP BY o.g, o.pos, i.lvl),
+paths AS (SELECT g, pos, list({{'lo': lo, 'hi': hi}} ORDER BY k) AS p, sha256(string_agg(lo || hi, '' ORDER BY k)) AS proof FROM steps GROUP BY g, pos),
+folded AS (
+  SELECT o.g, o.pos, 0 AS k, o.seen AS h, p.p FROM ours o LEFT JOIN paths p ON p.g = o.g AND p.pos = o.pos
+  UNION ALL
+  SELECT g, pos, k + 1, sha256(p[k + 1].lo || h || p[k + 1].hi), p FROM folded WHERE k < len(p)),
+last AS (SELECT g, pos, arg_max(h, k) AS folded_root FROM folded GROUP BY g, pos)
+SELECT o.doc_id, o.leaf, o.subroot, r.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = r.h AS verified
+FROM ours o JOIN last f ON f.g = o.g AND f.pos = o.pos LEFT JOIN paths p ON p.g = o.g AND p.pos = o.pos, (SELECT h FROM outer_ WHERE m = 1) r
+"""
+
+COLLOCATIONS = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '{collocations.UNKNOWN}') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+p AS (SELECT lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d),
+w AS (SELECT lang, row_number() OVER () AS k, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(m))),
+f AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, count(*)::HUGEINT AS f FROM g GROUP BY lang, m, phrase),
+part AS (SELECT lang, phrase, f FROM f),
+cut AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, array_to_string(c.w[1:k], ' ') AS head, array_to_string(c.w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1 AND f >= {collocations.MIN_COUNT}) c),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, ({collocations.SCALE}::HUGEINT * c.a * c.a) // (x.f * y.f) AS score, k
+  FROM cut c JOIN part x ON x.lang = c.lang AND x.phrase = c.head JOIN part y ON y.lang = c.lang AND y.phrase = c.tail),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, f FROM f WHERE m = 3 AND f >= {collocations.MIN_COUNT})
+  GROUP BY lang, phrase),
+kept AS (
+  SELECT l.* FROM lowest l LEFT JOIN around x ON x.lang = l.lang AND x.phrase = l.phrase
+  WHERE x.f IS NULL OR 100 * x.f < {collocations.COVERED} * l.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+       n.n, score::BIGINT AS score
+FROM kept k JOIN n ON n.lang = k.lang
+QUALIFY rank <= {collocations.TOP}
+"""

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, language_id, line_dedup, mixing, oracles, quality_pu, quality_rules, substring_dedup, url_filter
+from . import ann, bpe, collocations, jaccard, language_id, line_dedup, manifest, mixing, oracles, quality_pu, quality_rules, substring_dedup, url_filter
 from .common import table
 
 
@@ -93,6 +93,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf of the manifest with its proof, checked against copies of which some lost their line breaks."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    seen = F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    out = manifest.manifest(docs, fields, {"doc_id": F.col("doc_id"), "seen": manifest.leaf(*(F.col(c) for c in fields[:-1]), seen)})
+    folded = manifest.fold(F.col("seen"), F.col("steps"))
+    out = out.select("doc_id", "leaf", "subroot", "root", manifest.proof(F.col("steps")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -104,6 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_phrase_collocations": op13_phrase_collocations,
     "rule_ablations": rule_ablations,
 }
 
@@ -113,4 +131,6 @@ ORACLES: dict[str, str] = {
     "rule_ablations": oracles.RULE_ABLATIONS,
     "op8_jaccard_join": oracles.JACCARD,
     "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op12_merkle_manifest": oracles.MANIFEST,
+    "op13_phrase_collocations": oracles.COLLOCATIONS,
 }
