@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, line_dedup, manifest, quality_rules, substring_dedup
+from . import collocations, embedding_dedup, line_dedup, manifest, quality_rules, substring_dedup
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -182,3 +182,18 @@ SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DES
 FROM kept k JOIN n ON n.lang = k.lang
 QUALIFY rank <= {collocations.TOP}
 """
+
+EMBEDDING_DEDUP = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ok AS (
+  SELECT vec_id, v, len(v) AS n, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM v
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND a.n = b.n
+  WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= {embedding_dedup.THRESHOLD}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, x.b FROM reach r JOIN links x ON r.b = x.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, l.component_id, v.vec_id = l.component_id AS kept
+FROM v JOIN least l ON l.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""

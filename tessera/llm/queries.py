@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, collocations, jaccard, language_id, line_dedup, manifest, mixing, oracles, quality_pu, quality_rules, substring_dedup, url_filter
+from . import ann, bpe, collocations, embedding_dedup, jaccard, language_id, line_dedup, manifest, mixing, oracles, quality_pu, quality_rules, substring_dedup, url_filter
 from .common import table
 
 
@@ -93,6 +93,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leaf of the manifest with its proof, checked against copies of which some lost their line breaks."""
     docs = table(spark, sf_dir, "documents")
@@ -120,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op11_embedding_dedup": op11_embedding_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_phrase_collocations": op13_phrase_collocations,
     "rule_ablations": rule_ablations,
@@ -131,6 +136,7 @@ ORACLES: dict[str, str] = {
     "rule_ablations": oracles.RULE_ABLATIONS,
     "op8_jaccard_join": oracles.JACCARD,
     "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op11_embedding_dedup": oracles.EMBEDDING_DEDUP,
     "op12_merkle_manifest": oracles.MANIFEST,
     "op13_phrase_collocations": oracles.COLLOCATIONS,
 }
