@@ -5,7 +5,8 @@ vectors, and a filter is one word of each. A vector's list are the filters whose
 being as wide as holds `t` of them; they are decoded from the sorted scores of the blocks, without looking at all filters.
 Two vectors that share a filter are candidates. Filters are as many as all entries of lists, so a filter has one vector of
 unrelated ones, about, at any size of the table; t is fitted on a sample, as the shortest list with which pairs right at the
-threshold share a filter but for a share of `MISS`. An entry carries 64 signs of random projections, so that candidates are
+threshold share a filter but for a share of `MISS`. There are `CODES` codes, each drawn anew, so a pair is lost only if it
+shares no filter of any: `MISS` to the power of their number, right at the threshold, and far less above. An entry carries 64 signs of random projections, so that candidates are
 told from strangers in the join on filters; those left are verified by cosine in double precision.
 
 Filters with more than `HEAVY` vectors come from dense groups, whose pairs are never listed. A vector of such filters lives
@@ -38,7 +39,8 @@ from .components import components
 
 THRESHOLD = 0.95
 LISTS = (16, 24, 32, 48, 64, 96, 128)
-MISS = 0.001
+MISS = 0.003
+CODES = 2
 FIT_ROWS = 2000
 #: Words in a codebook at most; more filters take more blocks.
 WORDS = 8192
@@ -113,6 +115,7 @@ def missed(code: Code, x: np.ndarray, cosine: float, seed: int) -> float:
 
 
 def fit(x: np.ndarray, rows: int, cosine: float, seed: int) -> Code:
+    """The code with the shortest lists that do; x: a sample of unit vectors."""
     for t in LISTS:
         code = product_code(x.shape[1], rows, t, seed)
         if x.shape[1] < 2 or missed(code, x, cosine, seed) <= MISS:
@@ -134,16 +137,16 @@ def _named(v: Column) -> Column:
     return F.struct(F.xxhash64(v).alias("a"), F.xxhash64(F.lit(1), v).alias("b"))
 
 
-def _entries(code: Code):
+def _entries(codes: list[Code]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 part = batch.slice(i, 1000)
                 x, n = _unit(part.column("v"))
                 x = x / n[:, None]
-                found = code.lists(x)
+                found = np.hstack([code.lists(x) * len(codes) + c for c, code in enumerate(codes)])
                 many = found.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(part.column("k").to_numpy(), many)), pa.array(np.repeat(code.sketch(x), many))], ["f", "k", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(part.column("k").to_numpy(), many)), pa.array(np.repeat(codes[0].sketch(x), many))], ["f", "k", "s"])
 
     return run
 
@@ -249,8 +252,9 @@ def _dense(heavy: DataFrame, classes: DataFrame, threshold: float) -> tuple[Data
 def _of_length(classes: DataFrame, threshold: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """(k, n): counts of links with other classes, and (a, b) edges; classes: k, v, m, all of one length."""
     x, n = _unit(classes.orderBy(F.xxhash64("k", F.lit(5)), "k").limit(FIT_ROWS).select("v").toArrow().column("v"))
-    code = fit(x / n[:, None], classes.count(), threshold, seed)
-    entries = stored(classes.select("k", "v").mapInArrow(_entries(code), "f long, k long, s long"), "near-entries")
+    many = classes.count()
+    codes = [fit(x / n[:, None], many, threshold, seed + c) for c in range(CODES)]
+    entries = stored(classes.select("k", "v").mapInArrow(_entries(codes), "f long, k long, s long"), "near-entries")
     heavy = stored(entries.groupBy("f").agg(F.count("*").alias("size")).filter(F.col("size") > HEAVY), "near-heavy")
     many = heavy.count()
     light, dense = entries, None
