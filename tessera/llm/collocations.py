@@ -3,12 +3,12 @@
 Texts of a language are gathered in shards. A shard has a bitmap of positions for every word, compressed to its non-empty
 64-bit blocks; between two pieces (and two texts) a position stays free, so that no phrase crosses it. A phrase is extended
 depth-first: its bitmap is shifted by one position and ANDed with that of a further word, and the bits that stay are
-counted. Shards send their counts, Spark sums them. A part of a phrase is as frequent as the phrase at least, so only words
-that are frequent in the whole corpus are paired, and only pairs that are frequent extended, by words that make a frequent
-pair with their last one. Words are numbered by Spark's sum over shards, so nothing is told by hashes.
+counted. Shards send their counts, Spark sums them. A word is as frequent as a phrase around it at least, so only words that
+are frequent in the whole corpus are extended. Those are numbered by Spark's sum over shards, so nothing is told by hashes.
 
-A shard has about `SHARD_BYTES` of text, at any size of the corpus, and its bitmaps are stored once; what comes back to a
-shard are rows for its own words and pairs. The words that may follow at a shifted bit are looked up by position, so that
+A shard has about `SHARD_BYTES` of text, at any size of the corpus; what comes back to it are the numbers of its own words.
+Its pairs are not looked up in the corpus before they are extended: that takes a join of all pairs of all shards, which was
+measured and costs more than the triples that it saves, as frequent pairs make up most of a large corpus. The words that may follow at a shifted bit are looked up by position, so that
 only pairs of bitmaps that share a block are ANDed. Scores are exact: products are decimals of 38 digits.
 
 Defined cases: null texts have no words, a null language is `und`; A-Z are lower-cased, nothing else; a text of any length
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.frames import ranked
+
 from . import tokens
 from .blocks import shrunk, unpack
 from .common import discard, small, stored
@@ -136,7 +138,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Bitmaps:
-    """The bitmaps of a shard's frequent words, which are numbered 0 to V - 1 in the order of idx."""
+    """The bitmaps of the words idx of a shard, which are numbered 0 to V - 1 in that order."""
 
     def __init__(self, blob: bytes, idx: np.ndarray):
         t = unpack(blob)
@@ -146,23 +148,22 @@ class Bitmaps:
         own[idx] = np.arange(len(idx))
         word = own[word]
         keep = word >= 0
-        self.word, self.block, self.mask = word[keep], block[keep], mask[keep]
+        order = np.flatnonzero(keep)[np.argsort(word[keep], kind="stable")]
+        self.word, self.block, self.mask = word[order], block[order], mask[order]
         self.key = self.word * self.blocks + self.block
         self.at = np.full(self.blocks << 6, -1, np.int32)
         for i in range(0, len(self.word), ENTRIES):
             e, pos = _bits(self.block[i : i + ENTRIES], self.mask[i : i + ENTRIES])
             self.at[pos] = self.word[i : i + ENTRIES][e]
 
-    def batches(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The bitmaps of some words (a flag each), whole ones together."""
-        entries = np.flatnonzero(words[self.word])
-        cut = _runs(self.word[entries]) if len(entries) else np.zeros(0, int)
+    def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All bitmaps, some whole ones at a time."""
+        cut = _runs(self.word) if len(self.word) else np.zeros(0, int)
         i = 0
-        while i < len(entries):
+        while i < len(self.word):
             j = np.searchsorted(cut, i + ENTRIES)
-            end = int(cut[j]) if j < len(cut) else len(entries)
-            e = entries[i:end]
-            yield self.word[e], self.block[e], self.mask[e]
+            end = int(cut[j]) if j < len(cut) else len(self.word)
+            yield self.word[i:end], self.block[i:end], self.mask[i:end]
             i = end
 
     def shift(self, phrase: np.ndarray, block: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,14 +177,12 @@ class Bitmaps:
         p, b, m = p[start], b[start], np.bitwise_or.reduceat(m, start) if len(start) else m
         return p[m != 0], b[m != 0], m[m != 0]
 
-    def extend(self, phrase: np.ndarray, block: np.ndarray, mask: np.ndarray, may) -> tuple[np.ndarray, ...]:
+    def extend(self, phrase: np.ndarray, block: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
         """ANDs shifted bitmaps of phrases with those of the words that may follow: of each longer phrase its shorter one,
         its last word and its count; and its bitmap, as (longer phrase, block, mask)."""
         e, pos = _bits(block, mask)
         w = self.at[pos].astype(np.int64)
-        ok = w >= 0
-        ok[ok] = may(phrase[e[ok]], w[ok])
-        e, w = e[ok], w[ok]
+        e, w = e[w >= 0], w[w >= 0]
         key = phrase[e] * self.v + w
         order = np.argsort(key, kind="stable")
         e, w, key = e[order], w[order], key[order]
@@ -201,57 +200,22 @@ def _cat(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def _bitmaps(blob: pa.Table, own: pa.Table) -> tuple[Bitmaps, np.ndarray] | None:
-    """The bitmaps of a shard, and the numbers of their words in the corpus; own: idx and a, the number."""
-    if not len(blob) or not len(own):
-        return None
-    idx, number = own.column("idx").to_numpy(), own.column("a").to_numpy()
-    order = np.argsort(idx)
-    return Bitmaps(blob.column("blob")[0].as_py(), idx[order]), number[order]
-
-
-def _pairs(key: tuple, blob: pa.Table, own: pa.Table) -> pa.Table:
-    """shard, a, b, n, i, j: pairs of frequent words, by their numbers in the corpus and in the shard."""
-    found = _bitmaps(blob, own)
-    i_, j_, n_ = [], [], []
-    if found:
-        maps, number = found
-        for batch in maps.batches(np.ones(maps.v, bool)):
-            p, w, n, *_ = maps.extend(*maps.shift(*batch), lambda p, w: np.ones(len(p), bool))
-            i_.append(p)
-            j_.append(w)
-            n_.append(n)
-    i, j, n = _cat(i_), _cat(j_), _cat(n_)
-    number = found[1] if found else np.zeros(0, np.int64)
-    shard = np.full(len(i), key[0].as_py(), np.int64)
-    return pa.table({"shard": shard, "a": number[i], "b": number[j], "n": n, "i": i.astype(np.int32), "j": j.astype(np.int32)})
-
-
-def _triples(blob: pa.Table, rows: pa.Table) -> pa.Table:
-    """a, b, c, n: frequent pairs extended by a word that makes a frequent pair with their last one. rows: a shard's
-    words, and its frequent pairs (idx null)."""
-    pair = rows.filter(pa.compute.is_null(rows.column("idx")))
-    found = _bitmaps(blob, rows.filter(pa.compute.is_valid(rows.column("idx"))))
-    a_, b_, c_, n_ = [], [], [], []
-    if found and len(pair):
-        maps, number = found
-        i, j = pair.column("a").to_numpy(), pair.column("b").to_numpy()
-        known = np.sort(i * maps.v + j)
-
-        def frequent(p: np.ndarray, w: np.ndarray) -> np.ndarray:
-            k = p * maps.v + w
-            return known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k
-
-        first = np.zeros(maps.v, bool)
-        first[i] = True
-        for batch in maps.batches(first):
-            p, w, _, longer, block, mask = maps.extend(*maps.shift(*batch), frequent)
-            q, c, n, *_ = maps.extend(*maps.shift(longer, block, mask), lambda p, x, w=w: frequent(w[p], x))
-            a_.append(number[p[q]])
-            b_.append(number[w[q]])
-            c_.append(number[c])
-            n_.append(n)
-    return pa.table({"a": _cat(a_), "b": _cat(b_), "c": _cat(c_), "n": _cat(n_)})
+def _phrases(blob: pa.Table, own: pa.Table) -> pa.Table:
+    """ab, c, n: the counts of all phrases of two (c is -1) and three frequent words of a shard, by the words' numbers in
+    the corpus. A batch of first words is extended to its end before the next one."""
+    ab_, c_, n_ = [], [], []
+    if len(blob) and len(own):
+        idx, number = own.column("idx").to_numpy(), own.column("id").to_numpy()
+        order = np.argsort(number)
+        maps, number = Bitmaps(blob.column("blob")[0].as_py(), idx[order]), number[order]
+        for batch in maps.batches():
+            p, w, n, *longer = maps.extend(*maps.shift(*batch))
+            ab = number[p] << 32 | number[w]
+            q, c, m, *_ = maps.extend(*maps.shift(*longer))
+            ab_ += [ab, ab[q]]
+            c_ += [np.full(len(p), -1, np.int32), number[c].astype(np.int32)]
+            n_ += [n, m]
+    return pa.table({"ab": _cat(ab_), "c": _cat(c_).astype(np.int32), "n": _cat(n_)})
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -259,10 +223,6 @@ def _score(a: str, left: str, right: str) -> Column:
     return F.expr(f"({big(SCALE)} * {big(a)} * {big(a)}) div ({big(left)} * {big(right)})")
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    return stored(df.withColumn("id", F.monotonically_increasing_id()), name)
-
-
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, covered: int = COVERED) -> DataFrame:
     """lang, rank, phrase, a (its count), l and r (the counts of the two parts of the lowest cut), n (words of the
     language), score."""
@@ -272,17 +232,13 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, covered: i
     blobs, local = rows.filter("idx < 0").select("shard", "blob"), rows.filter("idx >= 0").select("shard", "lang", "idx", "word", "n")
     total = stored(local.groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrases-words")
     sizes = stored(total.groupBy("lang").agg(F.sum("f").alias("n")), "phrases-sizes")
-    f1 = _numbered(total.filter(F.col("f") >= min_count), "phrases-frequent")
-    own = stored(local.join(f1, ["lang", "word"]).select("shard", "idx", F.col("id").alias("a")), "phrases-own")
-
-    together = blobs.groupBy("shard").cogroup(own.groupBy("shard"))
-    pairs = stored(together.applyInArrow(lean(_pairs), "shard long, a long, b long, n long, i int, j int"), "phrases-pairs")
-    f2 = stored(pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count), "phrases-two")
-    back = pairs.join(small(f2.select("a", "b")), ["a", "b"], "left_semi").select("shard", F.lit(None).cast("int").alias("idx"), F.col("i").cast("long").alias("a"), F.col("j").cast("long").alias("b"))
-    back = back.unionByName(own.withColumn("b", F.lit(None).cast("long")))
-    triples = blobs.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(lean(_triples), "a long, b long, c long, n long")
-    f3 = stored(triples.groupBy("a", "b", "c").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count), "phrases-three")
-    discard(rows, own, pairs, total)
+    f1 = stored(ranked(total.filter(F.col("f") >= min_count), F.desc("f"), F.asc("lang"), F.asc("word"), name="id", start=0), "phrases-frequent")
+    own = local.join(f1, ["lang", "word"]).select("shard", "idx", "id").toDF("to", "idx", "id")
+    counted = blobs.groupBy("shard").cogroup(own.groupBy("to")).applyInArrow(lean(_phrases), "ab long, c int, n long")
+    found = stored(counted.groupBy("ab", "c").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count), "phrases-found")
+    found_ab = found.select(F.shiftright("ab", 32).alias("a"), F.col("ab").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), F.col("c").cast("long").alias("c"), "f")
+    f2, f3 = found_ab.filter("c < 0").drop("c"), found_ab.filter("c >= 0")
+    discard(rows, total)
 
     word = lambda x: small(f1.select(F.col("id").alias(x), F.col("word").alias(f"w{x}"), F.col("f").alias(f"f{x}"), F.col("lang").alias(f"lang{x}")))
     two = lambda x, y: small(f2.select(F.col("a").alias(x), F.col("b").alias(y), F.col("f").alias(f"f{x}{y}")))
