@@ -303,8 +303,8 @@ def test_bitmaps_shift_over_blocks():
     maps = collocations.Bitmaps(blob, np.arange(len(vocabulary)))
     name = vocabulary.to_pylist()
     counts = {}
-    for batch in maps.batches(np.ones(maps.v, bool)):
-        p, w, k, *_ = maps.extend(*maps.shift(*batch), lambda p, w: np.ones(len(p), bool))
+    for batch in maps.batches():
+        p, w, k, *_ = maps.extend(*maps.shift(*batch))
         counts |= {(name[i], name[j]): int(c) for i, j, c in zip(p, w, k, strict=True)}
     assert counts == {("a", "a"): 62, ("a", "b"): 1, ("b", "c"): 1, ("c", "c"): 70}
     assert dict(zip(name, n.tolist(), strict=True)) == {"a": 63, "b": 2, "c": 72}
