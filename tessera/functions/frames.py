@@ -120,48 +120,24 @@ def _order_statistic(df: DataFrame, column: str, q: float) -> float | None:
     return values[0] + (at - low) * (values[-1] - values[0])
 
 
-def _numbered(df: DataFrame, order: str) -> DataFrame:
-    """Rows with __part and __n, their place in the whole order."""
-    line, before = _in_order(df, (quoted(order),), {})
-    return line.join(F.broadcast(before), "__part").withColumn("__n", F.col("__i") + F.col("__before0")).drop("__i", "__before0")
-
-
 def interpolate(df: DataFrame, column: str, order: str, keys: list[str] | None = None) -> DataFrame:
     """Fills nulls on the line between the values before and after, by position in an order within each key; after the
-    last value it stays, and before the first null stays."""
-    x = quoted(column).cast("double")
-    if keys:
-        w = W.partitionBy(*map(quoted, keys)).orderBy(quoted(order))
-        d = df.withColumn("__n", F.row_number().over(w))
-    else:  # ranges of the rows, and of each what its neighbours end and begin with
-        w, d = W.partitionBy("__part").orderBy("__n"), _numbered(df, order)
-    at = F.when(x.isNotNull(), F.col("__n"))
-    before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    lo, hi = F.last(x, ignorenulls=True).over(before), F.first(x, ignorenulls=True).over(after)
-    nlo, nhi = F.last(at, ignorenulls=True).over(before), F.first(at, ignorenulls=True).over(after)
-    if not keys:
-        d = d.withColumns({"__lo": lo, "__hi": hi, "__nlo": nlo, "__nhi": nhi})
-        seen = d.filter(x.isNotNull()).groupBy("__part").agg(*(f(F.struct("__n", x.alias("x"))) for f in (F.min, F.max))).collect()
-        ends = {r[0]: (tuple(r[1]), tuple(r[2])) for r in seen}
-        parts = range(max(ends, default=-1) + 1)
-        edge = []
-        for p in sorted({*parts, *(r[0] for r in d.select("__part").distinct().collect())}):
-            left, right = max((e for e in ends if e < p), default=None), min((e for e in ends if e > p), default=None)
-            edge.append((p, *(ends[left][1] if left is not None else (None, None)), *(ends[right][0] if right is not None else (None, None))))
-        d = d.join(F.broadcast(df.sparkSession.createDataFrame(edge, "__part long, __en long, __ex double, __fn long, __fx double")), "__part")
-        lo, nlo, hi, nhi = (F.coalesce(a, b) for a, b in (("__lo", "__ex"), ("__nlo", "__en"), ("__hi", "__fx"), ("__nhi", "__fn")))
-    line = F.when(x.isNotNull(), x).when(lo.isNotNull() & hi.isNotNull(), lo + (hi - lo) * (F.col("__n") - nlo) / (nhi - nlo)).otherwise(lo)
-    return d.withColumn(column, line).select(*map(quoted, df.columns))
+    last value it stays, and before the first null stays. Neither rows nor a key need to fit in a task."""
+    from .segments import Segments
+
+    rows = Segments(df, keys, [order])
+    rows.interpolate(column, "__line")
+    return rows.frame(replace={column: "__line"})
 
 
 def shift(df: DataFrame, column: str, order: str, periods: int = 1, keys: list[str] | None = None) -> DataFrame:
-    """The value that came so many rows before in an order. Without keys, over all rows: they are numbered, and joined by
-    number."""
-    if not keys:
-        line = cut_lineage(_numbered(df, order).drop("__part"))
-        from_ = line.select((F.col("__n") + periods).alias("__n"), quoted(column).alias("__shifted"))
-        return line.join(from_, "__n", "left").withColumn(column, F.col("__shifted")).select(*map(quoted, df.columns))
-    return df.withColumn(column, F.lag(quoted(column), periods).over(W.partitionBy(*map(quoted, keys)).orderBy(quoted(order))))
+    """The value that came so many rows before in an order, within each key or over all rows. Neither rows nor a key need
+    to fit in a task."""
+    from .segments import Segments
+
+    rows = Segments(df, keys, [order])
+    rows.shift(column, periods, "__shifted")
+    return rows.frame(replace={column: "__shifted"})
 
 
 def pivot(df: DataFrame, index: list[str], columns: str, values: str, how: str = "first", known: list | None = None) -> DataFrame:

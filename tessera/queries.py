@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import UDF, AddMetadata, Aggregate, ColumnSchema, ColumnSelector, Dataset, FrequencyEncode, Graph, MinMaxScale, Node, Rename, Schema, ShiftToZero, Subgraph, TagAsItemID, TagAsUserID, Tags
-from .functions import frames, lists, scalars
+from .functions import frames, lists, ranges, scalars
+from .functions.segments import Segments, asof_join
 from .functions.table import TensorTable, group_values_offsets, ungroup_values_offsets
 from .plans import schema_io
 from .plans.graph import Runtime
@@ -958,3 +959,121 @@ def tag_metadata(spark, d):
 
 
 __all__ = ["ORACLES", "QUERIES", "T", "load"]
+
+
+# data that lie where they are needed, and functions over keys of any size
+
+
+@query("SELECT o_orderstatus, 1::BIGINT AS parts, count(*) AS rows FROM orders GROUP BY o_orderstatus")
+def hive_shortcut(spark, d):
+    """In how many partitions the rows of each folder are, without a shuffle between scan and partitions."""
+    path = scratch(spark, "hive")
+    Dataset(load(spark, d, "orders")).to_parquet(path, partition_on=["o_orderstatus"])
+    held = Dataset(path, engine="parquet", spark=spark).shuffle_by_keys("o_orderstatus", hive_data=True, npartitions=2).to_df()
+    at = held.select("o_orderstatus", F.spark_partition_id().alias("p")).groupBy("o_orderstatus", "p").agg(F.count("*").alias("n"))
+    return at.groupBy("o_orderstatus").agg(F.count("*").alias("parts"), F.sum("n").alias("rows"))
+
+
+@query("SELECT l_suppkey, count(*) AS lines, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_suppkey")
+def bucketed_groups(spark, d):
+    """Groups over buckets: the shuffle was paid when they were written."""
+    path = scratch(spark, "buckets")
+    Dataset(load(spark, d, "lineitem").select("l_suppkey", "l_quantity")).to_buckets(path, "l_suppkey", 8)
+    held = Dataset(path, spark=spark, engine="parquet").shuffle_by_keys("l_suppkey").to_df()
+    return held.groupBy("l_suppkey").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def bucketed_merge(spark, d):
+    """Two datasets in as many buckets by their keys meet bucket by bucket."""
+    a, b = scratch(spark, "buckets"), scratch(spark, "buckets")
+    Dataset(load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")).to_buckets(a, "l_orderkey", 8)
+    Dataset(load(spark, d, "orders").select("o_orderkey", "o_custkey")).to_buckets(b, "o_orderkey", 8)
+    left, right = (Dataset(p, engine="parquet", spark=spark).to_df().hint("merge") for p in (a, b))
+    return Dataset.merge(left, right, left_on="l_orderkey", right_on="o_orderkey", null_safe=False).to_df(["l_orderkey", "l_linenumber", "l_suppkey", "o_custkey"])
+
+
+#: A key of which one value has half of all rows, the next a sixth, and so on.
+_STEEP = "CAST(floor(6000 / (1 + (l_orderkey * 8 + l_linenumber) % 6000)) AS BIGINT)"
+
+
+@query(f"SELECT {_STEEP} AS k, count(*) AS rows, true AS balanced, true AS in_order FROM lineitem GROUP BY k")
+def weighted_placement(spark, d):
+    """Sixteen parts by a steep key: its groups, counted in the parts and merged; whether no part has more than 1.2 times
+    the mean, and whether parts are ranges of the key."""
+    parts, _ = ranges.weighted_parts(load(spark, d, "lineitem").selectExpr(f"{_STEEP} AS k", "l_suppkey"), "k", 16)
+    each = frames.cut_lineage(parts.select("k", F.spark_partition_id().alias("p")).groupBy("k", "p").agg(F.count("*").alias("n")))
+    sizes = each.groupBy("p").agg(F.sum("n").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    balanced = sizes.agg((F.max("n") <= 1.2 * F.sum("n") / 16).alias("balanced"))
+    apart = sizes.alias("a").join(sizes.alias("b"), (F.col("a.p") + 1 == F.col("b.p")) & (F.col("a.hi") > F.col("b.lo"))).agg((F.count("*") == 0).alias("in_order"))
+    return each.groupBy("k").agg(F.sum("n").alias("rows")).join(F.broadcast(balanced)).join(F.broadcast(apart))
+
+
+_LINES = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, row_number() OVER w AS number, count(*) OVER () AS total, lag(l_partkey, 3) OVER w AS three_before,
+       lead(l_partkey) OVER w AS next, sum(l_quantity) OVER (w ROWS UNBOUNDED PRECEDING) AS running, ntile(7) OVER w AS seventh
+FROM lineitem WINDOW w AS (ORDER BY {_LINES})""")
+def segmented_windows(spark, d):
+    """Ordered functions over all lines as one key, of which each task has a range."""
+    rows = Segments(load(spark, d, "lineitem"), None, _LINES.split(", "))
+    rows.number(), rows.total(), rows.shift("l_partkey", 3, "three_before"), rows.shift("l_partkey", -1, "next")
+    rows.running_sum("l_quantity"), rows.ntile(7, "seventh")
+    return rows.frame("number", "total", "three_before", "next", "running", "seventh").select("l_orderkey", "l_linenumber", "number", "total", "three_before", "next", "running", "seventh")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_returnflag, rank() OVER w AS place, dense_rank() OVER w AS dense
+FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate DESC)""")
+def segmented_ranks(spark, d):
+    """Ranks with ties, within three keys."""
+    rows = Segments(load(spark, d, "lineitem"), ["l_returnflag"], ["l_shipdate"], descending=True)
+    rows.rank("place"), rows.rank("dense", dense=True)
+    return rows.frame("place", "dense").select("l_orderkey", "l_linenumber", "l_returnflag", "place", "dense")
+
+
+#: Orders have dates of other years than events: their days are laid over the month of the events, no two at one time.
+_SECONDS = "(o_orderkey % 86400 + 86400 * (CAST(floor(o_totalprice) AS BIGINT) % 30))"
+_ORDER_TIME = f"TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * {_SECONDS} + INTERVAL '1' MICROSECOND * (o_orderkey % 1000000)"
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, o_custkey, {_ORDER_TIME} AS t FROM orders)
+SELECT e.event_id, e.user_id, o.o_orderkey, o.o_custkey FROM events e ASOF LEFT JOIN o ON e.ts >= o.t""")
+def asof_latest_order(spark, d):
+    """The last order before each event, of all customers: one line of time, in ranges."""
+    orders = load(spark, d, "orders").selectExpr("o_orderkey", "o_custkey", f"{_ORDER_TIME.replace('TIMESTAMP', 'TIMESTAMP_NTZ')} AS t")
+    events = load(spark, d, "events").select("event_id", "user_id", "ts")
+    return asof_join(events, orders, "ts", "t", columns=["o_orderkey", "o_custkey"]).drop("ts")
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, {_ORDER_TIME} AS t FROM orders)
+SELECT e.event_id, e.user_id, o.o_orderkey, o.o_totalprice FROM events e ASOF LEFT JOIN o ON e.user_id = o.o_custkey AND e.ts >= o.t""")
+def asof_by_customer(spark, d):
+    """The last order of the same customer before each event."""
+    orders = load(spark, d, "orders").selectExpr("o_orderkey", "o_custkey", "o_totalprice", f"{_ORDER_TIME.replace('TIMESTAMP', 'TIMESTAMP_NTZ')} AS t")
+    events = load(spark, d, "events").select("event_id", "user_id", "ts")
+    return asof_join(events, orders, "ts", "t", [("user_id", "o_custkey")], ["o_orderkey", "o_totalprice"], ["o_orderkey"]).drop("ts")
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value * 1000000) AS BIGINT) AS e FROM events)
+SELECT a.event_id, b.event_id AS other, a.event_type FROM e a JOIN e b ON a.event_type = b.event_type AND a.event_id < b.event_id AND a.s <= b.e AND b.s <= a.e""")
+def overlapping_events(spark, d):
+    """Pairs of events of one type that last, for as many seconds as their value, at the same time."""
+    start, lasts = F.unix_micros(F.col("ts").cast("timestamp")), F.round(F.col("value") * 1000000).cast("long")
+    events = load(spark, d, "events").select("event_id", "event_type", start.alias("s"), (start + lasts).alias("e"))
+    out = ranges.overlap_join(events, events, ("s", "s"), ("e", "e"), [("event_type", "event_type")], "_other")
+    return out.filter("event_id < event_id_other").select("event_id", F.col("event_id_other").alias("other"), "event_type")
+
+
+@query("""
+SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 3""")
+def top_lines(spark, d):
+    """The three dearest lines of each supplier."""
+    lines = load(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return ranges.top_k(lines, ["l_suppkey"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 3)

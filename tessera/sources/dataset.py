@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import cut_lineage, row_hash, shuffled
 from ..operators.base import quoted
 from ..plans.schema import ColumnSchema, Schema
-from . import sinks
+from . import placed, sinks
 from .files import Files, natural
 from .readers import ENGINES, cast_columns, detect_format, parquet_metadata, paths_of
 
@@ -34,7 +34,9 @@ class Dataset:
         self.base_dataset = base_dataset or self
         self.dtypes = dtypes
         self.engine = engine
+        self.placed_by: list[str] = []  # rows with equal values of these are in one partition, and Spark knows it
         if isinstance(source, Dataset):
+            self.placed_by = source.placed_by
             source, schema = source.to_df(), schema or source.schema
         if isinstance(source, DataFrame):
             spark = source.sparkSession
@@ -52,7 +54,9 @@ class Dataset:
             read = kind if callable(kind) else ENGINES[kind]
             if kind == "avro" and size:
                 options["part_size"] = size
-            self._df = read(reading, self.paths, **options)
+            self.placed_by = placed.bucket_keys(self.spark, self.paths) if kind == "parquet" and not options and not size else []
+            self._df = placed.bucketed(self.spark, self.paths[0]) if self.placed_by else read(reading, self.paths, **options)
+            self._plain_files = kind == "parquet" and not options.get("filters")
             schema = schema or sinks.find_schema(self.spark, self.paths[0])
         else:
             self._df = self._in_memory(source)
@@ -126,6 +130,9 @@ class Dataset:
 
     @property
     def num_rows(self) -> int:
+        """From the footers of Parquet files, which tasks read, where the dataset is files as they are; else counted."""
+        if self.paths and getattr(self, "_plain_files", False):
+            return placed.footer_counts(self.spark, self.paths).first()[0]
         return self._df.count()
 
     @property
@@ -162,12 +169,17 @@ class Dataset:
         return self._like(self._df.repartition(npartitions or self.npartitions), self.schema)
 
     def shuffle_by_keys(self, keys: str | list[str], hive_data: bool | None = None, npartitions: int | None = None) -> Dataset:
-        """Rows with equal keys in one partition; never more partitions than there are. hive_data: the files are in
-        folders by these keys."""
+        """Rows with equal keys in one partition; never more partitions than there are. Nothing moves if the dataset is
+        stored in buckets by some of the keys. hive_data: the files are in folders by these keys; each partition reads
+        whole folders, without a shuffle."""
         keys = [keys] if isinstance(keys, str) else keys
+        if self.placed_by and set(self.placed_by) <= set(keys):
+            return self
         if hive_data and not all(f"{k}=" in "".join(self._df.inputFiles()[:1]) for k in keys):
             raise ValueError(f"the data are not in folders by {keys}")
         n = min(npartitions or self.npartitions, max(1, self.npartitions))
+        if hive_data:
+            return self._like(placed.by_folders(self._df, keys, n), self.schema)
         return self._like(self._df.repartition(max(1, n), *map(quoted, keys)), self.schema)
 
     def sort(self, *order: Any) -> Dataset:
@@ -179,7 +191,7 @@ class Dataset:
     def _like(self, df: DataFrame, schema: Schema | None) -> Dataset:
         out = Dataset(df, schema=schema, base_dataset=self.base_dataset)
         out.paths = self.paths
-        return out
+        return out  # what was read is not as it is any more, so num_rows counts
 
     # joins and unions
     @classmethod
@@ -247,6 +259,13 @@ class Dataset:
         sinks.to_parquet(self.to_df(), str(output_path), self.schema, shuffle=shuffle, output_files=output_files, out_files_per_proc=out_files_per_proc, row_group_size=row_group_size, dtypes=dtypes, cats=cats, conts=conts, labels=labels, suffix=suffix, partition_on=partition_on, method=method, keyset=write_keyset, **options)
         return None
 
+    def to_buckets(self, output_path: str, keys: str | list[str], buckets: int, sort_by: list[str] | None = None) -> None:
+        """Parquet files of rows that share a bucket by a hash of keys, sorted within; datasets that are read from there
+        group by the keys, and are merged with others of as many buckets, without a shuffle."""
+        keys = [keys] if isinstance(keys, str) else list(keys)
+        placed.write_buckets(self.to_df(), str(output_path), keys, buckets, sort_by or keys)
+        sinks.write_sidecars(Files(self.spark, str(output_path)), self.schema, None, None, None, False, False)
+
     def to_binary(self, output_path: str, cats: list[str], conts: list[str], labels: list[str], shuffle: Any = None, dtypes: dict | None = None, **_: Any) -> None:
         df = cast_columns(self._df, dtypes) if dtypes else self._df
         sinks.to_binary(df, str(output_path), cats, conts, labels, self.schema, shuffle)
