@@ -17,10 +17,13 @@ are kept whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_names, small, stored, words
+from .common import discard, own_names, small, stored, words
+from .components import components
 
 MIN_SITES = 5
 LG_K = 12
@@ -28,8 +31,12 @@ LG_K = 12
 BAND = 0.08
 #: So many boilerplate lines are matched inside the scan; more are matched by a join.
 INLINE = 2000
-#: Words of a shingle, and how many least hashes describe a text, by which copies are told.
+#: Words of a shingle, and how many least hashes of a text say of whom it may be a copy.
 SHINGLE, VALUES = 5, 8
+#: The share of shingles that copies have in common, and how many least hashes decide on it.
+SAME, SKETCH = 0.8, 256
+#: Texts that one is held against.
+HELD = 6
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -60,24 +67,49 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return seen.filter(above).select(*cols, F.lit(False).alias("exact")).unionByName(exact.select(*cols, F.lit(True).alias("exact")))
 
 
-def bodies(docs: DataFrame, name: str = "body", size: int = SHINGLE, values: int = VALUES) -> DataFrame:
-    """Adds a column that is equal in documents that are mostly copies of each other, though not to the letter.
-
-    A text is described by the least hashes of its shingles of `size` words, of which texts share as large a part as of
-    all their shingles, about. Every hash is owned by the first of the texts that have it; a text is a copy of the one
-    that owns the most of its hashes, if that is half of them or more."""
-    text = docs.filter(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("own"))
-    hs = text.select("own", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    n = F.size("h")
-    windows = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(size))))
-    least = F.when(n >= size, F.slice(F.sort_array(F.array_distinct(windows)), 1, values)).otherwise(F.array(F.xxhash64("h")))
-    each = stored(hs.select("own", F.explode(least).alias("v")).distinct(), "lines-shingles")
-    owners = stored(each.groupBy("v").agg(F.count("*").alias("m"), F.min("own").alias("of")).filter("m > 1").select("v", "of"), "lines-owners")
-    owned = each.join(small(owners), "v", "left").groupBy("own", F.coalesce("of", "own").alias("of")).agg(F.count("*").alias("n"))
-    most = owned.groupBy("own").agg(F.sum("n").alias("n"), F.max(F.struct("n", (F.col("of") != F.col("own")).alias("other"), "of")).alias("top"))
-    copies = stored(most.filter((2 * F.col("top.n") >= F.col("n")) & F.col("top.other")).select("own", "top.of"), "lines-copies")
+def _shingles(text: Column, size: int) -> Column:
+    """The distinct hashes of a text's shingles, sorted; a text with fewer words is one, one without words has none."""
+    hs = F.transform(words(text), lambda w: F.xxhash64(w))
+    windows = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(size))))
+    made = lambda h: F.when(F.size(h) >= size, windows(h)).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+    return F.sort_array(F.array_distinct(F.element_at(F.transform(F.array(hs), made), 1)))
+
+
+def bodies(docs: DataFrame, name: str = "body", site: str = "source", size: int = SHINGLE, values: int = VALUES, same: float = SAME) -> DataFrame:
+    """Adds a column that is equal in documents that are copies of each other, though not to the letter.
+
+    Copies share `same` of all their shingles of `size` words. Who may be a copy of whom is told by a few least hashes of
+    the whole text, and of what is left of it without the lines that stand on many sites: every hash is owned by the first
+    of the texts of about a length that have it, and a text is held against those that own most of its hashes. That is decided by their
+    shingles: by all of them up to `SKETCH`, which pages with little text of their own have, else by the `SKETCH` least,
+    which tell the share to about 0.03. Copies of copies are one body. A page that shares a footer with others is
+    no copy of them, however short, unless the footer is nearly all of it."""
+    text = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("own"), F.col("text").alias("whole"), "text", F.col(f"`{site}`").alias("site"))
+    found = stored(boilerplate(text, "site").select("h"), "lines-spread-texts")
+    cut = _without(text, found)
+    whole = _shingles(F.col("whole"), size)
+    part = F.when(F.col("text") != F.col("whole"), F.slice(_shingles(F.col("text"), size), 1, values))
+    # texts that share so much differ in their number of shingles by one step at most
+    step = F.floor(F.log(F.greatest(F.size("sk"), F.lit(1))) / F.lit(-math.log(same))).cast("int")
+    both = cut.select("own", whole.alias("sk"), part.alias("rest")).select("own", "rest", step.alias("step"), F.slice("sk", 1, SKETCH).alias("sk"))
+    both = stored(both, "lines-sketches")
+    least = F.array_union(F.slice("sk", 1, values), F.coalesce("rest", F.array().cast("array<bigint>")))
+    each = both.select("own", "step", F.explode(least).alias("v")).distinct()
+    per = each.groupBy("v", "step").agg(F.count("*").alias("m"), F.min("own").alias("of"))
+    owners = per.groupBy("v").agg(F.sum("m").alias("m"), F.collect_list(F.struct("step", "of")).alias("owners")).filter("m > 1")
+    owners = stored(owners.select("v", "owners"), "lines-owners")
+    fit = F.filter("owners", lambda o: (F.abs(o["step"] - F.col("step")) <= 1) & (o["of"] != F.col("own")))
+    owned = each.join(small(owners), "v").select("own", F.explode(fit).alias("o")).groupBy("own", "o.of").agg(F.count("*").alias("n"))
+    first = F.slice(F.sort_array(F.collect_list(F.struct("n", "of")), False), 1, HELD)
+    pairs = stored(owned.groupBy("own").agg(first.alias("first")).select("own", F.explode("first.of").alias("of")), "lines-pairs")
+    sketch = both.groupBy("own").agg(F.first("sk").alias("sk"))
+    union = F.slice(F.sort_array(F.array_union("a", "b")), 1, SKETCH)
+    share = F.size(F.array_intersect(F.array_intersect(union, "a"), "b")) >= same * F.size(union)
+    held = pairs.join(sketch.toDF("own", "a"), "own").join(sketch.toDF("of", "b"), "of").filter(share)
+    root = components(held.select(F.col("own").alias("a"), F.col("of").alias("b")))
+    discard(found, both, owners, pairs)
     at = own_names(docs, "copy", "of")
-    told = docs.join(small(copies.toDF(at["copy"], at["of"])), F.xxhash64("text") == F.col(at["copy"]), "left")
+    told = docs.join(small(root.toDF(at["copy"], at["of"])), F.xxhash64("text") == F.col(at["copy"]), "left")
     return told.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.col(at["of"]), F.xxhash64("text")).alias(name))
 
 
@@ -85,6 +117,11 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     """The documents, with boilerplate lines taken out of `text`. Names in n_lines and n_removed add columns: the lines
     with a word that a document had, and how many of them went."""
     found = stored(boilerplate(docs, site, min_sites, body).select("h"), "lines-boilerplate")
+    return _without(docs, found, n_lines, n_removed)
+
+
+def _without(docs: DataFrame, found: DataFrame, n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
+    """The documents without the lines of found (h)."""
     name = own_names(docs, "hs", "at", "key", "pos", "hit", "cut")
     hs, at = F.col(name["hs"]), F.col(name["at"])
     out = docs.withColumn(name["hs"], F.coalesce(_hashes(F.col("text")), F.array().cast("array<bigint>")))
