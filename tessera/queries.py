@@ -19,6 +19,7 @@ from .functions.table import TensorTable, group_values_offsets, ungroup_values_o
 from .plans import schema_io
 from .plans.graph import Runtime
 from .sources import readers, sinks
+from .sources.dataset import estimated_bytes
 from .streaming.graphs import transform_stream, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -354,12 +355,15 @@ def schema_sidecar(spark, d):
     return back.to_df()
 
 
-@query("""
-SELECT *, FALSE AS is_list, FALSE AS is_ragged, '{}' AS properties FROM (VALUES
- ('c_custkey', '["id", "user"]', 'int64'), ('c_name', '["name"]', 'str'), ('c_nationkey', '["categorical"]', 'int32'),
- ('c_acctbal', '["continuous"]', 'float64'), ('c_mktsegment', '["segment"]', 'str')) t(name, tags, dtype)""")
+_KIND = "CASE column_type WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THEN 'int32' WHEN 'DOUBLE' THEN 'float64' WHEN 'VARCHAR' THEN 'str' ELSE 'datetime64[us]' END"
+
+
+@query(f"""
+SELECT column_name AS name, coalesce(t.tags, '[]') AS tags, {_KIND} AS dtype, FALSE AS is_list, FALSE AS is_ragged, '{{}}' AS properties
+FROM (DESCRIBE customer) d LEFT JOIN (VALUES ('c_custkey', '["id", "user"]'), ('c_name', '["name"]'), ('c_nationkey', '["categorical"]'),
+  ('c_acctbal', '["continuous"]'), ('c_mktsegment', '["segment"]')) t(name, tags) ON t.name = d.column_name""")
 def schema_to_frame(spark, d):
-    return _customer_schema().to_spark_frame(spark)
+    return Dataset(load(spark, d, "customer"), schema=_customer_schema()).schema.to_spark_frame(spark)
 
 
 @query("""
@@ -370,11 +374,11 @@ def infer_schema(spark, d):
     return Dataset(f"{d}/lineitem.parquet", engine="parquet", spark=spark).infer_schema().to_spark_frame(spark)
 
 
-@query("SELECT 'c_custkey' AS name, TRUE AS same UNION ALL SELECT 'c_name', TRUE UNION ALL SELECT 'c_nationkey', TRUE UNION ALL SELECT 'c_acctbal', TRUE UNION ALL SELECT 'c_mktsegment', TRUE")
+@query(f"SELECT column_name AS name, {_KIND} AS dtype, TRUE AS same FROM (DESCRIBE customer)")
 def schema_text_roundtrip(spark, d):
-    s = _customer_schema()
+    s = Dataset(load(spark, d, "customer"), schema=_customer_schema()).schema
     text, js = schema_io.from_text(schema_io.to_text(s)), schema_io.from_json(schema_io.to_json(s))
-    return spark.createDataFrame([(c.name, text[c.name] == c and js[c.name] == c) for c in s], "name string, same boolean")
+    return spark.createDataFrame([(c.name, text[c.name].dtype.name, text[c.name] == c and js[c.name] == c) for c in s], "name string, dtype string, same boolean")
 
 
 @query("SELECT count(*) AS n_rows, CAST(count(*) * 28 + 64 AS BIGINT) AS bytes FROM lineitem")
@@ -404,10 +408,12 @@ def npy_shape(spark, d):
     return spark.createDataFrame([(n, k)], "n_rows long, n_columns long")
 
 
-@query("SELECT count(*) AS n_rows FROM orders")
+@query("SELECT (o_custkey % 4)::INTEGER AS k, count(*) AS n FROM orders GROUP BY 1")
 def partition_lens(spark, d):
-    data = Dataset(load(spark, d, "orders").repartition(4))
-    return spark.createDataFrame([(sum(data.partition_lens),)], "n_rows long")
+    """Rows of each partition, where a partition has the customers of one remainder."""
+    df = load(spark, d, "orders").select((F.col("o_custkey") % 4).cast("int").alias("k"))
+    data = Dataset(df.repartitionById(4, "k"))
+    return spark.createDataFrame(list(enumerate(data.partition_lens)), "k int, n long")
 
 
 @query("SELECT 'orders.parquet' AS file, [0] AS partitions")
@@ -450,10 +456,10 @@ def merge_right(spark, d):
     return Dataset.merge(load(spark, d, "orders").select("o_orderkey", "o_custkey"), load(spark, d, "customer").select("c_custkey"), left_on="o_custkey", right_on="c_custkey", how="right").to_df(["c_custkey", "o_orderkey"])
 
 
-@query("SELECT coalesce(s.k, c.k) AS k, s.s_suppkey, c.c_custkey FROM (SELECT s_nationkey AS k, s_suppkey FROM supplier) s FULL JOIN (SELECT c_nationkey AS k, c_custkey FROM customer WHERE c_nationkey < 10) c ON s.k = c.k")
+@query("SELECT coalesce(s.k, c.k) AS k, s.s_suppkey, c.c_custkey FROM (SELECT s_nationkey AS k, s_suppkey FROM supplier) s FULL JOIN (SELECT c_nationkey + 10 AS k, c_custkey FROM customer) c ON s.k = c.k")
 def merge_outer(spark, d):
     left = load(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey")
-    right = load(spark, d, "customer").filter("c_nationkey < 10").select(F.col("c_nationkey").alias("k"), "c_custkey")
+    right = load(spark, d, "customer").select((F.col("c_nationkey") + 10).alias("k"), "c_custkey")
     return Dataset.merge(left, right, on="k", how="outer").to_df()
 
 
@@ -469,10 +475,10 @@ def merge_suffixes(spark, d):
     return Dataset.merge(nation, nation, on="n_regionkey").to_df()
 
 
-@query("SELECT CASE WHEN s.k IS NULL THEN 'right_only' WHEN c.k IS NULL THEN 'left_only' ELSE 'both' END AS _merge, count(*) AS n FROM (SELECT s_nationkey AS k FROM supplier) s FULL JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 5) c ON s.k = c.k GROUP BY 1")
+@query("SELECT CASE WHEN s.k IS NULL THEN 'right_only' WHEN c.k IS NULL THEN 'left_only' ELSE 'both' END AS _merge, count(*) AS n FROM (SELECT s_nationkey AS k FROM supplier) s FULL JOIN (SELECT n_nationkey + 6 AS k FROM nation) c ON s.k = c.k GROUP BY 1")
 def merge_indicator(spark, d):
     left = load(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
-    right = load(spark, d, "nation").filter("n_nationkey > 5").select(F.col("n_nationkey").alias("k"))
+    right = load(spark, d, "nation").select((F.col("n_nationkey") + 6).alias("k"))
     return Dataset.merge(left, right, on="k", how="outer", indicator=True).to_df().groupBy("_merge").agg(F.count("*").alias("n"))
 
 
@@ -494,19 +500,36 @@ def add_to_series(spark, d):
 # exchange
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders")
+def _together(df: DataFrame, key: str, most: int) -> DataFrame:
+    """One row: whether no key is in two partitions, and there are not too many of them."""
+    each = _at(df, "__p").groupBy(key).agg(F.min("__p").alias("a"), F.max("__p").alias("b"))
+    return each.agg(((F.count_if(F.col("a") != F.col("b")) == 0) & (F.max("b") < most)).alias("together"))
+
+
+@query("SELECT o_orderkey, o_custkey, TRUE AS together FROM orders")
 def shuffle_by_keys(spark, d):
-    return Dataset(load(spark, d, "orders").select("o_orderkey", "o_custkey").repartition(8)).shuffle_by_keys("o_custkey", npartitions=4).to_df()
+    out = Dataset(load(spark, d, "orders").select("o_orderkey", "o_custkey").repartition(8)).shuffle_by_keys("o_custkey", npartitions=4).to_df()
+    return out.join(F.broadcast(_together(out, "o_custkey", 4)))
 
 
-@query("SELECT p_partkey FROM part")
+@query("SELECT p_partkey, 7 AS parts, TRUE AS by_size FROM part")
 def repartition(spark, d):
-    return Dataset(load(spark, d, "part").select("p_partkey")).repartition(partition_size="1MB").to_df()
+    """By number, and by the bytes of a partition."""
+    data = Dataset(load(spark, d, "part").select("p_partkey"))
+    by_size = data.repartition(partition_size=max(1, estimated_bytes(data.to_df()) // 5)).npartitions
+    out = data.repartition(7)
+    return out.to_df().select("p_partkey", F.lit(out.npartitions).alias("parts"), F.lit(by_size in (5, 6)).alias("by_size"))
+
+
+def _mixed(df: DataFrame, column: str, name: str = "mixed") -> DataFrame:
+    """One row: whether the order of the rows has nothing to do with a column."""
+    return df.select(column, F.monotonically_increasing_id().alias("__at")).agg((F.abs(F.corr(column, "__at")) < 0.3).alias(name))
 
 
-@query("SELECT event_id, user_id FROM events")
+@query("SELECT event_id, user_id, TRUE AS mixed FROM events")
 def shuffle_rows(spark, d):
-    return Dataset(load(spark, d, "events").select("event_id", "user_id")).shuffle_rows(seed=7).to_df()
+    out = Dataset(load(spark, d, "events").select("event_id", "user_id")).shuffle_rows(seed=7).to_df()
+    return out.join(F.broadcast(_mixed(out, "event_id")))
 
 
 @query("SELECT n_nationkey FROM nation UNION ALL SELECT n_nationkey FROM nation")
@@ -639,45 +662,75 @@ def registered_engine(spark, d):
     return Dataset(f"{d}/supplier.parquet", engine="own", spark=spark).to_df()
 
 
-@query("SELECT event_id, user_id, value FROM events")
+@query("SELECT event_id, user_id, value, TRUE AS split FROM events")
 def read_part_size(spark, d):
-    return Dataset(f"{d}/events.parquet", engine="parquet", part_size="64KB", spark=spark).to_df(["event_id", "user_id", "value"])
+    """Read in four parts or more, by their bytes."""
+    size = max(1, sum(sinks.Files(spark, f"{d}/events.parquet").sizes().values()) // 4)
+    data = Dataset(f"{d}/events.parquet", engine="parquet", part_size=size, spark=spark)
+    return data.to_df(["event_id", "user_id", "value"]).withColumn("split", F.lit(data.npartitions >= 4))
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer")
+@query("SELECT c_custkey, c_nationkey, 6 AS files, 1 AS parts FROM customer")
 def aggregate_files(spark, d):
+    """Six small files in one partition."""
     path = scratch(spark, "small")
     Dataset(load(spark, d, "customer").select("c_custkey", "c_nationkey").repartition(6)).to_parquet(path)
-    return Dataset(path, engine="parquet", aggregate_files=True, spark=spark).to_df()
+    data = Dataset(path, engine="parquet", aggregate_files=True, spark=spark)
+    return data.to_df().select("*", F.lit(len(sinks.Files(spark, path).list("*.parquet"))).alias("files"), F.lit(data.npartitions).alias("parts"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) t(k, v)")
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 def source_in_memory(spark, d):
-    return Dataset({"k": [1, 2, 3], "v": ["a", "b", None]}, spark=spark).to_df()
+    """A table in the driver's memory, as a source of four partitions."""
+    return Dataset(load(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey").toArrow(), npartitions=4, spark=spark).to_df()
 
 
-@query("SELECT * FROM (VALUES (0, 'part_1'), (1, 'part_2'), (2, 'part_10'), (3, 'part_11')) t(place, file)")
+@query("SELECT i AS place, 'part_' || i || '.parquet' AS file, (SELECT count(*) FROM part) AS rows FROM range(12) t(i)")
 def natural_order(spark, d):
-    return spark.createDataFrame(list(enumerate(readers.paths_of(["part_10", "part_2", "part_11", "part_1"]))), "place int, file string")
+    """Twelve files of a folder, the tenth after the ninth, and their rows together."""
+    path = scratch(spark, "natural")
+    Dataset(load(spark, d, "part").select("p_partkey").repartition(12)).to_parquet(path, output_files=12)
+    names = sorted(sinks.Files(spark, path).list("*.parquet"))
+    rows = Dataset([f"{path}/{n}" for n in names], spark=spark).to_df().count()
+    placed = [p.rsplit("/", 1)[1] for p in readers.paths_of([f"{path}/{n}" for n in names])]
+    return spark.createDataFrame([(i, n, rows) for i, n in enumerate(placed)], "place long, file string, rows long")
 
 
-@query("SELECT p_partkey, p_size FROM part")
-def shuffled_partitions(spark, d):
-    return Dataset(load(spark, d, "part").select("p_partkey", "p_size").repartition(5)).to_df(shuffle=True, seed=3)
+def _at(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.spark_partition_id())
 
 
-@query("SELECT o_orderkey FROM orders")
-def write_by_names(spark, d):
-    path = scratch(spark, "named")
-    Dataset(load(spark, d, "orders").select("o_orderkey").repartition(4)).to_parquet(path, output_files={"a": [0, 1], ("b", "c"): [2, 3]})
-    return Dataset(path, spark=spark).to_df()
+@query("SELECT p_partkey, p_size, TRUE AS moved, TRUE AS repeatable FROM part")
+def shuffled_partitions(spark, d):
+    """Partitions in another order, which is the same for the same seed."""
+    data = Dataset(load(spark, d, "part").select("p_partkey", "p_size").repartition(5, "p_partkey"))
+    twice = [_at(data.to_df(["p_partkey"], shuffle=True, seed=3), f"p{i}") for i in (1, 2)]
+    all_ = _at(data.to_df(), "p0").join(twice[0], "p_partkey").join(twice[1], "p_partkey")
+    seen = frames.cut_lineage(all_)
+    told = seen.agg((F.count_if(F.col("p0") != F.col("p1")) > 0).alias("moved"), (F.count_if(F.col("p1") != F.col("p2")) == 0).alias("repeatable"))
+    return seen.select("p_partkey", "p_size").join(F.broadcast(told))
 
 
-@query("SELECT n_nationkey, n_regionkey FROM nation")
+@query("SELECT o_orderkey, 'a.parquet b.parquet c.parquet' AS files, TRUE AS left_out FROM orders")
+def write_by_names(spark, d):
+    """Partitions in named files; and two of four written, the others left out."""
+    path, some = scratch(spark, "named"), scratch(spark, "named")
+    data = Dataset(load(spark, d, "orders").select("o_orderkey").repartition(4, "o_orderkey"))
+    data.to_parquet(path, output_files={"a": [0, 1], ("b", "c"): [2, 3]})
+    data.to_parquet(some, output_files={"a": [0, 2]})
+    want = _at(data.to_df(), "p").filter("p IN (0, 2)").select("o_orderkey")
+    got = Dataset(some, spark=spark).to_df()
+    same = got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    names = " ".join(sinks.Files(spark, path).list("*.parquet"))
+    return Dataset(path, spark=spark).to_df().select("o_orderkey", F.lit(names).alias("files"), F.lit(same).alias("left_out"))
+
+
+@query("SELECT n_nationkey, n_regionkey, (SELECT count(DISTINCT n_regionkey) FROM nation) AS folders FROM nation")
 def hive_by_worker(spark, d):
     path = scratch(spark, "hive")
     Dataset(load(spark, d, "nation").select("n_nationkey", "n_regionkey")).to_parquet(path, partition_on="n_regionkey", method="worker")
-    return Dataset(path, engine="parquet", spark=spark).to_df(["n_nationkey", "n_regionkey"])
+    folders = F.lit(len(sinks.Files(spark, path).list("n_regionkey=*"))).cast("long").alias("folders")
+    return Dataset(path, engine="parquet", spark=spark).to_df(["n_nationkey", "n_regionkey"]).select("*", folders)
 
 
 @query("SELECT count(*) AS n_rows, CAST(ceil(count(*) / 500.0) AS BIGINT) AS n_groups FROM customer")
@@ -775,20 +828,23 @@ def head_and_tail(spark, d):
     return frames.concat_rows(spark.createDataFrame(data.head(5)), spark.createDataFrame(data.tail(5)))
 
 
-@query("SELECT o_orderstatus, o_orderkey FROM orders")
+@query("SELECT o_orderstatus, o_orderkey, TRUE AS together FROM orders")
 def shuffle_hive_keys(spark, d):
     path = scratch(spark, "hive")
     Dataset(load(spark, d, "orders").select("o_orderkey", "o_orderstatus")).to_parquet(path, partition_on="o_orderstatus")
-    return Dataset(path, engine="parquet", spark=spark).shuffle_by_keys("o_orderstatus", hive_data=True).to_df(["o_orderstatus", "o_orderkey"])
+    out = Dataset(path, engine="parquet", spark=spark).shuffle_by_keys("o_orderstatus", hive_data=True).to_df(["o_orderstatus", "o_orderkey"])
+    return out.join(F.broadcast(_together(out, "o_orderstatus", 10**6)))
 
 
-@query("SELECT event_id, value FROM events UNION ALL SELECT event_id, value FROM events")
+@query("SELECT event_id, value, TRUE AS mixed FROM events UNION ALL SELECT event_id, value, TRUE FROM events")
 def shuffled_files(spark, d):
+    """Files of rows in another order, for either way to shuffle."""
     out = []
     for how in (sinks.Shuffle.PER_WORKER, sinks.Shuffle.PER_PARTITION):
         path = scratch(spark, how.value)
-        Dataset(load(spark, d, "events").select("event_id", "value")).to_parquet(path, shuffle=how)
-        out.append(Dataset(path, spark=spark).to_df())
+        Dataset(load(spark, d, "events").select("event_id", "value").coalesce(1)).to_parquet(path, shuffle=how)
+        df = Dataset(path, spark=spark).to_df()
+        out.append(df.join(F.broadcast(_mixed(df, "event_id"))))
     return frames.concat_rows(*out)
 
 
@@ -805,11 +861,14 @@ def column_kinds(spark, d):
     return spark.createDataFrame([(c, a, b, v.simpleString() if a else None) for c, a, b, v in kinds], "name string, is_list boolean, is_string boolean, values string")
 
 
-@query("SELECT CAST(unnest(range(2, 20, 3)) AS BIGINT) AS id, 7 AS seven, TRUE AS inside")
+@query("SELECT c_custkey, 7 AS seven, TRUE AS inside FROM customer")
 def made_columns(spark, d):
-    df = frames.filled(frames.arange(spark, 2, 20, 3), "seven", 7, "int")
-    u = scalars.random_uniform(2.0, 3.0, seed=1)
-    return df.withColumn("u", u).select("id", "seven", ((F.col("u") >= 2) & (F.col("u") < 3)).alias("inside"))
+    """Customers that a range of numbers finds again, with a constant and a random column."""
+    df = frames.filled(load(spark, d, "customer").select("c_custkey"), "seven", 7, "int")
+    low, high = df.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    numbers = frames.arange(spark, low, high + 1, name="c_custkey")
+    df = df.join(numbers, "c_custkey").withColumn("u", scalars.random_uniform(2.0, 3.0, seed=1))
+    return df.select("c_custkey", "seven", ((F.col("u") >= 2) & (F.col("u") < 3)).alias("inside"))
 
 
 @query("SELECT count(DISTINCT c_name) AS names, count(DISTINCT c_name) AS hashes, count(DISTINCT c_name) AS pairs FROM customer")
@@ -820,12 +879,19 @@ def hash_series_stable(spark, d):
     return both.agg(F.count_distinct("c_name").alias("names"), F.count_distinct("h").alias("hashes"), F.count_distinct("c_name", "h").alias("pairs"))
 
 
-@query("SELECT 'tags' AS name, [1, 2, 3, 4] AS values, [0, 2, 2, 4] AS offsets")
+@query("""
+WITH e AS (SELECT vec_id, len(embedding)::BIGINT AS n, embedding[1] AS first FROM embeddings)
+SELECT vec_id, (sum(n) OVER (ORDER BY vec_id ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS begin, n, first::DOUBLE AS first FROM e""")
 def values_and_offsets(spark, d):
-    flat = {"tags__values": np.array([1, 2, 3, 4]), "tags__offsets": np.array([0, 2, 2, 4])}
+    """All vectors as one array of values and one of offsets, grouped and taken apart again, as arrays are on the driver."""
+    table = load(spark, d, "embeddings").select("vec_id", "embedding").orderBy("vec_id").toArrow()
+    column = table.column("embedding").combine_chunks()
+    flat = {"embedding__values": column.flatten().to_numpy(), "embedding__offsets": column.offsets.to_numpy()}
     back = ungroup_values_offsets(group_values_offsets(flat))
-    rows = [("tags", back["tags__values"].tolist(), back["tags__offsets"].tolist())]
-    return spark.createDataFrame(rows, "name string, values array<int>, offsets array<int>")
+    values, offsets = back["embedding__values"], back["embedding__offsets"]
+    begin = offsets[:-1].astype(np.int64) - int(offsets[0])
+    out = pa.table({"vec_id": table.column("vec_id").combine_chunks(), "begin": begin, "n": np.diff(offsets).astype(np.int64), "first": values[begin].astype(np.float64)})
+    return spark.createDataFrame(out)
 
 
 @query("SELECT count(*) AS n_rows, TRUE AS is_ragged, CAST(sum(len(string_split(c_name, '#'))) AS BIGINT) AS n_values FROM customer")
@@ -842,18 +908,24 @@ def runtime_graph(spark, d):
     return Runtime().transform(graph, load(spark, d, "customer").select("c_custkey", "c_nationkey"))
 
 
-@query("SELECT * FROM (VALUES ('l_orderkey', 'int64', ''), ('l_quantity_n', 'float64', 'continuous')) t(name, dtype, tags)")
+@query(f"""
+SELECT CASE column_name WHEN 'l_quantity' THEN 'l_quantity_n' ELSE column_name END AS name, {_KIND} AS dtype,
+       CASE column_name WHEN 'l_quantity' THEN 'continuous' ELSE '' END AS tags
+FROM (DESCRIBE lineitem) WHERE column_name IN ('l_orderkey', 'l_quantity')""")
 def constructed_schema(spark, d):
-    """Names, types and tags that a graph will give, from the schema alone."""
-    root = Schema([ColumnSchema("l_orderkey", dtype="int64"), ColumnSchema("l_quantity", [Tags.CONTINUOUS], dtype="float64")])
+    """Names, types and tags that a graph will give, from a table's schema alone."""
+    root = Dataset(load(spark, d, "lineitem")).schema
+    root = Schema([c.with_tags([Tags.CONTINUOUS]) if c.name == "l_quantity" else c for c in root])
     out = Graph(["l_orderkey"] + (["l_quantity"] >> Rename(postfix="_n"))).construct_schema(root).output_schema
     return spark.createDataFrame([(c.name, c.dtype.name, " ".join(map(str, c.tags))) for c in out], "name string, dtype string, tags string")
 
 
-@query("SELECT * FROM (VALUES ('Rename', 1), ('MinMaxScale', 1)) t(op, n)")
+@query("SELECT op, n, (SELECT count(*) FROM lineitem) AS rows FROM (VALUES ('Rename', 1), ('MinMaxScale', 1)) t(op, n)")
 def nodes_by_operator(spark, d):
+    """The nodes of a graph that was fitted and run, by operator."""
     graph = Graph((["l_quantity"] >> MinMaxScale() >> Rename(postfix="_s")) + ["l_tax"])
-    return spark.createDataFrame([(op.__name__, len(graph.get_nodes_by_op_type(op))) for op in (Rename, MinMaxScale)], "op string, n int")
+    rows = graph.fit_transform(Dataset(load(spark, d, "lineitem"))).to_df().filter("l_quantity_s BETWEEN 0 AND 1").count()
+    return spark.createDataFrame([(op.__name__, len(graph.get_nodes_by_op_type(op)), rows) for op in (Rename, MinMaxScale)], "op string, n int, rows long")
 
 
 @query("SELECT o_orderkey, upper(o_orderstatus) AS o_orderstatus FROM orders")
@@ -895,10 +967,12 @@ def frame_to_numpy(spark, d):
     return spark.createDataFrame([tuple(map(int, r)) for r in matrix], "a long, b long")
 
 
-@query("SELECT 'r_regionkey' AS key, 0 AS AFRICA, 2 AS ASIA")
+@query("""
+SELECT 'r_regionkey' AS key, max(CASE WHEN r_name = 'AFRICA' THEN r_regionkey END)::INTEGER AS AFRICA, max(CASE WHEN r_name = 'AMERICA' THEN r_regionkey END)::INTEGER AS AMERICA,
+       max(CASE WHEN r_name = 'ASIA' THEN r_regionkey END)::INTEGER AS ASIA, max(CASE WHEN r_name = 'EUROPE' THEN r_regionkey END)::INTEGER AS EUROPE FROM region""")
 def frame_transpose(spark, d):
-    df = frames.from_dict(spark, {"r_name": ["AFRICA", "ASIA"], "r_regionkey": [0, 2]})
-    return frames.transpose(df, "r_name").select("key", F.col("AFRICA").cast("int").alias("AFRICA"), F.col("ASIA").cast("int").alias("ASIA"))
+    df = load(spark, d, "region").select("r_name", "r_regionkey")
+    return frames.transpose(df, "r_name").select("key", *(F.col(n).cast("int").alias(n) for n in ("AFRICA", "AMERICA", "ASIA", "EUROPE")))
 
 
 @query("SELECT event_id, lag(value, 2) OVER (ORDER BY event_id) AS value FROM events")
