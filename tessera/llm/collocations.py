@@ -8,8 +8,8 @@ are frequent in the whole corpus are extended. Those are numbered by Spark's sum
 
 A shard has about `SHARD_BYTES` of text, at any size of the corpus; what comes back to it are the numbers of its own words.
 Its pairs are not looked up in the corpus before they are extended: that takes a join of all pairs of all shards, which was
-measured and costs more than the triples that it saves, as frequent pairs make up most of a large corpus. The words that may follow at a shifted bit are looked up by position, so that
-only pairs of bitmaps that share a block are ANDed. Scores are exact: products are decimals of 38 digits.
+measured and costs more than the triples that it saves, as frequent pairs make up most of a large corpus. The words that
+may follow at a shifted bit are looked up by position, so that only pairs of bitmaps that share a block are ANDed. Scores are exact: products are decimals of 38 digits.
 
 Defined cases: null texts have no words, a null language is `und`; A-Z are lower-cased, nothing else; a text of any length
 is whole in one shard; occurrences that overlap count each; equal scores go by count, then by phrase in UTF-8 bytes; an
@@ -40,7 +40,7 @@ SCALE = 1_000_000
 #: A phrase goes if a longer one around it has this share of its occurrences, in hundredths.
 COVERED = 50
 #: Bytes of the texts in a shard, about.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 6_000_000
 #: Blocks of bitmaps that are extended at a time.
 ENTRIES = 300_000
 SALTS = 64
@@ -74,7 +74,7 @@ def positions(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     n = len(w.start)
     if not n:
         return pa.array([], pa.large_string()), np.zeros(0, np.int64)
-    seen = np.concatenate([[0], np.cumsum(_BREAK[buf], dtype=np.int64)])
+    seen = np.concatenate([[0], np.cumsum(_BREAK[buf], dtype=np.int32)])
     apart = np.zeros(n, bool)
     apart[1:] = seen[w.start[1:]] > seen[w.end[:-1]]
     apart[w.ptr[:-1][w.ptr[:-1] < n]] = True
@@ -215,7 +215,12 @@ def _phrases(blob: pa.Table, own: pa.Table) -> pa.Table:
             ab_ += [ab, ab[q]]
             c_ += [np.full(len(p), -1, np.int32), number[c].astype(np.int32)]
             n_ += [n, m]
-    return pa.table({"ab": _cat(ab_), "c": _cat(c_).astype(np.int32), "n": _cat(n_)})
+        del maps
+    out = []
+    for parts, kind in ((ab_, np.int64), (c_, np.int32), (n_, np.int64)):
+        out.append(pa.array(_cat(parts).astype(kind, copy=False)))
+        parts.clear()
+    return pa.table(out, names=["ab", "c", "n"])
 
 
 def _score(a: str, left: str, right: str) -> Column:
