@@ -6,6 +6,7 @@ from importlib import import_module
 _WHERE = {
     "operators.base": ["Operator", "StatOperator"],
     "operators.columns": ["UDF", "AddMetadata", "AddProperties", "AddTags", "ConcatColumns", "GroupingOp", "Rename", "SelectionOp", "Subgraph", "SubsetColumns", "SubtractionOp", "TagAsItemFeatures", "TagAsItemID", "TagAsUserFeatures", "TagAsUserID"],
+    "operators.states": ["Cube", "Standardize"],
     "operators.stats": ["Aggregate", "FrequencyEncode", "MinMaxScale", "ShiftToZero"],
     "plans.dtypes": ["DType", "dtype"],
     "plans.graph": ["Executor", "Graph", "Runtime"],

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .shapes import LIST, SCALAR, Shape
 
 
+# The names and values of these two enumerations are read by other tools.
 class ElementType(Enum):
     Bool = "bool"
     Int = "int"
@@ -103,6 +104,8 @@ string = DType("str", ElementType.String)
 boolean = DType("bool", ElementType.Bool)
 object_ = DType("object", ElementType.Object)
 struct = DType("struct", ElementType.Struct)
+#: Values of any shape, such as JSON has; Spark's own type.
+variant = DType("variant", ElementType.Object)
 unknown = DType("unknown")
 datetime64 = DType("datetime64", ElementType.DateTime, 64)
 _dates = {u: DType(f"datetime64[{u.value}]", ElementType.DateTime, 64, u) for u in ElementUnit}
@@ -111,7 +114,7 @@ datetime64h, datetime64m, datetime64s = (_dates[u] for u in (ElementUnit.Hour, E
 datetime64ms, datetime64us, datetime64ns = (_dates[u] for u in (ElementUnit.Millisecond, ElementUnit.Microsecond, ElementUnit.Nanosecond))
 
 INTS, UINTS, FLOATS, DATES = (int8, int16, int32, int64), (uint8, uint16, uint32, uint64), (float16, float32, float64), (datetime64, *_dates.values())
-ALL = (*INTS, *UINTS, *FLOATS, *DATES, string, boolean, object_, struct, unknown)
+ALL = (*INTS, *UINTS, *FLOATS, *DATES, string, boolean, object_, struct, variant, unknown)
 
 
 class Mapping:
@@ -195,7 +198,7 @@ register("python", Mapping({int64: int, float64: float, string: str, boolean: bo
 registry.mappings["python"].from_other = [(int, int64), (float, float64), (str, string), (bool, boolean)]
 register("spark", Mapping(
     {int8: T.ByteType(), int16: T.ShortType(), int32: T.IntegerType(), int64: T.LongType(), float32: T.FloatType(), float64: T.DoubleType(),
-     string: T.StringType(), boolean: T.BooleanType(), datetime64us: [T.TimestampNTZType(), T.TimestampType()], datetime64D: T.DateType()},
+     string: T.StringType(), boolean: T.BooleanType(), datetime64us: [T.TimestampNTZType(), T.TimestampType()], datetime64D: T.DateType(), variant: T.VariantType()},
     seen=_spark_seen,
 ))
 # types that Spark does not have: the next wider one; nothing is said of structs and unknown types

@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import UDF, AddMetadata, Aggregate, ColumnSchema, ColumnSelector, Dataset, FrequencyEncode, Graph, MinMaxScale, Node, Rename, Schema, ShiftToZero, Subgraph, TagAsItemID, TagAsUserID, Tags
-from .functions import frames, lists, ranges, scalars
+from . import UDF, AddMetadata, Aggregate, ColumnSchema, ColumnSelector, Cube, Dataset, FrequencyEncode, Graph, MinMaxScale, Node, Rename, Schema, ShiftToZero, Standardize, Subgraph, TagAsItemID, TagAsUserID, Tags
+from .functions import frames, lists, ranges, scalars, variants
 from .functions.segments import Segments, asof_join
 from .functions.table import TensorTable, group_values_offsets, ungroup_values_offsets
+from .operators import states
 from .plans import schema_io
 from .plans.graph import Runtime
 from .sources import readers, sinks
@@ -1151,3 +1152,72 @@ def top_lines(spark, d):
     """The three dearest lines of each supplier."""
     lines = load(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
     return ranges.top_k(lines, ["l_suppkey"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 3)
+
+
+# statistics in parts, cubes, and columns of any shape
+
+
+@query("""
+SELECT 'l_quantity' AS "column", count(*) AS rows, 0::BIGINT AS nulls, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS low,
+       max(l_quantity) AS high, count(DISTINCT l_quantity) AS distinct, TRUE AS near, TRUE AS same FROM lineitem
+UNION ALL
+SELECT 'l_extendedprice', count(*), 0, round(avg(l_extendedprice), 6), round(stddev_samp(l_extendedprice), 6), min(l_extendedprice), max(l_extendedprice), NULL, TRUE, TRUE FROM lineitem""")
+def merged_statistics(spark, d):
+    """States of the lines of each flag, learned apart and merged, beside those of all lines learned at once: distinct
+    values to the number where there are few, quantiles by their ranks, and whether both ways give the same."""
+    columns = ["l_quantity", "l_extendedprice"]
+    lines = load(spark, d, "lineitem").select("l_returnflag", *columns)
+    path = scratch(spark, "states")
+    for flag in [r[0] for r in lines.select("l_returnflag").distinct().collect()]:
+        states.state_of(lines.filter(F.col("l_returnflag") == flag), columns).write.mode("append").parquet(path)
+    got = frames.cut_lineage(states.read_off(states.merged(states.stored_states(spark, path)), [0.1, 0.5, 0.9]))
+    once = states.read_off(states.state_of(lines, columns)).select("column", F.col("distinct").alias("d1"), F.col("mean").alias("m1"), F.col("std").alias("s1"))
+    ranks = [(r["column"], q, v) for r in got.collect() for q, v in zip([0.1, 0.5, 0.9], r["quantiles"], strict=True)]
+    # the true ranks of the quantiles: of the lines below it and up to it
+    asked = [F.struct(F.lit(c).alias("column"), F.lit(q).alias("q"), F.avg((F.col(c) < v).cast("int")).alias("lo"), F.avg((F.col(c) <= v).cast("int")).alias("hi")) for c, q, v in ranks]
+    near = lines.select(*columns).agg(F.array(*asked).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    near = near.groupBy("column").agg(F.min((F.col("lo") - 0.01 <= F.col("q")) & (F.col("q") <= F.col("hi") + 0.01)).alias("near"))
+    same = (F.abs(F.col("mean") - F.col("m1")) < 1e-6) & (F.abs(F.col("std") - F.col("s1")) < 1e-6) & (F.abs(F.col("distinct") - F.col("d1")) <= 0.03 * F.col("d1"))
+    few = F.when(F.col("column") == "l_quantity", F.col("distinct"))
+    return got.join(once, "column").join(near, "column").select("column", "rows", "nulls", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "low", "high", few.alias("distinct"), "near", same.alias("same"))
+
+
+@query("""
+SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER (), 6) AS o_totalprice FROM orders""")
+def standardized_in_parts(spark, d):
+    """Prices on the scale of all orders, learned status by status."""
+    orders = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    scale = Standardize()
+    scale.set_storage_path(scratch(spark, "states"))
+    graph = Graph((["o_totalprice"] >> scale) + ["o_orderkey"])
+    for status in [r[0] for r in orders.select("o_orderstatus").distinct().collect()]:
+        graph.fit(Dataset(orders.filter(F.col("o_orderstatus") == status)))
+    return graph.transform(Dataset(orders)).to_df().select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
+
+
+@query("""
+SELECT c_mktsegment, c_nationkey, (grouping(c_mktsegment) * 2 + grouping(c_nationkey))::BIGINT AS "__set", count(*) AS n, round(sum(c_acctbal), 2) AS balance
+FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)""")
+def grouping_cube(spark, d):
+    """Sums of balances by segment, nation, both and neither, learned at once over columns chosen by tag."""
+    data = Dataset(load(spark, d, "customer"), schema=Schema([ColumnSchema(n, [Tags.CATEGORICAL]) for n in ("c_mktsegment", "c_nationkey")]))
+    cube = Cube(n=lambda c: F.count("*"), balance=lambda c: F.round(F.sum("c_acctbal"), 2))
+    cube.fit_finalize(cube.fit(ColumnSelector([c.name for c in data.schema.select_by_tag(Tags.CATEGORICAL)]), data.to_df()))
+    return cube.results
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none FROM events")
+def json_fields(spark, d):
+    """Paths of a column of JSON as columns of types."""
+    return variants.with_paths(load(spark, d, "events").select("event_id", "props"), "props", {"k": ("$.k", "int64"), "none": ("$.none", "str")}, keep=False)
+
+
+@query("SELECT c_custkey, c_nationkey, 2 AS files FROM customer UNION ALL SELECT s_suppkey, s_nationkey, 2 FROM supplier")
+def files_of_one_name(spark, d):
+    """Two files of one name in two folders stay two."""
+    a, b, out = scratch(spark, "same"), scratch(spark, "same"), scratch(spark, "kept")
+    for path, df in ((a, load(spark, d, "customer").select("c_custkey", "c_nationkey")), (b, load(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey")))):
+        Dataset(df).to_parquet(path, output_files=["data"])
+    Dataset([f"{a}/data.parquet", f"{b}/data.parquet"], spark=spark).to_parquet(out, preserve_files=True)
+    files = len([n for n in sinks.Files(spark, out).sizes() if n.endswith("/data.parquet")])
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(out).select("*", F.lit(files).alias("files"))

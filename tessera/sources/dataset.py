@@ -247,15 +247,12 @@ class Dataset:
 
     # sinks
     def to_parquet(self, output_path: str, shuffle: Any = None, preserve_files: bool = False, output_files: Any = None, out_files_per_proc: int | None = None, row_group_size: int | None = None, num_threads: int = 0, dtypes: dict | None = None, cats: list | None = None, conts: list | None = None, labels: list | None = None, suffix: str = ".parquet", partition_on: Any = None, method: str | None = None, write_keyset: bool = False, **options: Any) -> None:
-        names = None
         if preserve_files:
             if not self.paths or output_files is not None or out_files_per_proc or partition_on:
                 raise ValueError("preserve_files is for a dataset that was read from files, and goes without other names")
-            names = F.col("__path")
             frame = self._df.select("*", F.col("_metadata.file_path").alias("__path"))
             df = frame.select(*(quoted(c).alias(c, metadata=self.schema[c].metadata()) if c in self.schema else quoted(c) for c in frame.columns))
-            kept = df.withColumn("__file_path", F.col("__path")).drop("__path")
-            return sinks.to_parquet(kept.withColumnRenamed("__file_path", "__path").select("*"), str(output_path), self.schema, shuffle=shuffle, preserve_files=True, row_group_size=row_group_size, dtypes=dtypes, cats=cats, conts=conts, labels=labels, suffix=suffix, method=method, source_files=names, keyset=write_keyset, **options)
+            return sinks.to_parquet(df, str(output_path), self.schema, shuffle=shuffle, preserve_files=True, row_group_size=row_group_size, dtypes=dtypes, cats=cats, conts=conts, labels=labels, suffix=suffix, method=method, source_files=F.col("__path"), keyset=write_keyset, **options)
         sinks.to_parquet(self.to_df(), str(output_path), self.schema, shuffle=shuffle, output_files=output_files, out_files_per_proc=out_files_per_proc, row_group_size=row_group_size, dtypes=dtypes, cats=cats, conts=conts, labels=labels, suffix=suffix, partition_on=partition_on, method=method, keyset=write_keyset, **options)
         return None
 

@@ -77,11 +77,25 @@ def _rename(files: Files, names: dict[int, str]) -> list[str]:
     for part in files.list("part-*"):
         i = int(re.match(r"part-(\d+)", part)[1])
         if i in names:
+            if "/" in names[i]:
+                files.make(names[i].rsplit("/", 1)[0])
             files.rename(part, names[i])
             done.append(names[i])
     return done
 
 
+def _own_names(paths: list[str]) -> list[str]:
+    """What files are called, without their suffix; files of one name in several folders keep their folders, from where
+    these part."""
+    bare = [re.sub(r"\.[^./]+$", "", p) for p in paths]
+    short = [p.rsplit("/", 1)[-1] for p in bare]
+    folders = [p.split("/")[:-1] for p, n in zip(bare, short, strict=True) if short.count(n) > 1]
+    same = 0
+    while folders and all(len(f) > same and f[same] == folders[0][same] for f in folders):
+        same += 1
+    return ["/".join(p.split("/")[same:]) if short.count(n) > 1 else n for p, n in zip(bare, short, strict=True)]
+
+
 def to_parquet(
     df: DataFrame, path: str, schema: Schema, *, shuffle: Any = None, preserve_files: bool = False, output_files: Any = None, out_files_per_proc: int | None = None,
     row_group_size: int | None = None, dtypes: dict | None = None, cats: list | None = None, conts: list | None = None, labels: list | None = None, suffix: str = ".parquet",
@@ -110,11 +124,11 @@ def to_parquet(
     elif preserve_files:
         if source_files is None:
             raise ValueError("preserve_files needs a dataset that was read from files")
-        named = df.withColumn("__file", F.regexp_extract(source_files, r"([^/]+)$", 1))
+        named = df.withColumn("__file", source_files)
         found = sorted(r[0] for r in named.select("__file").distinct().collect())
-        names = {i: re.sub(r"\.[^.]+$", "", n) + suffix for i, n in enumerate(found)}
+        names = {i: n.removesuffix(suffix) + suffix for i, n in enumerate(_own_names(found))}
         index = df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(found)], "__file string, __id int")
-        placed = named.join(F.broadcast(index), "__file").repartitionById(max(1, len(found)), F.col("__id")).drop("__file", "__id")
+        placed = named.join(F.broadcast(index), "__file").repartitionById(max(1, len(found)), F.col("__id")).drop("__file", "__id", "__path")
         _writer(shuffled_for_writing(placed, Shuffle.PER_PARTITION if how else None, seed), row_group_size, write_metadata_file, compression).mode(mode).parquet(path)
         _rename(files, names)
     elif partition_on:
