@@ -21,6 +21,7 @@ from .plans import schema_io
 from .plans.graph import Runtime
 from .sources import readers, sinks
 from .sources.dataset import estimated_bytes
+from .streaming import stats
 from .streaming.graphs import transform_stream, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1221,3 +1222,37 @@ def files_of_one_name(spark, d):
     Dataset([f"{a}/data.parquet", f"{b}/data.parquet"], spark=spark).to_parquet(out, preserve_files=True)
     files = len([n for n in sinks.Files(spark, out).sizes() if n.endswith("/data.parquet")])
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(out).select("*", F.lit(files).alias("files"))
+
+
+# statistics that follow a stream
+
+
+def _followed(spark: SparkSession, d: str, n: int, keys: dict, made: dict, watermark: tuple[str, str] | None = None) -> str:
+    """Follows events that come in n pieces, one after another in time; after each the stream runs on from where it was."""
+    source, path, checkpoint = (scratch(spark, x) for x in ("pieces", "followed", "progress"))
+    events = load(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    at = F.unix_micros("ts")
+    cuts = events.select(F.percentile_approx(at, [i / n for i in range(1, n)], 1000)).first()[0]
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        events.filter((F.lit(True) if lo is None else at >= lo) & (F.lit(True) if hi is None else at < hi)).write.mode("append").parquet(source)
+        stats.follow(spark.readStream.schema(events.schema).parquet(source), keys, made, path, checkpoint, watermark).awaitTermination()
+    return path
+
+
+@query("""
+SELECT user_id, count(*) AS "count", round(sum(value), 4) AS total, row_number() OVER (ORDER BY count(*) DESC, user_id) AS code FROM events GROUP BY user_id""")
+def stream_frequencies(spark, d):
+    """Users of a stream with their counts, and their codes by frequency, after five batches of which four were settled."""
+    path = _followed(spark, d, 5, {"user_id": F.col("user_id")}, {"count": F.count("*"), "total": F.sum("value")})
+    stats.settle(spark, path, ["user_id"])
+    coded = stats.codes(spark, path, "user_id").withColumnRenamed("value", "user_id")
+    return stats.followed(spark, path, ["user_id"]).join(coded, "user_id").select("user_id", "count", F.round("total", 4).alias("total"), "code")
+
+
+@query("""
+SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, max(value) AS most FROM events GROUP BY 1, 2""")
+def stream_windows(spark, d):
+    """Events by type and day, of a stream whose late rows wait for two days at most."""
+    keys = {"event_type": F.col("event_type"), "w": F.window("ts", "1 day")}
+    path = _followed(spark, d, 4, keys, {"n": F.count("*"), "most": F.max("value")}, ("ts", "2 days"))
+    return stats.followed(spark, path, ["event_type", "w"]).select("event_type", F.to_date("w.start").alias("day"), "n", "most")
