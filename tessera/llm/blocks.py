@@ -20,6 +20,8 @@ from .lean import lean
 GATHER = 32_000_000
 #: Bytes of texts in a block, about, at any size of the corpus.
 BLOCK_BYTES = 32_000_000
+#: Blocks whose entries (words, symbols, windows) a part of a table of them holds at most, together.
+BLOCKS_A_PART = 8
 
 
 def n_blocks(docs: DataFrame) -> int:
@@ -28,6 +30,11 @@ def n_blocks(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
 
 
+def n_parts(spark: SparkSession, blocks: int) -> int:
+    """Parts of a table of entries, such that a part does not grow with the corpus; at least the shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // BLOCKS_A_PART))
+
+
 def block_keys(spark: SparkSession, n: int) -> list[int]:
     """Per partition of a hash partitioning of n, a number that goes to it, so that blocks are dealt evenly."""
     most = 24 * n + 200

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import tokens
-from .blocks import block_keys, deal, n_blocks, shrunk, unpack
+from .blocks import block_keys, deal, n_blocks, n_parts, shrunk, unpack
 from .lean import lean, small_batches
 
 #: Fixed value: the split pattern of byte-level BPE.
@@ -320,7 +320,8 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], n_tokens: str = "n_
     spark = docs.sparkSession
     special, held = special_tokens(tokenizer), spark.sparkContext.broadcast(tokenizer)
     small_batches(spark)
-    n, many = int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks(docs)
+    many = n_blocks(docs)
+    n = n_parts(spark, many)
     own = [f"c{i}" for i in range(len(keep))]
     keys = block_keys(spark, n)
     blocks = deal(docs, keep, own, block_keys(spark, many))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import tokens
-from .blocks import block_keys, deal, n_blocks, shrunk, unpack
+from .blocks import block_keys, deal, n_blocks, n_parts, shrunk, unpack
 from .lean import lean, small_batches
 
 WIDTH = 20
@@ -326,7 +326,8 @@ def dedup_substrings(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", w
 
     spark = docs.sparkSession
     small_batches(spark)
-    n, many = int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks(docs)
+    many = n_blocks(docs)
+    n = n_parts(spark, many)
     keys = block_keys(spark, n)
     own = [f"c{i}" for i in range(len(keep))]
     ordered = docs.select(*(docs[f"`{c}`"].alias(o) for c, o in zip(keep, own, strict=True)), docs[f"`{doc_id}`"].cast("long").alias("order"), docs["text"].alias("text"))
