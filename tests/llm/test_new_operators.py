@@ -329,3 +329,34 @@ def test_new_queries_against_sql(spark, name):
     columns = [d[0] for d in want.description]
     assert sorted(out.columns) == sorted(columns)
     assert sorted(map(str, map(tuple, out.select(*columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+# Parts of tables of entries
+
+
+def test_parts_grow_with_the_corpus(spark, monkeypatch):
+    """With small blocks and parts of one block, more parts than shuffle partitions: the results stay, a part stays small."""
+    from tokenizers import Tokenizer
+
+    from tessera.llm import blocks, bpe, substring_dedup
+
+    assert blocks.n_parts(spark, 1) == 4 and blocks.n_parts(spark, 800) == 100
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(blocks, "BLOCKS_A_PART", 1)
+    r = random.Random(31)
+    shared = prose(r, 60)
+    texts = [prose(r, 40) + "\n" + (shared if i % 3 == 0 else prose(r, 30)) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert blocks.n_parts(spark, blocks.n_blocks(df)) > 4
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        w, gone = t.split(), set()
+        for p in range(len(w) - 19):
+            if tuple(w[p : p + 20]) in seen:
+                gone.update(range(p, p + 20))
+            seen.add(tuple(w[p : p + 20]))
+        want[i] = len(gone)
+    assert {x["doc_id"]: x["n_removed"] for x in substring_dedup.dedup_substrings(df, ["doc_id"]).collect()} == want
+    tok = Tokenizer.from_str(queries.byte_bpe())
+    for x in bpe.encode(df, queries.byte_bpe(), ["doc_id"]).collect():
+        assert np.frombuffer(x["ids"], "<u4").tolist() == tok.encode(texts[x["doc_id"]], add_special_tokens=False).ids
