@@ -197,3 +197,13 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, l.component_id, v.vec_id = l.component_id AS kept
 FROM v JOIN least l ON l.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
+
+MIXING_TARGETS = rf"""
+WITH s AS (SELECT source, sum(len({_WORDS.format("coalesce(text, '')")}))::DOUBLE AS size FROM documents GROUP BY source),
+o AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3] AS w FROM s),
+r AS (
+  SELECT *, 2 * size / w AS level, sum(2 * size) OVER q - 2 * size AS closed, sum(w) OVER () - (sum(w) OVER q - w) AS open, 1.5 * sum(size) OVER () AS goal
+  FROM o WINDOW q AS (ORDER BY 2 * size / w, source IS NULL, encode(source) ROWS UNBOUNDED PRECEDING)),
+water AS (SELECT arg_min((goal - closed) / open, level) AS level FROM r WHERE (goal - closed) / open <= level)
+SELECT source, size::BIGINT AS source_size, round(least(2 * size, water.level * w), 3) AS target FROM r, water
+"""

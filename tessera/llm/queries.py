@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, collocations, embedding_dedup, jaccard, language_id, line_dedup, manifest, mixing, oracles, quality_pu, quality_rules, substring_dedup, url_filter
-from .common import table
+from .common import n_words, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that each source gives to the mix."""
+    docs = table(spark, sf_dir, "documents")
+    sources = docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("source_size"))
+    return mixing.targets(sources, 1.5, 2.0).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -128,12 +135,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_phrase_collocations": op13_phrase_collocations,
     "rule_ablations": rule_ablations,
+    "mixing_targets": mixing_targets,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": oracles.LINE_DEDUP,
     "op7_quality_rules": oracles.QUALITY_RULES,
     "rule_ablations": oracles.RULE_ABLATIONS,
+    "mixing_targets": oracles.MIXING_TARGETS,
     "op8_jaccard_join": oracles.JACCARD,
     "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op11_embedding_dedup": oracles.EMBEDDING_DEDUP,
