@@ -288,31 +288,23 @@ class Dataset:
     def validate(self, row_group_max_size: Any = 500_000_000, file_min_size: Any = 128_000_000, require_metadata_file: bool = False) -> bool:
         """Whether the files are such as are read well: one schema, row groups not too large, files not too small, and a
         _metadata file if asked for. Says what is wrong by warnings. Files that are not Parquet are never so."""
-        import pyarrow.parquet as pq
-
-        from .avro import open_file
-
         if not self.paths or (isinstance(self.engine, str) and self.engine != "parquet"):
             warnings.warn("only Parquet files can be validated", stacklevel=2)
             return False
-        found, seen, size, groups = [], [], 0, []
+        found = []
         for p in self.paths:
             f = Files(self.spark, p)
             found += [f"{p.rstrip('/')}/{n}" for n in f.sizes() if n.endswith((".parquet", ".parq", ".pq"))] if f.is_dir() else [p]
         if not found:
             warnings.warn("there are no Parquet files", stacklevel=2)
             return False
-        for name in found:
-            with open_file(name) as stream:
-                meta = pq.ParquetFile(stream)
-                seen.append(meta.schema_arrow.remove_metadata())
-                groups += [meta.metadata.row_group(i).total_byte_size for i in range(meta.metadata.num_row_groups)]
-                size += sum(groups[-meta.metadata.num_row_groups :]) if meta.metadata.num_row_groups else 0
+        told = placed.footers(self.spark, found).agg(F.count_distinct("schema"), F.max("largest"), F.sum("bytes")).first()
+        schemas, largest, size = told
         problems = []
-        if any(s != seen[0] for s in seen[1:]):
+        if schemas > 1:
             problems.append("files differ in schema")
-        if groups and max(groups) > _bytes(row_group_max_size):
-            problems.append(f"a row group has {max(groups)} bytes, more than {row_group_max_size}")
+        if largest > _bytes(row_group_max_size):
+            problems.append(f"a row group has {largest} bytes, more than {row_group_max_size}")
         if len(found) > 1 and size / len(found) < _bytes(file_min_size):
             problems.append(f"files have {size // len(found)} bytes on average, fewer than {file_min_size}")
         if require_metadata_file and not Files(self.spark, self.paths[0]).exists("_metadata"):

@@ -17,7 +17,7 @@ class Files:
     """A folder or file, seen from the driver."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.jvm = spark._jvm
+        self.spark, self.jvm = spark, spark._jvm
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.root = self._path(str(path))
         self.fs = self.root.getFileSystem(self.conf)

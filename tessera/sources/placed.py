@@ -88,3 +88,29 @@ def footer_counts(spark: SparkSession, paths: list[str], by: list[str] | None =
     own = own_session(spark, {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"})
     df = own.read.option("pathGlobFilter", "*.parquet").parquet(*paths)
     return df.groupBy(*map(quoted, by)).agg(F.count("*").alias("count")) if by else df.agg(F.count("*").alias("count"))
+
+
+def footers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, rows, groups, largest (bytes of the largest row group), bytes (of all) and schema of Parquet files, whose
+    footers are read by tasks."""
+    import pyarrow as pa
+
+    def read(batches):
+        import pyarrow.parquet as pq
+
+        from tessera.sources.avro import open_file
+
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                with open_file(path) as stream:
+                    file = pq.ParquetFile(stream)
+                    m = file.metadata
+                    size = [m.row_group(i).total_byte_size for i in range(m.num_row_groups)]
+                    found.append((path, m.num_rows, len(size), max(size, default=0), sum(size), str(file.schema_arrow.remove_metadata())))
+            names = ["path", "rows", "groups", "largest", "bytes", "schema"]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names)
+
+    named = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 1000)), "path")
+    return named.mapInArrow(read, "path string, rows long, groups long, largest long, bytes long, schema string")
