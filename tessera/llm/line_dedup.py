@@ -33,8 +33,9 @@ BAND = 0.08
 INLINE = 2000
 #: Words of a shingle, and how many least hashes of a text say of whom it may be a copy.
 SHINGLE, VALUES = 5, 8
-#: The share of shingles that copies have in common, and how many least hashes decide on it.
-SAME, SKETCH = 0.8, 256
+#: The share of shingles that copies have in common, or have if lines of their own are edited ones of the other, of which
+#: such a share is left; and how many least hashes decide on it, of the whole text and of lines of its own.
+SAME, HALF, WITHIN, SKETCH, REST = 0.8, 0.5, 0.15, 256, 64
 #: Texts that one is held against.
 HELD = 6
 SPACES = " \t\n\x0b\x0c\r"
@@ -75,25 +76,26 @@ def _shingles(text: Column, size: int) -> Column:
     return F.sort_array(F.array_distinct(F.element_at(F.transform(F.array(hs), made), 1)))
 
 
-def bodies(docs: DataFrame, name: str = "body", site: str = "source", size: int = SHINGLE, values: int = VALUES, same: float = SAME) -> DataFrame:
+def bodies(docs: DataFrame, name: str = "body", site: str = "source", size: int = SHINGLE, values: int = VALUES, same: float = SAME, half: float = HALF, within: float = WITHIN) -> DataFrame:
     """Adds a column that is equal in documents that are copies of each other, though not to the letter.
 
-    Copies share `same` of all their shingles of `size` words. Who may be a copy of whom is told by a few least hashes of
-    the whole text, and of what is left of it without the lines that stand on many sites: every hash is owned by the first
-    of the texts of about a length that have it, and a text is held against those that own most of its hashes. That is decided by their
-    shingles: by all of them up to `SKETCH`, which pages with little text of their own have, else by the `SKETCH` least,
-    which tell the share to about 0.03. Copies of copies are one body. A page that shares a footer with others is
-    no copy of them, however short, unless the footer is nearly all of it."""
+    Copies share `same` of all their shingles of `size` words, or `half` if what one of them has beside the lines that stand
+    on many sites is in the other too, by a share of `within` at least: lines of copies are edited, and keep some of their
+    shingles, but those of other pages with the same footer are others. Who may be a copy of whom is told by a few least
+    hashes of the whole text, and of what is left of it without those lines: every hash is owned by the first of the texts
+    of about a length that have it, and a text is held against those that own most of its hashes. That is decided by
+    their shingles: by all of them up to `SKETCH`, which pages with little text of their own have, else by the `SKETCH`
+    least, which tell the share to about 0.03. Copies of copies are one body."""
     text = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("own"), F.col("text").alias("whole"), "text", F.col(f"`{site}`").alias("site"))
     found = stored(boilerplate(text, "site").select("h"), "lines-spread-texts")
     cut = _without(text, found)
     whole = _shingles(F.col("whole"), size)
-    part = F.when(F.col("text") != F.col("whole"), F.slice(_shingles(F.col("text"), size), 1, values))
+    part = F.when(F.col("text") != F.col("whole"), F.slice(_shingles(F.col("text"), size), 1, REST))
     # texts that share so much differ in their number of shingles by one step at most
-    step = F.floor(F.log(F.greatest(F.size("sk"), F.lit(1))) / F.lit(-math.log(same))).cast("int")
+    step = F.floor(F.log(F.greatest(F.size("sk"), F.lit(1))) / F.lit(-math.log(half))).cast("int")
     both = cut.select("own", whole.alias("sk"), part.alias("rest")).select("own", "rest", step.alias("step"), F.slice("sk", 1, SKETCH).alias("sk"))
     both = stored(both, "lines-sketches")
-    least = F.array_union(F.slice("sk", 1, values), F.coalesce("rest", F.array().cast("array<bigint>")))
+    least = F.array_union(F.slice("sk", 1, values), F.slice(F.coalesce("rest", F.array().cast("array<bigint>")), 1, values))
     each = both.select("own", "step", F.explode(least).alias("v")).distinct()
     per = each.groupBy("v", "step").agg(F.count("*").alias("m"), F.min("own").alias("of"))
     owners = per.groupBy("v").agg(F.sum("m").alias("m"), F.collect_list(F.struct("step", "of")).alias("owners")).filter("m > 1")
@@ -102,10 +104,14 @@ def bodies(docs: DataFrame, name: str = "body", site: str = "source", size: int
     owned = each.join(small(owners), "v").select("own", F.explode(fit).alias("o")).groupBy("own", "o.of").agg(F.count("*").alias("n"))
     first = F.slice(F.sort_array(F.collect_list(F.struct("n", "of")), False), 1, HELD)
     pairs = stored(owned.groupBy("own").agg(first.alias("first")).select("own", F.explode("first.of").alias("of")), "lines-pairs")
-    sketch = both.groupBy("own").agg(F.first("sk").alias("sk"))
+    sketch = both.groupBy("own").agg(F.first("sk").alias("sk"), F.first(F.coalesce("rest", F.slice("sk", 1, REST))).alias("rest"))
     union = F.slice(F.sort_array(F.array_union("a", "b")), 1, SKETCH)
-    share = F.size(F.array_intersect(F.array_intersect(union, "a"), "b")) >= same * F.size(union)
-    held = pairs.join(sketch.toDF("own", "a"), "own").join(sketch.toDF("of", "b"), "of").filter(share)
+    share = F.size(F.array_intersect(F.array_intersect(union, "a"), "b")) / F.size(union)
+    # of a long text only the least shingles are known, so only such of the rest are looked for in it
+    seen = F.when(F.size("b") < SKETCH, F.col("rest")).otherwise(F.filter("rest", lambda x: x <= F.element_at("b", -1)))
+    edited = F.size(F.array_intersect(seen, "b")) >= within * F.size(seen)
+    held = pairs.join(sketch.toDF("own", "a", "rest"), "own").join(sketch.select("own", "sk").toDF("of", "b"), "of")
+    held = held.filter((share >= same) | ((share >= half) & (F.size(seen) > 0) & edited) | ((share >= half) & (F.size("rest") == 0)))
     root = components(held.select(F.col("own").alias("a"), F.col("of").alias("b")))
     discard(found, both, owners, pairs)
     at = own_names(docs, "copy", "of")
