@@ -75,8 +75,19 @@ def plain_bodies(rows):
             t = root[t]
         return t
 
-    for a, b in itertools.combinations(sorted(texts), 2):
-        if len(shingle[a] & shingle[b]) >= 0.8 * len(shingle[a] | shingle[b]):
+    stands = collections.defaultdict(lambda: (set(), set()))
+    for _, t, s in rows:
+        for x in t.split("\n"):
+            stands[x][0].add(s)
+            stands[x][1].add(t)
+    wide = {x for x, (s, ts) in stands.items() if x.strip() and len(s) >= 5 and len(ts) >= 5}
+    rest = {}
+    for t in texts:
+        w = " ".join(x for x in t.split("\n") if x not in wide).split()
+        rest[t] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    for a, b in itertools.permutations(sorted(texts), 2):
+        share = len(shingle[a] & shingle[b]) / len(shingle[a] | shingle[b])
+        if share >= 0.8 or (share >= 0.5 and len(rest[a] & shingle[b]) >= 0.15 * len(rest[a])):
             root[find(b)] = find(a)
     sites, bodies = collections.defaultdict(set), collections.defaultdict(set)
     for _, t, s in rows:
@@ -97,6 +108,13 @@ def test_thin_pages_lose_their_footers_and_near_copies_stay_whole(spark, own):
     for i in range(60):  # a word of a line is another one in each
         w = base[i % len(base)].split()
         w[i % len(w)] = f"edit{i}"
+        if i % 2:  # and of another line, so that two of them share less than 0.8
+            other = [x.split() for x in base]
+            other[i % len(base)] = w
+            for k in (1, 2, 4):
+                other[(i + k * 3) % len(base)][(i + k) % 12] = f"more{i}"
+            near.append((500 + i, "\n".join(map(" ".join, other)), f"site{i % 20}"))
+            continue
         near.append((500 + i, "\n".join([*base[: i % len(base)], " ".join(w), *base[i % len(base) + 1 :]]), f"site{i % 20}"))
     footed = [(700 + i, t + "\n" + foot, s) for i, t, s in ((i, t.replace("edit", "other"), s) for i, t, s in near)]
     rows = thin + near + footed
