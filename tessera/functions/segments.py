@@ -127,10 +127,9 @@ class Segments:
         seen = pick(F.struct(x.alias("x")), F.when(x.isNotNull(), F.col("i")))
         carried = self._carry(self._edges(self._from(column), v=seen), None, lambda a, e: a if e["v"] is None or e["v"]["x"] is None else e["v"], back)
         carried = {p: (v["x"],) for p, v in carried.items() if v is not None}
-        if back:
-            local = F.first(x, ignorenulls=True).over(self.local.rowsBetween(0, W.unboundedFollowing))
-        else:
-            local = F.last(x, ignorenulls=True).over(self.local.rowsBetween(W.unboundedPreceding, 0))
+        # backwards as a frame up to the row, too: one from the row to the end is aggregated anew for each row
+        line = W.partitionBy("part", "k").orderBy(F.desc("i")) if back else self.local
+        local = F.last(x, ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, 0))
         here = self._join(carried, "__c", T.StructType([T.StructField("x", kind)]), back)["x"] if carried else F.lit(None).cast(kind)
         self._add(name, F.coalesce(local, here))
         self.line = self.line.drop("__c")

@@ -91,6 +91,15 @@ def test_shift_and_interpolate_of_keys_and_of_all(spark):
     assert moved[("a", 2)] == 1.0 and moved[("a", 0)] is None and moved[("b", 5)] == 2.0
 
 
+def test_values_after_a_row_cost_no_frame_to_the_end(spark):
+    """Spark aggregates a frame from the row to the end anew for each row, so that time grows with the square of a range."""
+    s = Segments(spark.range(100).selectExpr("id", "IF(id % 5 = 0, id, NULL) AS x"), None, ["id"])
+    s.last_value("x", "next", back=True)
+    out = s.frame("next")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    assert [r["next"] for r in out.orderBy("id").collect()] == [-(-i // 5) * 5 if i <= 95 else None for i in range(100)]
+
+
 def test_segments_of_odd_frames(spark):
     empty = Segments(spark.createDataFrame([], "k int, part int, i int, row int, o int"), ["k"], ["i"])
     empty.number(), empty.rank("place"), empty.shift("row"), empty.last_value("o"), empty.running_sum("i"), empty.ntile(2), empty.interpolate("o")
