@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import ColumnSchema, Dataset, Schema, Shuffle, Tags
-from tessera.functions import frames, lists, scalars
+from tessera.functions import frames, joins, lists, scalars
 from tessera.functions.table import TensorColumn, TensorTable, group_values_offsets, ungroup_values_offsets
 from tessera.sources import readers, sinks
 from tessera.sources.avro import AvroDataSource, blocks, write_container, write_containers
@@ -163,6 +163,21 @@ def test_partitions(spark, data):
     assert len(d.to_iter(indices=[0])) == d.partition_lens[0] == sum(map(len, d.to_iter(indices=[0])))
 
 
+@pytest.mark.parametrize("null_safe", [True, False])
+def test_keys_with_many_pairs_meet_in_tiles(spark, monkeypatch, null_safe):
+    """Copies, null keys and keys of one side only; no task gets all pairs of a key."""
+    a = spark.createDataFrame([(1, i // 2) for i in range(50)] + [(None, i) for i in range(40)] + [(2, 7), (3, 8)], "k int, x int")
+    b = spark.createDataFrame([(1, i // 3) for i in range(60)] + [(None, i) for i in range(30)] + [(2, 5), (4, 9)], "k int, y int")
+    merged = lambda: Dataset.merge(a, b, on="k", how="outer", indicator=True, null_safe=null_safe).to_df()
+    plain = sorted(map(str, merged().collect()))
+    monkeypatch.setattr(joins, "TILE", 8)
+    monkeypatch.setattr(joins, "PAIRS", 100)
+    tiled = merged()
+    assert sorted(map(str, tiled.collect())) == plain and len(plain) == 3000 + (1200 if null_safe else 70) + 3
+    each = [r["n"] for r in tiled.filter("k = 1").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(each) < 1500
+
+
 def test_settings_of_the_session_stay(spark, data, tmp_path):
     """part_size and row groups hold for one read and one write; iterating runs each partition once."""
     name = "spark.sql.files.maxPartitionBytes"
