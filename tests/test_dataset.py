@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import ColumnSchema, Dataset, Schema, Shuffle, Tags
+from tessera import ColumnSchema, Dataset, Schema, Shuffle, Tags, queries
 from tessera.functions import frames, joins, lists, scalars
 from tessera.functions.table import TensorColumn, TensorTable, group_values_offsets, ungroup_values_offsets
 from tessera.sources import readers, sinks
@@ -178,6 +178,19 @@ def test_keys_with_many_pairs_meet_in_tiles(spark, monkeypatch, null_safe):
     assert max(each) < 1500
 
 
+def test_a_path_is_read_by_as_many_partitions_as_its_bytes_ask_for(spark, tmp_path):
+    """Not more where there are more cores; a path that is a folder of files goes by its own name."""
+    rows = spark.range(3_000_000).select("id", F.rand(1).alias("x"))
+    rows.coalesce(1).write.option("parquet.block.size", 1 << 20).parquet(str(tmp_path / "one" / "orders.parquet"))
+    rows.repartition(3).write.parquet(str(tmp_path / "some" / "orders.parquet"))
+    for folder in ("one", "some"):
+        assert [tuple(r) for r in queries.file_partition_map(spark, str(tmp_path / folder)).collect()] == [("orders.parquet", [0])]
+    paths = [str(tmp_path / folder / "orders.parquet") for folder in ("one", "some")]
+    assert Dataset(paths[0], spark=spark).npartitions > 1 == Dataset(paths[0], spark=spark, part_size="1GB").npartitions
+    several = Dataset(paths[1:], spark=spark, part_size=1 << 20)
+    assert len(several.path_partition_map["orders.parquet"]) == 3 and several.num_rows == 3_000_000  # each file is one row group
+
+
 def test_settings_of_the_session_stay(spark, data, tmp_path):
     """part_size and row groups hold for one read and one write; iterating runs each partition once."""
     name = "spark.sql.files.maxPartitionBytes"
