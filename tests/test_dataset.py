@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera import ColumnSchema, Dataset, Schema, Shuffle, Tags, queries
 from tessera.functions import frames, joins, lists, scalars
 from tessera.functions.table import TensorColumn, TensorTable, group_values_offsets, ungroup_values_offsets
-from tessera.sources import readers, sinks
+from tessera.sources import dataset, readers, sinks
 from tessera.sources.avro import AvroDataSource, blocks, write_container, write_containers
 
 
@@ -130,6 +130,23 @@ def test_validation_and_regeneration(spark, data, tmp_path):
         assert not Dataset(data).validate() and not out.validate(require_metadata_file=True)
 
 
+def test_regenerated_files_are_put_together_from_small_sorts(spark, tmp_path, monkeypatch):
+    """Rows with many types, ties and nulls, in order through files, none of which has all rows."""
+    rows = spark.range(30_000).selectExpr("id", "IF(id % 7 = 0, NULL, id % 5) AS k", "named_struct('a', id, 'b', array(id, NULL)) AS s", "CAST(id AS decimal(20, 3)) AS d", "timestamp_seconds(id) AS t", "CAST(id AS string) AS name")
+    monkeypatch.setattr(dataset, "FILE_BYTES", 600_000)
+    monkeypatch.setattr(dataset, "SORT_BYTES", 100_000)
+    for at, order in (("o", ["k"]), ("n", None)):
+        moved = rows.repartition(3)
+        out = Dataset(moved).regenerate(str(tmp_path / at), order=order)
+        names = sorted(p for p in (tmp_path / at).iterdir() if p.suffix == ".parquet")
+        parts = [pq.read_table(p).to_pylist() for p in sorted(names, key=lambda p: int(p.stem[5:]))]
+        assert len(parts) > 2 and max(map(len, parts)) < 20_000 and out.to_df().exceptAll(rows).isEmpty() and sum(map(len, parts)) == 30_000
+        assert out.to_df().schema.simpleString() == rows.schema.simpleString()
+        if order:
+            ks = [(r["k"] is not None, r["k"] or 0) for p in parts for r in p]
+            assert ks == sorted(ks)
+
+
 def _two(path, spark):
     d = Dataset(str(path / "1.parquet"), spark=spark)
     d.paths = [str(path / "1.parquet"), str(path / "2.parquet")]
