@@ -16,6 +16,8 @@ from tessera.functions.table import TensorColumn, TensorTable, group_values_offs
 from tessera.sources import dataset, readers, sinks
 from tessera.sources.avro import AvroDataSource, blocks, write_container, write_containers
 
+from .conftest import SF
+
 
 @pytest.fixture(scope="module")
 def data(spark):
@@ -147,6 +149,14 @@ def test_regenerated_files_are_put_together_from_small_sorts(spark, tmp_path, mo
             assert ks == sorted(ks)
 
 
+def test_validated_files_grow_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "_FILE_ROWS", 400, raising=False)
+    monkeypatch.setattr(queries, "scratch", lambda spark, name: str(tmp_path / name))
+    queries.validate_dataset(spark, SF)
+    rows = [pq.read_metadata(p).num_rows for p in (tmp_path / "validate").glob("*.parquet")]
+    assert len(rows) == 3 and sum(rows) == 1500 and max(rows) < 700
+
+
 def _two(path, spark):
     d = Dataset(str(path / "1.parquet"), spark=spark)
     d.paths = [str(path / "1.parquet"), str(path / "2.parquet")]
