@@ -29,7 +29,7 @@ class Segments:
     """Rows of df in order within keys. Functions return a column name; `frame` gives the rows with columns asked for."""
 
     def __init__(self, df: DataFrame, keys: list[str] | None, order: list[str], descending: bool = False):
-        self.columns, self.made = df.columns, {}
+        self.columns, self.made, self.descending, self.tied = df.columns, {}, descending, None
         keys = keys or []
         row = F.struct(*(quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns)))
         at = lambda c: F.col(f"row.c{df.columns.index(c)}")
@@ -188,20 +188,42 @@ class Segments:
 
     def rank(self, name: str = "rank", dense: bool = False) -> str:
         """Ties have the number of the first of them; dense: numbers without gaps."""
-        self.number("__n")
-        order = "\0order"  # a name that no column has
-        self.place[order] = "o"
-        self.shift(order, 1, "__before")
-        new = F.col("__before").isNull() | (F.col("o") != F.col("__before")) | (F.col("__n") == 1)
+        carried, kind = self._ties()
+        here = self._join(carried, "__c", kind) if carried else F.lit(None).cast(kind)
+        along = W.partitionBy("part", "k").orderBy(F.col("o").desc() if self.descending else F.col("o").asc())
+        local, place = F.dense_rank().over(along).cast("long"), F.rank().over(along).cast("long")
         if dense:
-            self._add("__new", new.cast("int"))
-            self.running_sum("__new", name)
+            self._add(name, local + F.coalesce(here["d"], F.lit(0)))
         else:
-            self._add("__new", F.when(new, F.col("__n")))
-            self.last_value("__new", name)
-        self.line = self.line.drop("__n", "__before", "__new")
+            self._add(name, F.when((local == 1) & here["first"].isNotNull(), here["first"]).otherwise(place + F.coalesce(here["n"], F.lit(0))))
+        self.line = self.line.drop("__c")
         return name
 
+    def _ties(self) -> tuple[dict[int, Any], T.StructType]:
+        """Per range whose first key began before it: rows (n) and orders (d) of the key before the range, without one that
+        goes on in it, of which `first` is the rank. One job over the rows that were stored; Spark compares the orders."""
+        kind = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "d", "first")])
+        if self.tied is None:
+            ties = self.base.groupBy("part", "k", "o").agg(F.count("*").alias("t"), F.min("i").alias("a"))
+            each = ties.groupBy("part", "k").agg(F.min("a").alias("a"), F.sum("t").alias("n"), F.count("*").alias("d"), F.min_by("o", "a").alias("lo"), F.max_by("o", "a").alias("hi"), F.max_by("t", "a").alias("t"))
+            told = F.struct("k", "n", "d", "lo", "hi", "t")
+            ends = each.groupBy("part").agg(F.min_by(told, "a").alias("first"), F.max_by(told, "a").alias("last"), F.count("*").alias("keys"))
+            on = F.coalesce(F.col("first.lo").eqNullSafe(F.lag("last.hi").over(W.orderBy("part"))), F.lit(False))  # a row per range
+            key, n, d, t, self.tied = None, 0, 0, 0, {}
+            for r in ends.withColumn("on", on).orderBy("part").collect():
+                near, far, goes_on = r["first"], r["last"], False
+                if key is not None and _same(near["k"], key):
+                    goes_on = r["on"]
+                    self.tied[r["part"]] = (n, d - goes_on, n - t + 1 if goes_on else None)
+                else:
+                    n = d = t = 0
+                if r["keys"] == 1:
+                    n, d, t = n + near["n"], d + near["d"] - goes_on, near["t"] + (t if goes_on and near["d"] == 1 else 0)
+                else:
+                    n, d, t = far["n"], far["d"], far["t"]
+                key = far["k"]
+        return self.tied, kind
+
     def interpolate(self, column: str, name: str = "line") -> str:
         """Nulls on the line between the values before and after, by position; after the last value it stays."""
         self.number("__n")

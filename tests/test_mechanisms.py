@@ -67,6 +67,19 @@ def test_ranks_with_ties_over_ranges(spark):
     assert len({r["part"] for r in s.base.select("part").distinct().collect()}) > 2
 
 
+def test_ranks_look_once_at_the_rows(spark):
+    """Ties over several ranges, none within one, and from the end; both ranks by one job over the rows that were stored."""
+    rows = [("a", i // 40, i) for i in range(200)] + [("b", i % 3, i) for i in range(90)] + [("c", None, i) for i in range(9)]
+    for descending in (False, True):
+        s = Segments(spark.createDataFrame(rows, "k string, t int, i int"), ["k"], ["t"], descending=descending)
+        s.rank(), s.rank("dense", dense=True)
+        line = s.frame("rank", "dense")
+        assert line._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2 and "lag(" not in line._jdf.queryExecution().toString()
+        order = "DESC" if descending else "ASC"
+        want = spark.createDataFrame(rows, "k string, t int, i int").selectExpr("*", f"CAST(rank() OVER (PARTITION BY k ORDER BY t {order}) AS long)", f"CAST(dense_rank() OVER (PARTITION BY k ORDER BY t {order}) AS long)")
+        assert rows_of(line) == rows_of(want)
+
+
 @pytest.mark.parametrize("periods", [1, -1, 5, -5, 0])
 def test_long_shifts_join_by_number(spark, monkeypatch, periods):
     rows = some_rows(random.Random(6), 80, ["a", "b", None])
